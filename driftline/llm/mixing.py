@@ -149,11 +149,11 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     dealt = dealt.select(
         "key", "size", "copies", F.row_number().over(Window.partitionBy("key").orderBy("copies")).alias("nth")
     ).filter("copies > 0 and size > 0")
-    rows = docs.withColumn("key", key)
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+    rows = docs.withColumn("__key", key)
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))))
     return (
         rows.alias("d")
-        .join(dealt.alias("c"), (F.col("d.key") == F.col("c.key")) & (F.col("d.nth") == F.col("c.nth")))
+        .join(dealt.alias("c"), (F.col("d.__key") == F.col("c.key")) & (F.col("d.__nth") == F.col("c.nth")))
         .select(
             *[F.col(f"d.`{c}`") for c in docs.columns],
             F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int"))).alias("__copy"),

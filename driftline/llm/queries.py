@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import decontam, mixing, simhash, sketch
+from driftline.llm import decontam, langid, mixing, simhash, sketch, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +34,23 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from the labels outside the held-out part."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the languages outside the held-out part."""
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_fingerprints": op3_fingerprints,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
+    "op9_toxicity": op9_toxicity,
+    "op10_language": op10_language,
 }
