@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import decontam, langid, mixing, simhash, sketch, toxicity
+from driftline.llm import decontam, langid, linededup, mixing, simhash, sketch, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class, links and verdict of every line of the documents that takes part."""
+    found = linededup.line_classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_no", "n_chars", "links", "class_doc", "class_line", "kept")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labels outside the held-out part."""
     docs = _table(spark, sf_dir, "documents")
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
+    "op7_linededup": op7_linededup,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
 }
