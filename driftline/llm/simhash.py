@@ -81,14 +81,16 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterat
             starts, lens, bounds = shingles(words, size)
             found.append(majority_bits(xxh64(words.buf, starts, lens), bounds))
         bits = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits)], ["doc_id", "bits"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("print"), pa.array(bits)], ["doc_id", "print", "bits"]
+        )
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, bits)``: the 64-bit SimHash of every whole text, as a signed long."""
+    """``(doc_id, print, bits)``: the 64-bit SimHash of every whole text, and a plain hash of it, as signed longs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        lambda batches: _fingerprint_batches(batches, size), f"doc_id {kind}, bits long"
+    return docs.select("doc_id", F.xxhash64("text").alias("print"), "text").mapInArrow(
+        lambda batches: _fingerprint_batches(batches, size), f"doc_id {kind}, print long, bits long"
     )
 
 
@@ -148,7 +150,7 @@ def near_pairs(bits: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE_WORDS) -> DataFrame:
     """Fingerprint and near-duplicate class of every document.
 
-    Returns ``doc_id, bits, fingerprint`` (16 hex digits) and ``component_id``,
+    Returns ``doc_id, print, bits, fingerprint`` (16 hex digits) and ``component_id``,
     the smallest doc_id in reach over links between fingerprints that differ in
     ``radius`` bits or fewer.  Null and empty texts have fingerprint zero and
     link like any other.  Repeated rows are returned as often as they come; a
@@ -165,5 +167,26 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE_W
     classes = reach.groupBy("label").agg(F.min("lowest").alias("component_id"))
     named = reach.select("bits", "label").join(classes, "label").select("bits", "component_id")
     return marked.join(named, "bits").select(
-        "doc_id", "bits", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", "print", "bits", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def without_near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of each near-duplicate class of ``docs``, with all its columns.
+
+    The smallest doc_id of the class stays, among its rows the one with the
+    smallest text hash; null doc_ids stay only where a class has no other.
+    """
+    found = near_duplicates(docs, radius, size)
+    # A class without any doc_id has no component_id and is known by its fingerprint.
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("bits")).alias("bits"))
+    key = F.struct("doc_id", "print")
+    stays = (
+        found.withColumn("order", F.struct(F.col("doc_id").isNull().alias("last"), key.alias("key")))
+        .groupBy(group)
+        .agg(F.min("order").alias("first"))
+        .select(F.col("first.key").alias("__key"))
     )
+    rows = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("print")))
+    # Rows that share doc_id and text differ at most in other columns; any one of them stays.
+    return rows.join(stays, "__key", "left_semi").dropDuplicates(["__key"]).select(*[f"`{c}`" for c in docs.columns])
