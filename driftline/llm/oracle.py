@@ -76,4 +76,16 @@ SELECT doc_id, size, source_size, target,
 FROM ranked JOIN goals ON ranked.source IS NOT DISTINCT FROM goals.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5, "op6_mixing": OP6}
+OP8 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(encode(coalesce(html, ''))) AS payload_digest
+  FROM pages
+),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS head FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND head <> page_id THEN head END AS refers_to
+FROM q
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5, "op6_mixing": OP6, "op8_warc": OP8}

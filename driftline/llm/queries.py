@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftline.llm import decontam, langid, linededup, mixing, simhash, sketch, toxicity
+from driftline.llm import decontam, langid, licenses, linededup, mixing, simhash, sketch, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A public vocabulary; see the README of its folder.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every web page: its own notice, or that of the nearest directory of its URL."""
+    return licenses.scan(licenses.page_files(_table(spark, sf_dir, "pages")))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate class of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -24,6 +33,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_and_next(_table(spark, sf_dir, "documents"))
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token count of every document."""
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), PIECES)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark spans in every document, found by winnowing."""
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -40,6 +54,12 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_no", "n_chars", "links", "class_doc", "class_line", "kept")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived as dictionary-compressed WARC records and read back."""
+    found = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the labels outside the held-out part."""
     docs = _table(spark, sf_dir, "documents")
@@ -53,11 +73,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_simhash": op2_simhash,
     "op3_fingerprints": op3_fingerprints,
+    "op4_tokens": op4_tokens,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
     "op7_linededup": op7_linededup,
+    "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_language": op10_language,
 }
