@@ -37,6 +37,12 @@ def _in_order(*more: str) -> Window:
     return Window.partitionBy(*FILE).orderBy("datetime", "ord", *more)
 
 
+def _around(rows: DataFrame, marked: str, order: str) -> DataFrame:
+    """``prev`` and ``next``: the nearest non-null ``marked`` before and after each row of a file."""
+    over = f"OVER (PARTITION BY {', '.join(FILE)} ORDER BY {order})"
+    return rows.withColumns({n: F.expr(f"{f}({marked}, 1) IGNORE NULLS {over}") for n, f in (("prev", "lag"), ("next", "lead"))})
+
+
 def physical_bounds(points: DataFrame) -> DataFrame:
     """Points on the globe and not exactly at the origin; null coordinates go."""
     return points.filter(
@@ -83,45 +89,21 @@ def dup_candidates(points: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
     """
     work = dedup_exact(points, limits).withColumn("bad_altitude", (F.col("altitude") == limits.altitude_invalid).cast("int"))
     work = work.withColumn("is_candidate", F.count(F.lit(1)).over(Window.partitionBy(*FILE, "datetime")) > 1)
-    anchor = F.when(~F.col("is_candidate"), F.struct("datetime", "lat", "lon"))
-    order = Window.partitionBy(*FILE).orderBy("datetime", "bad_altitude", "ord")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
-    work = work.withColumn("__anchor", anchor)
-    work = work.withColumns(
-        {"prev": F.last("__anchor", ignorenulls=True).over(before), "next": F.first("__anchor", ignorenulls=True).over(after)}
-    )
+    work = work.withColumn("__anchor", F.when(~F.col("is_candidate"), F.struct("datetime", "lat", "lon")))
+    work = _around(work, "__anchor", "datetime, bad_altitude, ord")
     return _judged(work.drop("__anchor"), limits)
 
 
 def decide(candidates: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
     """One decision per file and second from candidate evidence: ``n_candidates, n_valid, valid_spread_m, decision``."""
-    spots = F.collect_list(F.when(F.col("valid"), F.struct("lat", "lon")))
     groups = candidates.groupBy(*FILE, "datetime").agg(
         F.count(F.lit(1)).alias("n_candidates"),
         F.sum(F.col("valid").cast("long")).alias("n_valid"),
         F.max("invalid_anchors").alias("invalid_anchors"),
-        spots.alias("spots"),
-    )
-    # The few positions of one second are compared inside the row.
-    spread = F.aggregate(
-        F.flatten(
-            F.transform(
-                "spots",
-                lambda a: F.transform(F.col("spots"), lambda b: haversine_m(a["lat"], a["lon"], b["lat"], b["lon"])),
-            )
-        ),
-        F.lit(0.0),
-        lambda m, d: F.greatest(m, d),
+        F.collect_list(F.when(F.col("valid"), F.struct("lat", "lon"))).alias("spots"),
     )
-    decision = (
-        F.when(F.col("invalid_anchors"), "invalid_anchors")
-        .when(F.col("n_valid") == 0, "no_valid")
-        .when(F.col("n_valid") == 1, "single_valid")
-        .when(F.col("valid_spread_m") > limits.ambiguous_m, "ambiguous")
-        .otherwise("tie_break")
-    )
-    return groups.withColumn("valid_spread_m", spread).withColumn("decision", decision).drop("spots", "invalid_anchors")
+    groups = groups.withColumn("valid_spread_m", _spread(F.col("spots")))
+    return groups.withColumn("decision", _ladder(limits)).drop("spots", "invalid_anchors")
 
 
 _REASONS = {
@@ -132,73 +114,105 @@ _REASONS = {
 }
 
 
-def with_decisions(candidates: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
-    """Candidates with their group's decision, ``survivor`` and quarantine ``reason`` (null: kept, or dropped silently)."""
-    group = [*FILE, "datetime"]
-    resolved = F.col("decision").isin("single_valid", "tie_break")
-    rank = F.row_number().over(
-        Window.partitionBy(*group).orderBy((~F.col("valid")).cast("int"), "score", "bad_altitude", "ord")
+def _spread(spots: Column) -> Column:
+    """The largest distance between any two of the few positions of one second."""
+    pairs = F.transform(spots, lambda a: F.transform(spots, lambda b: haversine_m(a["lat"], a["lon"], b["lat"], b["lon"])))
+    return F.aggregate(F.flatten(pairs), F.lit(0.0), lambda m, d: F.greatest(m, d))
+
+
+def _ladder(limits: Thresholds) -> Column:
+    return (
+        F.when(F.col("invalid_anchors"), "invalid_anchors")
+        .when(F.col("n_valid") == 0, "no_valid")
+        .when(F.col("n_valid") == 1, "single_valid")
+        .when(F.col("valid_spread_m") > limits.ambiguous_m, "ambiguous")
+        .otherwise("tie_break")
+    )
+
+
+def with_decisions(rows: DataFrame, limits: Thresholds = LIMITS, flag: str = "is_candidate") -> DataFrame:
+    """Rows with their second's ``decision``, ``survivor`` and quarantine ``reason`` (null: kept, or dropped silently).
+
+    Only rows with ``flag`` are decided; the others keep nulls.  All figures are
+    windows within the file, so the rows stay where they are.
+    """
+    group = Window.partitionBy(*FILE, "datetime")
+    mine = F.col(flag)
+    good = mine & F.col("valid")
+    rows = rows.withColumns(
+        {
+            "n_valid": F.sum(good.cast("long")).over(group),
+            "invalid_anchors": F.max(mine & F.col("invalid_anchors")).over(group),
+            "__spots": F.collect_list(F.when(good, F.struct("lat", "lon"))).over(group),
+            "__rank": F.row_number().over(group.orderBy((~mine).cast("int"), (~good).cast("int"), "score", "bad_altitude", "ord")),
+        }
     )
-    rows = candidates.join(decide(candidates, limits), group).withColumn("__rank", rank)
-    reason = F.when(~resolved, F.col("decision")).when(~F.col("valid"), F.lit("rejected"))
+    spread = F.when(F.col("n_valid") > 1, _spread(F.col("__spots"))).otherwise(0.0)
+    rows = rows.withColumn("valid_spread_m", spread).withColumn("decision", F.when(mine, _ladder(limits)))
+    resolved = F.coalesce(F.col("decision").isin("single_valid", "tie_break"), F.lit(False))
+    reason = F.when(mine & ~resolved, F.col("decision")).when(mine & ~F.col("valid"), F.lit("rejected"))
     named = F.create_map(*[F.lit(x) for pair in _REASONS.items() for x in pair])
     return (
         rows.withColumn("survivor", resolved & (F.col("__rank") == 1))
         .withColumn("reason", F.try_element_at(named, reason))
-        .drop("__rank")
+        .drop("__rank", "__spots")
     )
 
 
 POINT = [*FILE, "ord", "datetime", "lat", "lon", "altitude"]
 
 
+def _resolved(points: DataFrame, limits: Thresholds) -> DataFrame:
+    """Deduplicated points with ``kept`` and ``reason`` after every shared second has been decided."""
+    rows = with_decisions(dup_candidates(points, limits), limits)
+    return rows.withColumn("kept", ~F.col("is_candidate") | F.col("survivor")).select(*POINT, "bad_altitude", "kept", "reason")
+
+
 def resolve_duplicates(points: DataFrame, limits: Thresholds = LIMITS) -> tuple[DataFrame, DataFrame]:
     """``(kept, quarantined)`` after every shared second has been decided."""
-    judged = dup_candidates(points, limits)
-    decided = with_decisions(judged.filter("is_candidate"), limits)
-    kept = judged.filter("NOT is_candidate").select(*POINT).unionByName(decided.filter("survivor").select(*POINT))
-    return kept, decided.filter("reason IS NOT NULL").select(*POINT, "reason")
+    rows = _resolved(points, limits)
+    return rows.filter("kept").select(*POINT), rows.filter("reason IS NOT NULL").select(*POINT, "reason")
 
 
-
-def speed_spikes(points: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
-    """All points with ``is_spike``: both steps around it are impossible and the step past it isn't; one pass."""
-    order = _in_order()
-    spot = F.struct("datetime", "lat", "lon")
-    rows = points.withColumns({"__a": F.lag(spot).over(order), "__b": F.lead(spot).over(order)})
+def _with_spikes(rows: DataFrame, limits: Thresholds) -> DataFrame:
+    """``is_spike`` among the rows with ``kept``: both steps around are impossible and the step past it isn't; one pass."""
+    rows = rows.withColumn("__spot", F.when(F.col("kept"), F.struct("datetime", "lat", "lon")))
+    rows = _around(rows, "__spot", "datetime, ord")
 
     def over(p: str, q: str) -> Column:
         seconds = seconds_between(f"{p}datetime", f"{q}datetime")
         metres = haversine_m(f"{p}lat", f"{p}lon", f"{q}lat", f"{q}lon")
         return F.coalesce(speed_kmh(metres, seconds) > limits.impossible_kmh, F.lit(False))
 
-    whole = F.col("__a").isNotNull() & F.col("__b").isNotNull()
-    spike = whole & over("__a.", "") & over("", "__b.") & ~over("__a.", "__b.")
-    return rows.withColumn("is_spike", spike).drop("__a", "__b")
+    whole = F.col("kept") & F.col("prev").isNotNull() & F.col("next").isNotNull()
+    spike = whole & over("prev.", "") & over("", "next.") & ~over("prev.", "next.")
+    return rows.withColumn("is_spike", spike).drop("__spot", "prev", "next")
 
 
-def recheck(base: DataFrame, quarantined: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
-    """Seconds with invalid anchors, judged again between their neighbours in the spike-free ``base``.
+def speed_spikes(points: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
+    """All points with ``is_spike``."""
+    return _with_spikes(points.withColumn("kept", F.lit(True)), limits).drop("kept")
 
-    Returns the points with ``decision``, ``survivor`` and ``reason``; a group
-    without both neighbours keeps its reason.
+
+def _rechecked(rows: DataFrame, limits: Thresholds) -> DataFrame:
+    """Rows with ``again`` judged between their neighbours among the rows with ``base``.
+
+    A group without both neighbours keeps its reason.
     """
-    again = quarantined.filter(F.col("reason") == _REASONS["invalid_anchors"]).drop("reason")
-    both = base.select(*POINT).withColumn("__base", F.lit(True)).unionByName(again.withColumn("__base", F.lit(False)))
-    anchor = F.when(F.col("__base"), F.struct("datetime", "lat", "lon"))
-    order = _in_order()
-    rows = both.withColumn("__anchor", anchor).withColumns(
-        {
-            "prev": F.last("__anchor", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
-            "next": F.first("__anchor", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)),
-        }
-    )
-    rows = rows.filter("NOT __base").drop("__base", "__anchor")
-    rows = rows.withColumn("bad_altitude", (F.col("altitude") == limits.altitude_invalid).cast("int"))
-    judged = _judged(rows, limits)
+    rows = rows.withColumn("__spot", F.when(F.col("base"), F.struct("datetime", "lat", "lon")))
+    rows = _judged(_around(rows, "__spot", "datetime, ord").drop("__spot"), limits)
     sided = F.col("prev").isNotNull() & F.col("next").isNotNull()
-    judged = judged.withColumn("invalid_anchors", ~sided | F.col("invalid_anchors"))
-    return with_decisions(judged, limits)
+    rows = rows.withColumn("invalid_anchors", F.col("again") & (~sided | F.col("invalid_anchors")))
+    return with_decisions(rows, limits, "again")
+
+
+def recheck(base: DataFrame, quarantined: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
+    """Seconds with invalid anchors, judged again between their neighbours in the spike-free ``base``."""
+    again = quarantined.filter(F.col("reason") == _REASONS["invalid_anchors"]).select(*POINT)
+    rows = base.select(*POINT).withColumn("base", F.lit(True)).unionByName(again.withColumn("base", F.lit(False)))
+    rows = rows.withColumn("again", ~F.col("base"))
+    rows = rows.withColumn("bad_altitude", (F.col("altitude") == limits.altitude_invalid).cast("int"))
+    return _rechecked(rows, limits).filter("again").select(*POINT, "decision", "survivor", "reason")
 
 
 def altitude_clean(points: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
@@ -207,12 +221,8 @@ def altitude_clean(points: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
     raw = F.when(F.col("altitude") != limits.altitude_invalid, F.col("altitude"))
     rows = points.withColumn("altitude", raw).withColumn("__rn", F.row_number().over(order))
     known = F.when(F.col("altitude").isNotNull(), F.struct("__rn", (F.col("altitude") * FEET).alias("m")))
-    rows = rows.withColumn("__known", known).withColumns(
-        {
-            "__p": F.last("__known", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "__q": F.first("__known", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
-        }
-    )
+    rows = _around(rows.withColumn("__known", known), "__known", "datetime, ord")
+    rows = rows.withColumns({"__p": F.coalesce("__known", "prev"), "__q": F.coalesce("__known", "next")}).drop("prev", "next")
     share = (F.col("__rn") - F.col("__p.__rn")) / (F.col("__q.__rn") - F.col("__p.__rn"))
     between = F.when(F.col("__p.__rn") == F.col("__q.__rn"), F.col("__p.m")).otherwise(
         F.col("__p.m") + (F.col("__q.m") - F.col("__p.m")) * share
@@ -248,19 +258,26 @@ def localize(points: DataFrame) -> DataFrame:
     return points.withColumn("tz_name", zone).withColumn("timestamp_local", to_local(F.col("datetime"), F.col("tz_name")))
 
 
+def judged_points(points: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
+    """All deduplicated points with ``accepted`` and ``reason``, before the last gate.
+
+    Points move once, to their file; every later stage is a window there.
+    """
+    rows = _resolved(min_points_gate(physical_bounds(points), limits.min_points), limits)
+    rows = _with_spikes(rows, limits)
+    rows = rows.withColumn("base", F.col("kept") & ~F.col("is_spike")).withColumnRenamed("reason", "before")
+    rows = rows.withColumn("again", F.coalesce(F.col("before") == _REASONS["invalid_anchors"], F.lit(False)))
+    rows = _rechecked(rows, limits)
+    reason = F.when(F.col("again"), F.col("reason")).when(F.col("is_spike"), "speed_spike").otherwise(F.col("before"))
+    return rows.select(*POINT, (F.col("base") | F.col("survivor")).alias("accepted"), reason.alias("reason"))
+
+
 def clean(points: DataFrame, limits: Thresholds = LIMITS) -> tuple[DataFrame, DataFrame]:
     """``(clean, quarantined)``: all cleaning stages over all files."""
-    gated = min_points_gate(physical_bounds(points), limits.min_points)
-    kept, quarantined = resolve_duplicates(gated, limits)
-    marked = speed_spikes(kept, limits)
-    base = marked.filter("NOT is_spike").select(*POINT)
-    spikes = marked.filter("is_spike").select(*POINT, F.lit("speed_spike").alias("reason"))
-    again = recheck(base, quarantined, limits)
-    whole = base.unionByName(again.filter("survivor").select(*POINT))
-    whole = min_points_gate(whole, limits.min_points)
+    rows = judged_points(points, limits)
+    whole = min_points_gate(rows.filter("accepted").select(*POINT), limits.min_points)
     done = localize(segment_trajectories(altitude_clean(whole, limits), limits))
-    rest = quarantined.filter(F.col("reason") != _REASONS["invalid_anchors"])
-    return done, rest.unionByName(spikes).unionByName(again.filter("reason IS NOT NULL").select(*POINT, "reason"))
+    return done, rows.filter("reason IS NOT NULL").select(*POINT, "reason")
 
 
 # --- the simpler library chain: other limits, other conventions ---

@@ -98,7 +98,7 @@ def dup_valid_spread(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def dup_survivors(s: SparkSession, d: str) -> DataFrame:
-    rows = cleaning.with_decisions(cleaning.dup_candidates(gated(s, d)).filter("is_candidate"))
+    rows = cleaning.with_decisions(cleaning.dup_candidates(gated(s, d)))
     return rows.filter("survivor").select(*KEY, "decision")
 
 
@@ -242,7 +242,7 @@ def gap_chains(s: SparkSession, d: str) -> DataFrame:
 
 def _stay_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
-        "user_id", "chain", "stay", "arrival", "departure", r("lat", 6), r("lon", 6), "num_points", r("altitude_m"), r("observed_minutes"), r("duration_minutes")
+        "user_id", "chain", "stay", "arrival", "departure", r("lat", 10), r("lon", 10), "num_points", r("altitude_m"), r("observed_minutes"), r("duration_minutes")
     )
 
 
@@ -327,14 +327,14 @@ def window_days(s: SparkSession, d: str) -> DataFrame:
 @query
 def classify_v1(s: SparkSession, d: str) -> DataFrame:
     return classify.winners_v1(scores(s, d)).select(
-        "user_id", "type", r("lat", 6), r("lon", 6), r("minutes"), "support", r("confidence", 6), "status", "reason"
+        "user_id", "type", r("lat", 10), r("lon", 10), r("minutes"), "support", r("confidence", 6), "status", "reason"
     )
 
 
 @query
 def v1_pois(s: SparkSession, d: str) -> DataFrame:
     return classify.pois_v1(scores(s, d)).select(
-        "user_id", "geohash", r("lat", 6), r("lon", 6), "visit_count", r("duration_minutes"), r("confidence", 6), "rank"
+        "user_id", "geohash", r("lat", 10), r("lon", 10), "visit_count", r("duration_minutes"), r("confidence", 6), "rank"
     )
 
 
@@ -349,14 +349,14 @@ def dbscan_places(s: SparkSession, d: str) -> DataFrame:
 @query
 def classify_v2(s: SparkSession, d: str) -> DataFrame:
     return classify.winners_v2(classify.place_scores(scores(s, d))).select(
-        "user_id", "type", r("lat", 6), r("lon", 6), "visit_count", r("minutes"), "days", r("confidence", 6), "status", "reason"
+        "user_id", "type", r("lat", 10), r("lon", 10), "visit_count", r("minutes"), "days", r("confidence", 6), "status", "reason"
     )
 
 
 @query
 def v2_pois(s: SparkSession, d: str) -> DataFrame:
     return classify.pois_v2(classify.place_scores(scores(s, d))).select(
-        "user_id", "rank", r("lat", 6), r("lon", 6), "visit_count", r("duration_minutes"), r("confidence", 6)
+        "user_id", "rank", r("lat", 10), r("lon", 10), "visit_count", r("duration_minutes"), r("confidence", 6)
     )
 
 

@@ -6,11 +6,11 @@ from driftline.plans.sqlbase import _IN, _SPOT, geohash, hav, kmh, mean_m, query
 
 _K = "user_id, source_file, ord"
 _STAY = (
-    f"user_id, chain, stay, arrival, departure, {rnd('lat', 6)} AS lat, {rnd('lon', 6)} AS lon, num_points, {rnd('altitude_m', 3)} AS altitude_m, "
+    f"user_id, chain, stay, arrival, departure, {rnd('lat', 10)} AS lat, {rnd('lon', 10)} AS lon, num_points, {rnd('altitude_m', 3)} AS altitude_m, "
     f"{rnd('observed_minutes', 3)} AS observed_minutes, {rnd('duration_minutes', 3)} AS duration_minutes"
 )
 _LATLON = f"{rnd('lat', 6)} AS lat, {rnd('lon', 6)} AS lon"
-_AT = "({0} - DATE '1970-01-01')"
+_CENTRE = f"{rnd('lat', 10)} AS lat, {rnd('lon', 10)} AS lon"
 
 
 def _filtered(source: str, radius_test: str) -> str:
@@ -88,15 +88,15 @@ _BODIES: dict[str, str] = {
     "window_minutes": f"SELECT user_id, chain, stay, {rnd('home', 3)} AS home, {rnd('office', 3)} AS office FROM sc",
     "window_days": """SELECT user_id, count(DISTINCT d) FILTER (WHERE home_min > 0) AS home_days, count(DISTINCT d) FILTER (WHERE office_min > 0) AS office_days
       FROM days GROUP BY 1""",
-    "classify_v1": f"SELECT user_id, type, {_LATLON}, {rnd('minutes', 3)} AS minutes, support, {rnd('confidence', 6)} AS confidence, status, reason FROM win1",
-    "v1_pois": f"""SELECT user_id, geohash, {_LATLON}, visit_count, {rnd('dur', 3)} AS duration_minutes, {rnd('least(1.0, dur / total)', 6)} AS confidence, rank FROM (
+    "classify_v1": f"SELECT user_id, type, {_CENTRE}, {rnd('minutes', 3)} AS minutes, support, {rnd('confidence', 6)} AS confidence, status, reason FROM win1",
+    "v1_pois": f"""SELECT user_id, geohash, {_CENTRE}, visit_count, {rnd('dur', 3)} AS duration_minutes, {rnd('least(1.0, dur / total)', 6)} AS confidence, rank FROM (
       SELECT *, sum(dur) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY dur DESC, geohash) AS rank FROM (
         SELECT user_id, geohash, arg_min(lat, (arrival, chain, stay)) AS lat, arg_min(lon, (arrival, chain, stay)) AS lon, count(*) AS visit_count,
                sum(duration_minutes) AS dur FROM (SELECT *, {geohash('lat', 'lon', 6)} AS geohash FROM sc WHERE home = 0 AND office = 0) GROUP BY ALL))
       WHERE rank <= 5""",
     "dbscan_places": """SELECT user_id, count(*) AS places, max(n) AS largest FROM (SELECT user_id, place, count(*) AS n FROM placed GROUP BY ALL) GROUP BY 1""",
-    "classify_v2": f"""SELECT user_id, type, {_LATLON}, visit_count, {rnd('minutes', 3)} AS minutes, n_days AS days, {rnd('confidence', 6)} AS confidence, status, reason FROM win2""",
-    "v2_pois": f"""SELECT user_id, rank, {_LATLON}, visit_count, {rnd('duration_minutes', 3)} AS duration_minutes, {rnd('least(1.0, duration_minutes / total)', 6)} AS confidence
+    "classify_v2": f"""SELECT user_id, type, {_CENTRE}, visit_count, {rnd('minutes', 3)} AS minutes, n_days AS days, {rnd('confidence', 6)} AS confidence, status, reason FROM win2""",
+    "v2_pois": f"""SELECT user_id, rank, {_CENTRE}, visit_count, {rnd('duration_minutes', 3)} AS duration_minutes, {rnd('least(1.0, duration_minutes / total)', 6)} AS confidence
       FROM (SELECT *, sum(duration_minutes) OVER (PARTITION BY user_id) AS total,
                    row_number() OVER (PARTITION BY user_id ORDER BY duration_minutes DESC, first_seen) AS rank FROM pl WHERE home = 0 AND office = 0) WHERE rank <= 5""",
     "shadow_compare": "SELECT user_id, type, outcome FROM compared",
