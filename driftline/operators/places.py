@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions.geo import MEAN_RADIUS_KM, mean_haversine_m
 
@@ -119,4 +120,4 @@ def dbscan(stays: DataFrame, eps_m: float = 150.0, min_samples: int = 2) -> Data
             yield from cluster(held).to_batches()
 
     ordered = stays.repartition("user_id").sortWithinPartitions("user_id", "arrival", "lat", "lon")
-    return ordered.mapInArrow(each, stays.schema.add("place", "long"))
+    return ordered.mapInArrow(each, T.StructType([*stays.schema.fields, T.StructField("place", T.LongType())]))

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from driftline.functions.geo import MEAN_RADIUS_KM, mean_haversine_m, seconds_between
@@ -105,7 +106,7 @@ def stay_members(
         if held is not None:
             yield from scan(held).to_batches()
 
-    schema = chains.schema.add("stay", "long")
+    schema = T.StructType([*chains.schema.fields, T.StructField("stay", T.LongType())])
     return chains.repartition(*group).sortWithinPartitions(*group, "datetime", "ord").mapInArrow(each, schema)
 
 

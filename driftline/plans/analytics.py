@@ -13,7 +13,7 @@ from driftline.functions.geo import haversine_m, mean_haversine_m, seconds_betwe
 from driftline.operators import classify, cleaning, monitoring, places, privacy, stays
 from driftline.plans import catalogue as base
 from driftline.plans.catalogue import KEY, r, table
-from driftline.plans.sqlbase import _IN, geohash, hav, kmh, mean_m, rnd, secs
+from driftline.plans.sqlbase import _IN, SWEEP, geohash, hav, kmh, mean_m, rnd, secs
 from driftline.plans.sqlbase import query as assembled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -635,3 +635,166 @@ def candidate_users(s: SparkSession, d: str) -> DataFrame:
     rows = base.scores(s, d)
     out = classify.compare(classify.winners_v1(rows), classify.winners_v2(classify.place_scores(rows)))
     return out.filter(F.col("outcome").isin("same_place", "different_place")).select("user_id", "type")
+
+
+# --- variants of the scan, halves, matches ---
+
+
+@query("SELECT user_id, count(*) AS stays FROM scan_file WHERE from_rn IS NOT NULL GROUP BY 1")
+def stay_per_file(s: SparkSession, d: str) -> DataFrame:
+    number = F.dense_rank().over(Window.partitionBy("user_id").orderBy("source_file")) - 1
+    found = stays.stays_of(stays.stay_members(base.clean(s, d).withColumn("chain", number.cast("long"))))
+    return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("stays"))
+
+
+@query(" UNION ALL ".join(f"SELECT {a} AS radius_m, {b} AS minutes, count(*) AS stays, count(DISTINCT user_id) AS users FROM scan_{a}_{b} WHERE from_rn IS NOT NULL" for a, b in SWEEP))
+def stay_sweep(s: SparkSession, d: str) -> DataFrame:
+    chains = stays.gap_chains(base.clean(s, d))
+    out = None
+    for radius, minutes in SWEEP:
+        found = stays.stays_of(stays.stay_members(chains, radius, minutes))
+        row = found.agg(F.lit(radius).alias("radius_m"), F.lit(minutes).alias("minutes"), F.count(F.lit(1)).alias("stays"), F.count_distinct("user_id").alias("users"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    f"""SELECT user_id, chain, stay, {rnd('quantile_cont(m, 0.5)', 3)} AS p50, {rnd('quantile_cont(m, 0.9)', 3)} AS p90 FROM (
+      SELECT a.user_id, a.chain, a.stay, {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m FROM members a
+      JOIN (SELECT user_id, chain, stay, quantile_cont(lat, 0.5) AS lat, quantile_cont(lon, 0.5) AS lon FROM members GROUP BY ALL) b USING (user_id, chain, stay))
+      GROUP BY ALL"""
+)
+def stationary_footprint(s: SparkSession, d: str) -> DataFrame:
+    key = ["user_id", "chain", "stay"]
+    rows = stays.stay_members(stays.gap_chains(base.clean(s, d)))
+    centre = rows.groupBy(*key).agg(F.percentile("lat", F.lit(0.5)).alias("clat"), F.percentile("lon", F.lit(0.5)).alias("clon"))
+    q = F.percentile("m", F.array(F.lit(0.5), F.lit(0.9)))
+    gaps = rows.join(centre, key).withColumn("m", mean_haversine_m("lat", "lon", "clat", "clon"))
+    return gaps.groupBy(*key).agg(r("p50", of=F.get(q, 0)), r("p90", of=F.get(q, 1)))
+
+
+@query(
+    f"""SELECT type, count(*) AS users, count(*) FILTER (WHERE {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200) AS stable FROM
+      (SELECT * FROM (SELECT *, date_diff('day', DATE '2000-01-01', CAST(arr AS DATE)) % 2 AS half FROM typed)
+       QUALIFY row_number() OVER (PARTITION BY user_id, type, half ORDER BY minutes DESC, duration_minutes DESC, arrival) = 1) a
+      JOIN (SELECT * FROM (SELECT *, date_diff('day', DATE '2000-01-01', CAST(arr AS DATE)) % 2 AS half FROM typed)
+       QUALIFY row_number() OVER (PARTITION BY user_id, type, half ORDER BY minutes DESC, duration_minutes DESC, arrival) = 1) b USING (user_id, type)
+      WHERE a.half = 0 AND b.half = 1 GROUP BY 1"""
+)
+def split_half(s: SparkSession, d: str) -> DataFrame:
+    half = F.date_diff(F.to_date("arrival_local"), F.lit("2000-01-01").cast("date")) % 2
+    w = Window.partitionBy("user_id", "type", "half").orderBy(F.desc("minutes"), F.desc("duration_minutes"), "arrival")
+    top = classify.by_type(base.scores(s, d)).withColumn("half", half).withColumn("rk", F.row_number().over(w)).filter("rk = 1")
+    top = top.select("user_id", "type", "half", "lat", "lon")
+    both = top.filter("half = 0").alias("a").join(top.filter("half = 1").alias("b"), ["user_id", "type"])
+    near = mean_haversine_m("a.lat", "a.lon", "b.lat", "b.lon") <= 200
+    return both.groupBy("type").agg(F.count(F.lit(1)).alias("users"), F.count_if(near).alias("stable"))
+
+
+@query(
+    """SELECT user_id, type, min(arrival) AS earliest, max(arrival) AS latest, count(*) AS tied FROM (
+      SELECT *, rank() OVER (PARTITION BY user_id, type ORDER BY round(minutes, 3) DESC) AS rk FROM typed) WHERE rk = 1 GROUP BY ALL"""
+)
+def tie_breaks(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id", "type").orderBy(F.desc(F.round("minutes", 3)))
+    rows = classify.by_type(base.scores(s, d)).withColumn("rk", F.rank().over(w)).filter("rk = 1")
+    return rows.groupBy("user_id", "type").agg(F.min("arrival").alias("earliest"), F.max("arrival").alias("latest"), F.count(F.lit(1)).alias("tied"))
+
+
+@query("SELECT user_id, round_minutes, count(*) AS stays FROM (SELECT user_id, CAST(floor(duration_minutes / 60) AS BIGINT) AS round_minutes FROM st) GROUP BY ALL")
+def duration_histogram(s: SparkSession, d: str) -> DataFrame:
+    hours = F.floor(F.col("duration_minutes") / 60).cast("long")
+    return base.stay_table(s, d).groupBy("user_id", hours.alias("round_minutes")).agg(F.count(F.lit(1)).alias("stays"))
+
+
+@query("SELECT hour(slot) AS hour, count(*) AS present FROM (SELECT unnest(generate_series(date_trunc('hour', arr), dep, INTERVAL 1 HOUR)) AS slot FROM stl) GROUP BY 1")
+def overnight_hours(s: SparkSession, d: str) -> DataFrame:
+    rows = stays.localized(base.stay_table(s, d))
+    first = F.to_timestamp_ntz(F.date_format("arrival_local", "yyyy-MM-dd HH:00:00"))
+    n = F.floor(seconds_between(first, F.col("departure_local")) / 3600).cast("int")
+    slots = rows.select(first.alias("first"), F.explode(F.sequence(F.lit(0), n)).alias("i"))
+    return slots.groupBy(F.hour(times.plus_seconds(F.col("first"), F.col("i") * 3600)).alias("hour")).agg(F.count(F.lit(1)).alias("present"))
+
+
+@query(
+    f"""SELECT user_id, arrival, {rnd('min(m)', 3)} AS nearest_m, count(*) AS overlapping FROM (
+      SELECT a.user_id, a.arrival, {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m FROM st_anchor a JOIN st b
+        ON a.user_id = b.user_id AND a.arrival < b.departure AND a.departure > b.arrival) GROUP BY ALL"""
+)
+def stage_match_nearest(s: SparkSession, d: str) -> DataFrame:
+    a, b = stays.stay_points(base.clean(s, d), anchor=True).alias("a"), base.stay_table(s, d).alias("b")
+    met = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.arrival") < F.col("b.departure")) & (F.col("a.departure") > F.col("b.arrival")))
+    metres = mean_haversine_m("a.lat", "a.lon", "b.lat", "b.lon")
+    return met.groupBy(F.col("a.user_id").alias("user_id"), F.col("a.arrival").alias("arrival")).agg(r("nearest_m", of=F.min(metres)), F.count(F.lit(1)).alias("overlapping"))
+
+
+@query(
+    f"""SELECT EXISTS (SELECT 1 FROM lab l WHERE l.user_id = g.user_id AND l.start < g.datetime AND l."end" > g.p.datetime) AS labelled, count(*) AS n
+      FROM {_GAP_SQL} g WHERE g.g > 1200 GROUP BY 1"""
+)
+def gap_label_evidence(s: SparkSession, d: str) -> DataFrame:
+    gaps = _user_gaps(s, d).filter("g > 1200").select(*KEY, F.col("p.datetime").alias("from"), F.col("datetime").alias("to")).alias("g")
+    lab = base.labels(s, d).alias("l")
+    met = (F.col("g.user_id") == F.col("l.user_id")) & (F.col("l.start") < F.col("g.to")) & (F.col("l.end") > F.col("g.from"))
+    yes = gaps.join(lab, met, "left_semi").select(*[F.col(f"g.{k}") for k in KEY]).withColumn("hit", F.lit(True))
+    rows = gaps.select(*[F.col(f"g.{k}") for k in KEY]).join(yes, KEY, "left")
+    return rows.groupBy(F.coalesce("hit", F.lit(False)).alias("labelled")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT user_id, count(*) AS stops FROM (
+      SELECT user_id, (epoch_us(lead(start) OVER (PARTITION BY user_id ORDER BY start, label_id)) - epoch_us("end")) / 60e6 AS m FROM lab)
+      WHERE m BETWEEN 15 AND 1080 GROUP BY 1"""
+)
+def label_stops(s: SparkSession, d: str) -> DataFrame:
+    nxt = F.lead("start").over(Window.partitionBy("user_id").orderBy("start", "label_id"))
+    rows = base.labels(s, d).withColumn("m", seconds_between(F.col("end"), nxt) / 60).filter("m BETWEEN 15 AND 1080")
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("stops"))
+
+
+_CONTENT = "md5(event_type || '|' || k)"
+
+
+@query(f"SELECT a.user_id AS user_a, b.user_id AS user_b, count(*) AS shared FROM (SELECT DISTINCT user_id, {_CONTENT} AS h FROM ev) a "
+       f"JOIN (SELECT DISTINCT user_id, {_CONTENT} AS h FROM ev) b ON a.h = b.h AND a.user_id < b.user_id GROUP BY ALL")
+def shared_pairs(s: SparkSession, d: str) -> DataFrame:
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long")).cast("string")
+    rows = table(s, d, "events").select("user_id", F.md5(F.concat_ws("|", "event_type", k).cast("binary")).alias("h")).distinct()
+    met = rows.alias("a").join(rows.alias("b"), "h").filter("a.user_id < b.user_id")
+    return met.groupBy(F.col("a.user_id").alias("user_a"), F.col("b.user_id").alias("user_b")).agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query(f"SELECT h, count(DISTINCT user_id) AS users, count(*) AS copies FROM (SELECT user_id, {_CONTENT} AS h FROM ev) GROUP BY 1 HAVING count(DISTINCT user_id) > 1")
+def shared_files(s: SparkSession, d: str) -> DataFrame:
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long")).cast("string")
+    rows = table(s, d, "events").select("user_id", F.md5(F.concat_ws("|", "event_type", k).cast("binary")).alias("h"))
+    return rows.groupBy("h").agg(F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("copies")).filter("users > 1")
+
+
+@query(
+    """SELECT coalesce(mode, 'none') AS mode, count(*) AS spikes FROM (
+      SELECT q.user_id, q.ord, arg_min(l.mode, (l.start, l.label_id)) AS mode FROM quarantine q
+      LEFT JOIN lab l ON q.user_id = l.user_id AND q.datetime BETWEEN l.start AND l."end" WHERE q.reason = 'speed_spike' GROUP BY ALL) GROUP BY 1"""
+)
+def mode_at_jump(s: SparkSession, d: str) -> DataFrame:
+    spikes = cleaning.clean(base.points(s, d))[1].filter("reason = 'speed_spike'")
+    hit = base._in_interval(spikes, base.labels(s, d)).groupBy("user_id", "ord").agg(F.min_by("mode", F.struct("start", "label_id")).alias("mode"))
+    rows = spikes.select("user_id", "ord").join(hit, ["user_id", "ord"], "left")
+    return rows.groupBy(F.coalesce("mode", F.lit("none")).alias("mode")).agg(F.count(F.lit(1)).alias("spikes"))
+
+
+@query("""SELECT CASE WHEN n_valid < 2 THEN 'few' WHEN valid_spread_m > 200 THEN 'ambiguous' ELSE 'tie_break' END AS at_200,
+      CASE WHEN n_valid < 2 THEN 'few' WHEN valid_spread_m > 500 THEN 'ambiguous' ELSE 'tie_break' END AS at_500, count(*) AS n FROM dec GROUP BY ALL""")
+def decision_transition(s: SparkSession, d: str) -> DataFrame:
+    rows = cleaning.decide(cleaning.dup_candidates(base.gated(s, d)).filter("is_candidate"))
+
+    def at(limit: int):
+        return F.when(F.col("n_valid") < 2, "few").when(F.col("valid_spread_m") > limit, "ambiguous").otherwise("tie_break").alias(f"at_{limit}")
+
+    return rows.groupBy(at(200), at(500)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT user_id, arg_max(id, (m, id)) AS id FROM (SELECT a.user_id, a.chain || '-' || a.stay AS id, {rnd('sum(b.duration_minutes)', 3)} AS m
+      FROM st a JOIN st b ON a.user_id = b.user_id WHERE {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200 GROUP BY ALL) GROUP BY 1""")
+def core_place(s: SparkSession, d: str) -> DataFrame:
+    return area_score(s, d).groupBy("user_id").agg(F.max_by("id", F.struct("minutes", "id")).alias("id"))

@@ -180,14 +180,14 @@ CTES: dict[str, str] = {
 }
 
 
-def _scan(name: str, anchor: bool) -> str:
+def _scan(name: str, anchor: bool, source: str = "chained", radius: int = 200, minutes: int = 30) -> str:
     """Greedy stay scan as a state machine: one step takes the next point in, or ends the window and restarts."""
     ref_lat, ref_lon = ("s.p0lat", "s.p0lon") if anchor else ("s.slat / s.n", "s.slon / s.n")
-    inside = f"coalesce({mean_m(ref_lat, ref_lon, 'x.lat', 'x.lon')} <= 200, FALSE)"
+    inside = f"coalesce({mean_m(ref_lat, ref_lon, 'x.lat', 'x.lon')} <= {radius}, FALSE)"
     return f"""
   SELECT user_id, chain, n_chain, 1::BIGINT AS start_rn, 1::BIGINT AS cur, lat AS slat, lon AS slon, 1::BIGINT AS n, lat AS p0lat, lon AS p0lon,
          datetime AS t0, datetime AS t1, CAST(NULL AS BIGINT) AS from_rn, CAST(NULL AS BIGINT) AS to_rn
-  FROM chained WHERE rn = 1
+  FROM {source} WHERE rn = 1
   UNION ALL
   SELECT s.user_id, s.chain, s.n_chain,
          CASE WHEN w.ok THEN s.start_rn ELSE r.rn END, CASE WHEN w.ok THEN x.rn ELSE r.rn END,
@@ -196,9 +196,9 @@ def _scan(name: str, anchor: bool) -> str:
          CASE WHEN w.ok THEN s.t0 ELSE r.datetime END, CASE WHEN w.ok THEN x.datetime ELSE r.datetime END,
          CASE WHEN NOT w.ok AND w.long THEN s.start_rn END, CASE WHEN NOT w.ok AND w.long THEN s.cur END
   FROM {name} s
-  LEFT JOIN chained x ON x.user_id = s.user_id AND x.chain = s.chain AND x.rn = s.cur + 1,
-  LATERAL (SELECT {inside} AS ok, epoch_us(s.t1) - epoch_us(s.t0) >= 1800000000 AS long) w
-  LEFT JOIN chained r ON r.user_id = s.user_id AND r.chain = s.chain AND r.rn = CASE WHEN w.long THEN s.cur + 1 ELSE s.start_rn + 1 END
+  LEFT JOIN {source} x ON x.user_id = s.user_id AND x.chain = s.chain AND x.rn = s.cur + 1,
+  LATERAL (SELECT {inside} AS ok, epoch_us(s.t1) - epoch_us(s.t0) >= {minutes * 60_000_000} AS long) w
+  LEFT JOIN {source} r ON r.user_id = s.user_id AND r.chain = s.chain AND r.rn = CASE WHEN w.long THEN s.cur + 1 ELSE s.start_rn + 1 END
   WHERE s.start_rn <= s.n_chain"""
 
 
@@ -235,7 +235,7 @@ def query(body: str) -> str:
     for name in CTES:
         if re.search(rf"\b{name}\b", body):
             needed += [n for n in cte(name) if n not in needed]
-    recursive = "RECURSIVE " if {"scan", "scan_anchor", "reach"} & set(needed) else ""
+    recursive = "RECURSIVE " if any(n.startswith(("scan", "reach")) for n in needed) else ""
     if not needed:
         return body
     return f"WITH {recursive}" + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + "\n" + body
@@ -300,3 +300,14 @@ CTES["kept_steps"] = f"""
   FROM (SELECT *, lag({_SPOT}) OVER ({_IN}) AS p FROM kept)"""
 CTES["mins"] = """
   SELECT user_id, strftime(datetime, '%Y-%m-%d %H:%M') AS m, arg_min(lat, (datetime, ord)) AS lat, arg_min(lon, (datetime, ord)) AS lon FROM kept GROUP BY 1, 2"""
+
+
+CTES["chained_file"] = f"""
+  SELECT *, row_number() OVER (PARTITION BY user_id, chain ORDER BY datetime, ord) AS rn, count(*) OVER (PARTITION BY user_id, chain) AS n_chain
+  FROM (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY source_file) - 1 AS chain FROM clean)"""
+CTES["scan_file"] = _scan("scan_file", False, "chained_file")
+SWEEP = [(100, 20), (200, 60), (300, 30)]
+for _r, _m in SWEEP:
+    CTES[f"scan_{_r}_{_m}"] = _scan(f"scan_{_r}_{_m}", False, "chained", _r, _m)
+CTES["members"] = """
+  SELECT c.*, s.stay FROM chained c JOIN st s ON s.user_id = c.user_id AND s.chain = c.chain AND c.rn BETWEEN s.stay AND s.stay + s.num_points - 1"""
