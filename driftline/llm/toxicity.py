@@ -21,6 +21,8 @@ from driftline.llm.textbatch import lowered, runs, split_words, utf8
 #: Lengths of the n-grams, in bytes of the text with A-Z lower-cased and white space made single.
 SIZES = (3, 4, 5, 6)
 BUCKET_BITS = 20
+#: Texts are processed in runs of about this many bytes: every byte has several n-grams in memory.
+RUN_BYTES = 256 << 10
 #: Training sample: at most so many labelled texts of either label, the first by hash of doc_id.
 ROWS_PER_LABEL = 2000
 #: Texts longer than this aren't learned from; all texts are scored whole.
@@ -105,7 +107,7 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model | None:
     buf, offsets = utf8(texts)
     # Document counts by label first, so that only features worth keeping are ever stored.
     counts = np.zeros((2, 1 << BUCKET_BITS))
-    for lo, hi in runs(offsets):
+    for lo, hi in runs(offsets, RUN_BYTES):
         rows, buckets = _present(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         label = toxic[lo + rows] > 0
         for k, mask in ((1, label), (0, ~label)):
@@ -121,7 +123,7 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Model | None:
     slot = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
     slot[kept] = np.arange(len(kept))
     all_rows, all_slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for lo, hi in runs(offsets):
+    for lo, hi in runs(offsets, RUN_BYTES):
         rows, buckets = _present(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], wanted)
         all_rows.append(rows + lo)
         all_slots.append(slot[buckets])
@@ -153,7 +155,7 @@ def scores(model: Model | None, texts: pa.Array, table: np.ndarray | None = None
     wanted = table != 0
     buf, offsets = utf8(texts)
     out = []
-    for lo, hi in runs(offsets):
+    for lo, hi in runs(offsets, RUN_BYTES):
         rows, buckets = _present(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], wanted)
         out.append(np.bincount(rows, weights=table[buckets], minlength=hi - lo) + model.bias)
     return _sigmoid(np.concatenate(out)) if out else np.zeros(0)
