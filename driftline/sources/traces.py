@@ -18,7 +18,7 @@ def read_plt(spark: SparkSession, path: str) -> DataFrame:
     number, date and time.  Rows without a valid time are dropped; ``ord`` is
     the line's place in its file.
     """
-    files = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("ord", "line")).filter(
         F.col("ord") >= HEADER_LINES
     )
