@@ -27,6 +27,8 @@ EDITS = 2
 LEAST_CHARS = 24
 #: Lines with a partner that are broadcast to the text scan at most; beyond it both sides are shuffled.
 BROADCAST_LINES = 1_000_000
+#: Keys that bring together more pairs than this are connected in two rounds.
+GROUP_PAIRS = 400
 
 
 # --- verification ---
@@ -226,60 +228,81 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], edits: int) -> Iterato
             )
 
 
-def _meeting_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of an index row and a probe row of one key; rows come in order of (key, role)."""
+def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Columns of whole keys as rows of one matrix, and where keys start; rows come in order of the key."""
     held: np.ndarray | None = None
-    names = ["key", "role", "h1", "h2"]
-
-    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, role = rows[0], rows[1]
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        indexed = np.add.reduceat((role == 0).astype(np.int64), starts[:-1])
-        probes = np.diff(starts) - indexed
-        busy = np.flatnonzero((indexed > 0) & (probes > 0))
-        # Probe rows p, each against the indexed rows of its key, in bounded pieces.
-        p = np.concatenate([np.arange(starts[g] + indexed[g], starts[g + 1]) for g in busy]) if len(busy) else np.zeros(0, int)
-        first, many = np.repeat(starts[busy], probes[busy]), np.repeat(indexed[busy], probes[busy])
-        ends = np.cumsum(many)
-        lo = 0
-        while lo < len(p):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 200_000)))
-            m = many[lo:hi]
-            left = np.repeat(p[lo:hi], m)
-            right = np.repeat(first[lo:hi], m) + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
-            differ = (rows[2, left] != rows[2, right]) | (rows[3, left] != rows[3, right])
-            left, right = left[differ], right[differ]
-            found = np.unique(np.stack([rows[2, left], rows[3, left], rows[2, right], rows[3, right]]), axis=1)
-            if found.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a1", "a2", "b1", "b2"])
-            lo = hi
-
     for batch in batches:
         rows = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in names])
         rows = rows if held is None else np.concatenate([held, rows], axis=1)
         last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
-        # The last key may go on in the next batch.
+        held = rows[:, last:]  # the last key may go on in the next batch
         if last:
-            yield from pairs(rows[:, :last])
-        held = rows[:, last:]
+            part = rows[:, :last]
+            yield part, np.concatenate([[0], np.flatnonzero(np.diff(part[0])) + 1, [last]])
     if held is not None and held.shape[1]:
-        yield from pairs(held)
-
+        yield held, np.array([0, held.shape[1]])
+
+
+def _probed(rows: np.ndarray, starts: np.ndarray, skip: np.ndarray, one: bool = False) -> Iterator[np.ndarray]:
+    """(a1, a2, b1, b2) of probe and index rows of each key not skipped, in bounded pieces; with ``one``, its first index row only."""
+    indexed = np.add.reduceat((rows[1] == 0).astype(np.int64), starts[:-1])
+    probes = np.diff(starts) - indexed
+    busy = np.flatnonzero((indexed > 0) & (probes > 0) & ~skip)
+    if not len(busy):
+        return
+    p = np.concatenate([np.arange(starts[g] + indexed[g], starts[g + 1]) for g in busy])
+    first, many = np.repeat(starts[busy], probes[busy]), np.repeat(indexed[busy], probes[busy])
+    many = np.minimum(many, 1) if one else many
+    ends = np.cumsum(many)
+    lo = 0
+    while lo < len(p):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 200_000)))
+        m = many[lo:hi]
+        left = np.repeat(p[lo:hi], m)
+        right = np.repeat(first[lo:hi], m) + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
+        differ = (rows[2:4, left] != rows[2:4, right]).any(axis=0)
+        if len(rows) > 4:  # labels: pairs of one class are known already
+            differ &= (rows[4:6, left] != rows[4:6, right]).any(axis=0)
+        left, right = left[differ], right[differ]
+        if len(left):
+            yield np.unique(np.concatenate([rows[2:4, left], rows[2:4, right]]), axis=1)
+        lo = hi
 
-def near_lines(lines: DataFrame, edits: int = EDITS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """Verified pairs ``(a, b, distance)`` of different lines, each known by its struct of two hashes.
 
-    ``lines`` has columns h1, h2 and line; only lines of ``LEAST_CHARS`` characters or more may be in it.
-    """
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = lines.select("h1", "h2", "line").mapInArrow(
-        lambda b: _signature_batches(b, edits), "key long, role tinyint, h1 long, h2 long"
-    )
-    met = (
-        keyed.repartition(parts, "key")
-        .sortWithinPartitions("key", "role")
-        .mapInArrow(_meeting_batches, "a1 long, a2 long, b1 long, b2 long")
+def _pair_batch(found: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(found.shape[1], pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [*(pa.array(c) for c in found), none, none.cast(pa.int8())], ["a1", "a2", "b1", "b2", "key", "role"]
     )
+
+
+def _meeting_batches(batches: Iterator[pa.RecordBatch], group_pairs: int) -> Iterator[pa.RecordBatch]:
+    """First round: all pairs of small keys; of a large key a star around one line, and its rows for the second round."""
+    for rows, starts in _by_key(batches, ["key", "role", "h1", "h2"]):
+        indexed = np.add.reduceat((rows[1] == 0).astype(np.int64), starts[:-1])
+        large = indexed * (np.diff(starts) - indexed) > group_pairs
+        for found in _probed(rows, starts, large):
+            yield _pair_batch(found)
+        if large.any():
+            for found in _probed(rows, starts, ~large, one=True):
+                yield _pair_batch(found)
+            part = rows[:, np.repeat(large, np.diff(starts))]
+            none = pa.nulls(part.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[2]), pa.array(part[3]), none, none, pa.array(part[0]), pa.array(part[1].astype(np.int8))],
+                ["a1", "a2", "b1", "b2", "key", "role"],
+            )
+
+
+def _crossing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Second round: the pairs of a large key whose lines are in different classes so far."""
+    for rows, starts in _by_key(batches, ["key", "role", "h1", "h2", "l1", "l2"]):
+        for found in _probed(rows, starts, np.zeros(len(starts) - 1, dtype=bool)):
+            yield _pair_batch(found).select(["a1", "a2", "b1", "b2"])
+
+
+def _verified(met: DataFrame, lines: DataFrame, edits: int, broadcast_lines: int) -> DataFrame:
+    """Distinct pairs ``(a, b, distance)`` within the distance among met pairs ``(a1, a2, b1, b2)``."""
     # A pair may meet in several segments, and either way round if the lengths are equal.
     one, other = (F.struct(F.col(f"{c}1").alias("h1"), F.col(f"{c}2").alias("h2")) for c in "ab")
     met = staged(met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct(), "line-pairs")
@@ -300,14 +323,55 @@ def near_lines(lines: DataFrame, edits: int = EDITS, broadcast_lines: int = BROA
     x = texts.select(F.col("key").alias("a"), F.col("line").alias("x"))
     y = texts.select(F.col("key").alias("b"), F.col("line").alias("y"))
     kind = "struct<h1: bigint, h2: bigint>"
-    return met.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, f"a {kind}, b {kind}, distance int")
+    checked = met.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return staged(checked.mapInArrow(verify, f"a {kind}, b {kind}, distance int"), "near-lines")
+
+
+def near_lines(
+    lines: DataFrame, edits: int = EDITS, broadcast_lines: int = BROADCAST_LINES, group_pairs: int = GROUP_PAIRS
+) -> DataFrame:
+    """Verified pairs ``(a, b, distance)`` of different lines, each known by its struct of two hashes.
+
+    ``lines`` has columns h1, h2 and line; only lines of ``LEAST_CHARS`` characters or more may be in it.
+    A large group of near-copies has as many pairs as its square, though a few
+    connect it: its lines are first compared with one of them, and after that
+    only with lines that aren't in the same class yet.  Every two lines within
+    the distance end up connected.
+    """
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = lines.select("h1", "h2", "line").mapInArrow(
+        lambda b: _signature_batches(b, edits), "key long, role tinyint, h1 long, h2 long"
+    )
+    met = staged(
+        keyed.repartition(parts, "key")
+        .sortWithinPartitions("key", "role")
+        .mapInArrow(
+            lambda b: _meeting_batches(b, group_pairs), "a1 long, a2 long, b1 long, b2 long, key long, role tinyint"
+        ),
+        "meetings",
+    )
+    pairs = _verified(met.filter("key IS NULL").select("a1", "a2", "b1", "b2"), lines, edits, broadcast_lines)
+    large = met.filter("key IS NOT NULL").select("key", "role", F.col("a1").alias("h1"), F.col("a2").alias("h2")).distinct()
+    if not large.limit(1).count():
+        return pairs
+    labels = connected_components(pairs.select("a", "b")).select("node.h1", "node.h2", F.col("label.h1").alias("l1"), F.col("label.h2").alias("l2"))
+    labelled = large.join(labels, ["h1", "h2"], "left").select(
+        "key", "role", "h1", "h2", F.coalesce("l1", "h1").alias("l1"), F.coalesce("l2", "h2").alias("l2")
+    )
+    crossing = (
+        labelled.repartition(parts, "key")
+        .sortWithinPartitions("key", "role")
+        .mapInArrow(_crossing_batches, "a1 long, a2 long, b1 long, b2 long")
+    )
+    return pairs.unionByName(_verified(crossing, lines, edits, broadcast_lines)).distinct()
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """The near-duplicate class of every line of ``LEAST_CHARS`` characters or more.
 
-    Returns ``doc_id, print, line_no, n_chars, links`` (different texts within
-    the distance), ``class_doc, class_line`` (where the class comes first, in
+    Returns ``doc_id, print, line_no, n_chars, links`` (different texts found
+    within the distance; in large groups of near-copies those that were compared,
+    see :func:`near_lines`), ``class_doc, class_line`` (where the class comes first, in
     order of doc_id, then text hash, then line) and ``kept`` (it is that place).
     Equal lines are one text; a class is what links connect.  Null texts have no
     lines, null doc_ids come last, and rows that repeat a doc_id and text count
