@@ -27,8 +27,8 @@ EDITS = 2
 LEAST_CHARS = 24
 #: Lines with a partner that are broadcast to the text scan at most; beyond it both sides are shuffled.
 BROADCAST_LINES = 1_000_000
-#: Keys that bring together more pairs than this are connected in two rounds.
-GROUP_PAIRS = 400
+#: Lines of a key that are compared in one piece, on either side.
+BLOCK = 256
 
 
 # --- verification ---
@@ -201,6 +201,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
+def _codes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, code points, bounds of the rows in them) of runs of lines."""
+    buf, offsets = utf8(column)
+    for lo, hi in runs(offsets, 1 << 20):
+        text = buf[offsets[lo] : offsets[hi]]
+        heads = (text & 0xC0) != 0x80
+        codes = np.frombuffer(text.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        yield lo, codes, np.concatenate([[0], np.cumsum(heads)])[offsets[lo : hi + 1] - offsets[lo]]
+
+
 def _signature_batches(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
     """(key, role, h1, h2) of the lines of a task, each line's text once."""
     seen: set[tuple[int, int]] = set()
@@ -214,13 +224,8 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], edits: int) -> Iterato
         if len(seen) > 2_000_000:  # repeats beyond cost rows, not results
             seen.clear()
         kept = batch.take(pa.array(fresh, pa.int64()))
-        buf, offsets = utf8(kept.column("line"))
         h1, h2 = h1[fresh], h2[fresh]
-        for lo, hi in runs(offsets, 1 << 20):
-            text = buf[offsets[lo] : offsets[hi]]
-            heads = (text & 0xC0) != 0x80
-            codes = np.frombuffer(text.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-            bounds = np.concatenate([[0], np.cumsum(heads)])[offsets[lo : hi + 1] - offsets[lo]]
+        for lo, codes, bounds in _codes(kept.column("line")):
             line, role, key = signatures(codes, bounds, edits)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(role), pa.array(h1[lo + line]), pa.array(h2[lo + line])],
@@ -229,7 +234,12 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], edits: int) -> Iterato
 
 
 def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Columns of whole keys as rows of one matrix, and where keys start; rows come in order of the key."""
+    """Distinct rows of whole keys as a matrix, and where keys start; rows come in order of all columns."""
+
+    def distinct(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        part = part[:, np.append(True, (np.diff(part) != 0).any(axis=0))]
+        return part, np.concatenate([[0], np.flatnonzero(np.diff(part[0])) + 1, [part.shape[1]]])
+
     held: np.ndarray | None = None
     for batch in batches:
         rows = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in names])
@@ -237,141 +247,182 @@ def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tup
         last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
         held = rows[:, last:]  # the last key may go on in the next batch
         if last:
-            part = rows[:, :last]
-            yield part, np.concatenate([[0], np.flatnonzero(np.diff(part[0])) + 1, [last]])
+            yield distinct(rows[:, :last])
     if held is not None and held.shape[1]:
-        yield held, np.array([0, held.shape[1]])
+        yield distinct(held)
+
+
+def _cell_batches(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """(key, p, q, role, h1, h2): the lines that meet in a key, dealt to cells of ``block`` index and ``block`` probe rows at most."""
+    for rows, starts in _by_key(batches, ["key", "role", "h1", "h2"]):
+        size = np.diff(starts)
+        indexed = np.add.reduceat((rows[1] == 0).astype(np.int64), starts[:-1])
+        probes = size - indexed
+        # A line always meets itself.
+        alone = (size == 2) & (rows[2:, starts[:-1]] == rows[2:, starts[1:] - 1]).all(axis=0)
+        busy = (indexed > 0) & (probes > 0) & ~alone
+        large = busy & (np.maximum(indexed, probes) > block)
+        parts = [np.insert(rows[:, np.repeat(busy & ~large, size)], 1, [[0], [0]], axis=0)]
+        for g in np.flatnonzero(large).tolist():
+            one = rows[:, starts[g] : starts[g + 1]]
+            n, m = int(indexed[g]), int(probes[g])
+            across, down = -(-n // block), -(-m // block)
+            # Every index block meets every probe block: a row goes to the cells of one line or column.
+            mine = np.concatenate([np.arange(n), np.arange(m)]) // block
+            times = np.where(one[1] == 0, down, across)
+            row = np.repeat(np.arange(n + m), times)
+            other = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            role = one[1, row]
+            cell = np.where(role == 0, [mine[row], other], [other, mine[row]])
+            parts.append(np.concatenate([one[:1, row], cell, one[1:, row]]))
+        for part in parts:
+            for lo in range(0, part.shape[1], 100_000):
+                piece = part[:, lo : lo + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in piece], ["key", "p", "q", "role", "h1", "h2"])
+
+
+_NONE = np.iinfo(np.int64).max
+
+
+def _padded(lines: np.ndarray, keys: np.ndarray, n: int, filler: int) -> np.ndarray:
+    """A row of keys a line."""
+    order = np.argsort(lines, kind="stable")
+    count = np.bincount(lines, minlength=n)
+    out = np.full((n, int(count.max(initial=0))), filler, np.int64)
+    nth = np.arange(len(lines)) - np.repeat(np.cumsum(count) - count, count)
+    out[lines[order], nth] = keys[order]
+    return out
 
 
-def _probed(rows: np.ndarray, starts: np.ndarray, skip: np.ndarray, one: bool = False) -> Iterator[np.ndarray]:
-    """(a1, a2, b1, b2) of probe and index rows of each key not skipped, in bounded pieces; with ``one``, its first index row only."""
-    indexed = np.add.reduceat((rows[1] == 0).astype(np.int64), starts[:-1])
+def _lowest_shared(index: np.ndarray, probe: np.ndarray) -> np.ndarray:
+    """The lowest key that each row of both has."""
+    low = np.full(len(index), _NONE)
+    for i in range(index.shape[1]):
+        met = np.zeros(len(index), dtype=bool)
+        for j in range(probe.shape[1]):
+            met |= index[:, i] == probe[:, j]
+        np.minimum(low, index[:, i], out=low, where=met)
+    return low
+
+
+def _meetings(role: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index row and probe row of all meetings in cells, in bounded pieces; a cell's index rows come first."""
+    indexed = np.add.reduceat((role == 0).astype(np.int64), starts[:-1])
     probes = np.diff(starts) - indexed
-    busy = np.flatnonzero((indexed > 0) & (probes > 0) & ~skip)
-    if not len(busy):
-        return
-    p = np.concatenate([np.arange(starts[g] + indexed[g], starts[g + 1]) for g in busy])
-    first, many = np.repeat(starts[busy], probes[busy]), np.repeat(indexed[busy], probes[busy])
-    many = np.minimum(many, 1) if one else many
+    p = np.flatnonzero(role == 1)
+    first, many = np.repeat(starts[:-1], probes), np.repeat(indexed, probes)
     ends = np.cumsum(many)
     lo = 0
     while lo < len(p):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 200_000)))
         m = many[lo:hi]
-        left = np.repeat(p[lo:hi], m)
-        right = np.repeat(first[lo:hi], m) + np.arange(len(left)) - np.repeat(np.cumsum(m) - m, m)
-        differ = (rows[2:4, left] != rows[2:4, right]).any(axis=0)
-        if len(rows) > 4:  # labels: pairs of one class are known already
-            differ &= (rows[4:6, left] != rows[4:6, right]).any(axis=0)
-        left, right = left[differ], right[differ]
-        if len(left):
-            yield np.unique(np.concatenate([rows[2:4, left], rows[2:4, right]]), axis=1)
+        yield np.repeat(first[lo:hi], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m), np.repeat(p[lo:hi], m)
         lo = hi
 
 
-def _pair_batch(found: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(found.shape[1], pa.int64())
+def _linked(cells: pa.Table, edits: int) -> pa.RecordBatch:
+    """(h1, h2, links, r1, r2) of lines with links in whole cells: their number, and a line that the links lead to.
+
+    A pair may meet in many keys, either way round if the lengths are equal;
+    it is verified and counted in the lowest of them only.
+    """
+    columns = {c: cells.column(c).to_numpy() for c in ("key", "p", "q", "role", "h1", "h2")}
+    names, at, who = np.unique(
+        np.stack([columns["h1"], columns["h2"]]), axis=1, return_index=True, return_inverse=True
+    )
+    who, n = who.ravel(), names.shape[1]
+    texts = cells.column("line").combine_chunks().take(pa.array(at))
+    lines, roles, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int8)], [np.zeros(0, np.uint64)]
+    for lo, codes, bounds in _codes(texts):
+        line, role, key = signatures(codes, bounds, edits)
+        lines.append(lo + line)
+        roles.append(role)
+        keys.append(key)
+    line, role, key = np.concatenate(lines), np.concatenate(roles), np.concatenate(keys).view(np.int64)
+    index, probe = (_padded(line[role == k], key[role == k], n, filler) for k, filler in ((0, 0), (1, 1)))
+    texts = texts.to_pylist()
+    cell = np.stack([columns[c] for c in ("key", "p", "q")])
+    starts = np.concatenate([[0], np.flatnonzero((np.diff(cell) != 0).any(axis=0)) + 1, [len(who)]])
+    links, root = np.zeros(n, np.int64), np.arange(n)
+    for left, right in _meetings(columns["role"], starts):
+        differ = who[left] != who[right]
+        here, x, y = columns["key"][left[differ]], who[left[differ]], who[right[differ]]
+        there, back = _lowest_shared(index[x], probe[y]), _lowest_shared(index[y], probe[x])
+        lowest = (there == here) & ((there < back) | ((there == back) & (x < y)))
+        x, y = x[lowest], y[lowest]
+        near = edit_distances([texts[i] for i in x.tolist()], [texts[i] for i in y.tolist()], edits) <= edits
+        x, y = x[near], y[near]
+        links += np.bincount(x, minlength=n) + np.bincount(y, minlength=n)
+        while (root[x] != root[y]).any():
+            low = np.minimum(root[x], root[y])
+            for side in (root[x], root[y]):
+                np.minimum.at(root, side, low)
+            root = root[root]
+    has = np.flatnonzero(links)
+    while (root[root] != root).any():
+        root = root[root]
     return pa.RecordBatch.from_arrays(
-        [*(pa.array(c) for c in found), none, none.cast(pa.int8())], ["a1", "a2", "b1", "b2", "key", "role"]
+        [pa.array(c) for c in (*names[:, has], links[has], *names[:, root[has]])], ["h1", "h2", "links", "r1", "r2"]
     )
 
 
-def _meeting_batches(batches: Iterator[pa.RecordBatch], group_pairs: int) -> Iterator[pa.RecordBatch]:
-    """First round: all pairs of small keys; of a large key a star around one line, and its rows for the second round."""
-    for rows, starts in _by_key(batches, ["key", "role", "h1", "h2"]):
-        indexed = np.add.reduceat((rows[1] == 0).astype(np.int64), starts[:-1])
-        large = indexed * (np.diff(starts) - indexed) > group_pairs
-        for found in _probed(rows, starts, large):
-            yield _pair_batch(found)
-        if large.any():
-            for found in _probed(rows, starts, ~large, one=True):
-                yield _pair_batch(found)
-            part = rows[:, np.repeat(large, np.diff(starts))]
-            none = pa.nulls(part.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[2]), pa.array(part[3]), none, none, pa.array(part[0]), pa.array(part[1].astype(np.int8))],
-                ["a1", "a2", "b1", "b2", "key", "role"],
-            )
-
-
-def _crossing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Second round: the pairs of a large key whose lines are in different classes so far."""
-    for rows, starts in _by_key(batches, ["key", "role", "h1", "h2", "l1", "l2"]):
-        for found in _probed(rows, starts, np.zeros(len(starts) - 1, dtype=bool)):
-            yield _pair_batch(found).select(["a1", "a2", "b1", "b2"])
-
-
-def _verified(met: DataFrame, lines: DataFrame, edits: int, broadcast_lines: int) -> DataFrame:
-    """Distinct pairs ``(a, b, distance)`` within the distance among met pairs ``(a1, a2, b1, b2)``."""
-    # A pair may meet in several segments, and either way round if the lengths are equal.
-    one, other = (F.struct(F.col(f"{c}1").alias("h1"), F.col(f"{c}2").alias("h2")) for c in "ab")
-    met = staged(met.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct(), "line-pairs")
-    wanted = staged(met.select("a.*").unionAll(met.select("b.*")).distinct(), "line-partners")
-    if wanted.count() <= broadcast_lines:
-        wanted = F.broadcast(wanted)
-    found = lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-    texts = staged(found.select(F.struct("h1", "h2").alias("key"), "line"), "partner-texts")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gap = edit_distances(batch.column("x").to_pylist(), batch.column("y").to_pylist(), edits)
-            table = pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(gap.astype(np.int32))], ["a", "b", "distance"]
-            )
-            yield table.filter(pa.array(gap <= edits))
-
-    x = texts.select(F.col("key").alias("a"), F.col("line").alias("x"))
-    y = texts.select(F.col("key").alias("b"), F.col("line").alias("y"))
-    kind = "struct<h1: bigint, h2: bigint>"
-    checked = met.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return staged(checked.mapInArrow(verify, f"a {kind}, b {kind}, distance int"), "near-lines")
+def _linked_batches(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+    """:func:`_linked` of rows in order of their cells."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        cell = np.stack([rows.column(c).to_numpy() for c in ("key", "p", "q")])
+        moved = np.flatnonzero((np.diff(cell) != 0).any(axis=0))
+        last = int(moved[-1]) + 1 if len(moved) else 0
+        if last:
+            yield _linked(rows.slice(0, last), edits)
+        held = rows.slice(last)  # the last cell may go on in the next batch
+    if held is not None and held.num_rows:
+        yield _linked(held, edits)
 
 
 def near_lines(
-    lines: DataFrame, edits: int = EDITS, broadcast_lines: int = BROADCAST_LINES, group_pairs: int = GROUP_PAIRS
+    lines: DataFrame, edits: int = EDITS, broadcast_lines: int = BROADCAST_LINES, block: int = BLOCK
 ) -> DataFrame:
-    """Verified pairs ``(a, b, distance)`` of different lines, each known by its struct of two hashes.
+    """``(node, links, root)`` of lines within the distance of a different line, each known by its struct of two hashes.
 
-    ``lines`` has columns h1, h2 and line; only lines of ``LEAST_CHARS`` characters or more may be in it.
-    A large group of near-copies has as many pairs as its square, though a few
-    connect it: its lines are first compared with one of them, and after that
-    only with lines that aren't in the same class yet.  Every two lines within
-    the distance end up connected.
+    ``lines`` has columns h1, h2 and line.  A line may come in several rows: links
+    add up to its number of near lines, and edges from node to root connect what
+    links connect.  All pairs that meet in a key are verified, in cells of
+    bounded size, but leave a row a line rather than a row a pair.
     """
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = lines.select("h1", "h2", "line").mapInArrow(
         lambda b: _signature_batches(b, edits), "key long, role tinyint, h1 long, h2 long"
     )
-    met = staged(
+    cells = staged(
         keyed.repartition(parts, "key")
-        .sortWithinPartitions("key", "role")
-        .mapInArrow(
-            lambda b: _meeting_batches(b, group_pairs), "a1 long, a2 long, b1 long, b2 long, key long, role tinyint"
-        ),
-        "meetings",
+        .sortWithinPartitions("key", "role", "h1", "h2")
+        .mapInArrow(lambda b: _cell_batches(b, block), "key long, p long, q long, role long, h1 long, h2 long"),
+        "line-cells",
     )
-    pairs = _verified(met.filter("key IS NULL").select("a1", "a2", "b1", "b2"), lines, edits, broadcast_lines)
-    large = met.filter("key IS NOT NULL").select("key", "role", F.col("a1").alias("h1"), F.col("a2").alias("h2")).distinct()
-    if not large.limit(1).count():
-        return pairs
-    labels = connected_components(pairs.select("a", "b")).select("node.h1", "node.h2", F.col("label.h1").alias("l1"), F.col("label.h2").alias("l2"))
-    labelled = large.join(labels, ["h1", "h2"], "left").select(
-        "key", "role", "h1", "h2", F.coalesce("l1", "h1").alias("l1"), F.coalesce("l2", "h2").alias("l2")
-    )
-    crossing = (
-        labelled.repartition(parts, "key")
-        .sortWithinPartitions("key", "role")
-        .mapInArrow(_crossing_batches, "a1 long, a2 long, b1 long, b2 long")
+    wanted = staged(cells.select("h1", "h2").distinct(), "line-partners")
+    if wanted.count() <= broadcast_lines:
+        wanted = F.broadcast(wanted)
+    found = lines.select("h1", "h2", "line").join(wanted, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    linked = (
+        cells.join(found, ["h1", "h2"])
+        .repartition(parts, "key", "p", "q")
+        .sortWithinPartitions("key", "p", "q", "role")
+        .mapInArrow(lambda b: _linked_batches(b, edits), "h1 long, h2 long, links long, r1 long, r2 long")
     )
-    return pairs.unionByName(_verified(crossing, lines, edits, broadcast_lines)).distinct()
+    node, root = F.struct("h1", "h2"), F.struct(F.col("r1").alias("h1"), F.col("r2").alias("h2"))
+    return linked.select(node.alias("node"), "links", root.alias("root"))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, block: int = BLOCK) -> DataFrame:
     """The near-duplicate class of every line of ``LEAST_CHARS`` characters or more.
 
-    Returns ``doc_id, print, line_no, n_chars, links`` (different texts found
-    within the distance; in large groups of near-copies those that were compared,
-    see :func:`near_lines`), ``class_doc, class_line`` (where the class comes first, in
+    Returns ``doc_id, print, line_no, n_chars, links`` (different texts
+    within the distance), ``class_doc, class_line`` (where the class comes first, in
     order of doc_id, then text hash, then line) and ``kept`` (it is that place).
     Equal lines are one text; a class is what links connect.  Null texts have no
     lines, null doc_ids come last, and rows that repeat a doc_id and text count
@@ -380,10 +431,10 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     lines = lines_of(docs).filter(F.char_length("line") >= LEAST_CHARS)
     lines = lines.select("doc_id", "print", "line_no", F.char_length("line").alias("n_chars"), *_line_key(F.col("line")), "line")
     places = staged(lines.drop("line").distinct(), "lines")
-    pairs = staged(near_lines(lines.select("h1", "h2", "line"), edits), "near-lines")
-    links = pairs.select("a").unionAll(pairs.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
-    classes = connected_components(pairs.select("a", "b"))
-    classes = classes.join(links.withColumnRenamed("a", "node"), "node", "left").select("node.h1", "node.h2", "label", "links")
+    near = staged(near_lines(lines.select("h1", "h2", "line"), edits, block=block), "near-lines")
+    links = near.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    classes = classes.join(links, "node", "left").select("node.h1", "node.h2", "label", "links")
     # First place of each text, then of each class: hot lines shrink to a row before they are joined.
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "print", "line_no")
     firsts = places.groupBy("h1", "h2").agg(F.min(order).alias("place"))

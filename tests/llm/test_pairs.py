@@ -180,3 +180,21 @@ def test_repeated_lines_go(spark):
     assert all(r.n_chars == len(r.text or "") for r in rows)
     assert [r.text for r in rows if r.doc_id in (50, 51)] .count(None) == 1
     assert linededup.without_repeated_lines(docs.limit(0)).count() == 0
+
+
+def test_links_of_large_groups_equal_brute_force(spark):
+    rng = random.Random(9)
+    base = prose(rng, 12)
+    copies = {base}
+    for _ in range(90):
+        x = list(base)
+        for _ in range(rng.randrange(3)):
+            x[rng.randrange(len(x))] = rng.choice(["", "x", "yz"])
+        copies.add("".join(x))
+    copies = sorted(copies)
+    near = [sum(brute.edit_distance(a, b) <= 2 for b in copies) - 1 for a in copies]
+    # Each line in several documents: repeats aren't partners.
+    docs = spark.createDataFrame([(i, copies[i % len(copies)]) for i in range(3 * len(copies))], "doc_id long, text string").repartition(7)
+    for block in (256, 16):
+        got = linededup.line_classes(docs, block=block).collect()
+        assert sorted((r.doc_id, r.links) for r in got) == [(i, near[i % len(copies)]) for i in range(3 * len(copies))]
