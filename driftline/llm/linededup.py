@@ -23,8 +23,10 @@ from driftline.llm.textbatch import runs, utf8
 
 #: Lines within so many single-character edits are near-duplicates.
 EDITS = 2
-#: Shorter lines take no part; a segment then has eight characters or more.
-LEAST_CHARS = 24
+#: Lines of all lengths take part.
+LEAST_CHARS = 0
+#: Of a pair, the shorter line has at least so many characters an edit; with fewer than this only equal lines match.
+CHARS_PER_EDIT = 12
 #: Lines with a partner that are broadcast to the text scan at most; beyond it both sides are shuffled.
 BROADCAST_LINES = 1_000_000
 #: Lines of a key that are compared in one piece, on either side.
@@ -150,6 +152,21 @@ def _powers(base: int, n: int) -> np.ndarray:
 def signatures(codes: np.ndarray, bounds: np.ndarray, edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Line, role (0 index, 1 probe) and key of all signatures of lines ``codes[bounds[i]:bounds[i + 1]]``.
 
+    Shorter lines allow fewer than ``edits``, see ``CHARS_PER_EDIT``.
+    """
+    found = []
+    for n in range(1, edits + 1):
+        most = CHARS_PER_EDIT * (n + 1) if n < edits else np.iinfo(np.int64).max
+        found.append(_signatures(codes, bounds, n, CHARS_PER_EDIT * n, most))
+    lines, roles, keys = (np.concatenate(c) for c in zip(*found, strict=True))
+    return lines, roles, keys
+
+
+def _signatures(
+    codes: np.ndarray, bounds: np.ndarray, edits: int, least: int, most: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures for pairs whose shorter line has ``least`` characters or more, but fewer than ``most``.
+
     A key hashes partner length, segment number and content.  Content hashes
     are polynomial, taken from running sums, so any substring costs the same.
     """
@@ -168,12 +185,12 @@ def signatures(codes: np.ndarray, bounds: np.ndarray, edits: int = EDITS) -> tup
             roles.append(np.full(len(rows), role, np.int8))
             keys.append(_mixed(content + _mixed((partner * (edits + 1) + i).astype(np.uint64))))
 
-        rows = np.arange(len(length))
-        for i, (start, size) in enumerate(segments(length, edits)):
-            add(rows, 0, length, i, start, size)
+        rows = np.flatnonzero((length >= least) & (length < most))
+        for i, (start, size) in enumerate(segments(length[rows], edits)):
+            add(rows, 0, length[rows], i, start, size)
         # Partners are no longer than the probing line, so each pair meets once.
         for gap in range(edits + 1):
-            rows = np.flatnonzero(length - gap >= LEAST_CHARS)
+            rows = np.flatnonzero((length - gap >= least) & (length - gap < most))
             mine, partner = length[rows], length[rows] - gap
             for i, (start, size) in enumerate(segments(partner, edits)):
                 # Shifts that leave enough edits for what lies left and what lies right of the segment.
@@ -341,6 +358,7 @@ def _linked(cells: pa.Table, edits: int) -> pa.RecordBatch:
     line, role, key = np.concatenate(lines), np.concatenate(roles), np.concatenate(keys).view(np.int64)
     index, probe = (_padded(line[role == k], key[role == k], n, filler) for k, filler in ((0, 0), (1, 1)))
     texts = texts.to_pylist()
+    size = np.array([len(t) for t in texts], np.int64)
     cell = np.stack([columns[c] for c in ("key", "p", "q")])
     starts = np.concatenate([[0], np.flatnonzero((np.diff(cell) != 0).any(axis=0)) + 1, [len(who)]])
     links, root = np.zeros(n, np.int64), np.arange(n)
@@ -350,7 +368,8 @@ def _linked(cells: pa.Table, edits: int) -> pa.RecordBatch:
         there, back = _lowest_shared(index[x], probe[y]), _lowest_shared(index[y], probe[x])
         lowest = (there == here) & ((there < back) | ((there == back) & (x < y)))
         x, y = x[lowest], y[lowest]
-        near = edit_distances([texts[i] for i in x.tolist()], [texts[i] for i in y.tolist()], edits) <= edits
+        gap = edit_distances([texts[i] for i in x.tolist()], [texts[i] for i in y.tolist()], edits)
+        near = gap <= np.minimum(edits, np.minimum(size[x], size[y]) // CHARS_PER_EDIT)
         x, y = x[near], y[near]
         links += np.bincount(x, minlength=n) + np.bincount(y, minlength=n)
         while (root[x] != root[y]).any():
@@ -419,19 +438,21 @@ def near_lines(
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, block: int = BLOCK) -> DataFrame:
-    """The near-duplicate class of every line of ``LEAST_CHARS`` characters or more.
+    """The near-duplicate class of every line.
 
     Returns ``doc_id, print, line_no, n_chars, links`` (different texts
     within the distance), ``class_doc, class_line`` (where the class comes first, in
     order of doc_id, then text hash, then line) and ``kept`` (it is that place).
     Equal lines are one text; a class is what links connect.  Null texts have no
     lines, null doc_ids come last, and rows that repeat a doc_id and text count
-    as one document.  Shorter lines aren't returned.
+    as one document.
     """
     lines = lines_of(docs).filter(F.char_length("line") >= LEAST_CHARS)
     lines = lines.select("doc_id", "print", "line_no", F.char_length("line").alias("n_chars"), *_line_key(F.col("line")), "line")
     places = staged(lines.drop("line").distinct(), "lines")
-    near = staged(near_lines(lines.select("h1", "h2", "line"), edits, block=block), "near-lines")
+    # Equal lines of any length meet by their hashes below; only longer ones can have other partners.
+    longer = lines.filter(F.col("n_chars") >= CHARS_PER_EDIT).select("h1", "h2", "line")
+    near = staged(near_lines(longer, edits, block=block), "near-lines")
     links = near.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected_components(near.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = classes.join(links, "node", "left").select("node.h1", "node.h2", "label", "links")
@@ -457,7 +478,7 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """``docs`` with every line removed that repeats, nearly or exactly, an earlier one.
 
     All rows stay, with all their columns; only texts shrink, and a column
-    n_chars follows them.  Lines shorter than ``LEAST_CHARS`` are left alone.
+    n_chars follows them.  Empty lines are lines like any other.
     """
     gone = (
         line_classes(docs, edits)

@@ -198,3 +198,16 @@ def test_links_of_large_groups_equal_brute_force(spark):
     for block in (256, 16):
         got = linededup.line_classes(docs, block=block).collect()
         assert sorted((r.doc_id, r.links) for r in got) == [(i, near[i % len(copies)]) for i in range(3 * len(copies))]
+
+
+def test_short_lines_match_and_go(spark):
+    texts = ["All rights reserved.\nyes\n\nRead more here", "All rights reserved.\nyes\nyet", "All right reserved.\n\nRead mere hare", "All rights reversed."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.links, r.class_doc, r.class_line, r.kept) for r in linededup.line_classes(docs).collect()}
+    assert len(got) == sum(len(t.split("\n")) for t in texts)
+    # One edit from 12 characters on, two from 24 on; shorter lines match only equal ones.
+    assert got[1, 0] == (1, 0, 0, False) and got[2, 0] == (1, 0, 0, False)
+    assert got[1, 1] == (0, 0, 1, False) and got[1, 2] == (0, 1, 2, True)
+    assert got[2, 1] == (0, 0, 2, False) and got[2, 2][3] and got[3, 0][3]
+    left = {r.doc_id: r.text for r in linededup.without_repeated_lines(docs).collect()}
+    assert left == {0: texts[0], 1: "yet", 2: "Read mere hare", 3: texts[3]}
