@@ -60,7 +60,11 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
-    "Proprietary": ["Copyright, all rights reserved", "All rights reserved, no part may be reproduced without permission"],
+    "Proprietary": [
+        "All rights reserved",
+        "Copyright, all rights reserved",
+        "All rights reserved, no part may be reproduced without permission",
+    ],
 }
 #: A notice is looked for around these words only; every template has one of them.
 ANCHORS = ("license", "licence", "licensed", "copyright", "permission", "permitted", "redistribute", "rights", "unencumbered")

@@ -203,3 +203,20 @@ def test_notice_cosine_equals_every_stretch():
             w = np.where(term >= 0, scanner.idf2[term], scanner.other)[a : a + size][first]
             best = max(best, dot / (np.sqrt((w * n * n).sum()) * scanner.norms[k]))
         assert scanner.notices(hashes)[k] == pytest.approx(best)
+
+
+@pytest.mark.parametrize("total", [10, 250, 2500, 10**6, 10**9])
+def test_notices_match_at_any_table_size(total):
+    known = licenses.Templates(licenses.TEMPLATES)
+    notices = [(name, text) for name, texts in licenses.TEMPLATES.items() for text in texts]
+    notices += [("Proprietary", "&copy; 2020 Foo Bar. All rights reserved."), ("Proprietary", "All rights reserved.")]
+    for share in (0, 0.3):  # words that no other file has, and common ones
+        scanner = licenses.Scanner(known, total, np.full(len(known.terms), int(share * total)))
+        for name, text in notices:
+            got = scanner.notices(next(licenses._hashed(pa.array([f"some page {text} and more"])))[1])
+            assert got.max() >= licenses.THRESHOLD and known.names[int(got.argmax())] == name
+    # The word that pages write as a sign is in none of them.
+    counts = np.full(len(known.terms), total // 100)
+    counts[known.indexed(next(licenses._hashed(pa.array(["copyright"])))[1])] = 0
+    got = licenses.Scanner(known, total, counts).notices(next(licenses._hashed(pa.array(["&copy; Foo. All rights reserved. More"])))[1])
+    assert got.max() >= licenses.THRESHOLD and known.names[int(got.argmax())] == "Proprietary"
