@@ -28,8 +28,6 @@ EMBEDDING = 8
 #: Training sample: at most so many texts a language, the first by hash of doc_id, and so many windows of each.
 TEXTS_PER_LANGUAGE = 300
 WINDOWS_PER_TEXT = 8
-#: Languages with the most labelled documents are learned, this many at most.
-LANGUAGES = 200
 EPOCHS = 5
 BATCH = 128
 RATE = 0.01
@@ -198,13 +196,11 @@ class Classifier:
 
 
 def learn(docs: DataFrame) -> Network | None:
-    """Train on the bounded sample of documents with a language outside the held-out part; None if there are none."""
+    """Train on a sample, bounded for each language, of all documents with a language outside the held-out part; None if there are none."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("spread", "doc_id"))
     chosen = (
         known.select("doc_id", "lang", F.xxhash64("doc_id").alias("spread"))
-        .join(F.broadcast(common), "lang", "left_semi")
         .withColumn("rank", rank)
         .filter(F.col("rank") <= TEXTS_PER_LANGUAGE)
         .select("doc_id", "lang")

@@ -220,3 +220,10 @@ def test_notices_match_at_any_table_size(total):
     counts[known.indexed(next(licenses._hashed(pa.array(["copyright"])))[1])] = 0
     got = licenses.Scanner(known, total, counts).notices(next(licenses._hashed(pa.array(["&copy; Foo. All rights reserved. More"])))[1])
     assert got.max() >= licenses.THRESHOLD and known.names[int(got.argmax())] == "Proprietary"
+
+
+def test_all_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "EPOCHS", 1)
+    rows = [(i, f"some words of text {i}", f"l{i % 230:03d}") for i in range(2300)]
+    net = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert net.languages == [f"l{i:03d}" for i in range(230)]
