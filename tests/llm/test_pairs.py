@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from driftline.llm import decontam, linededup, simhash, sketch
 from driftline.llm.components import connected_components
 
@@ -211,3 +212,30 @@ def test_short_lines_match_and_go(spark):
     assert got[2, 1] == (0, 0, 2, False) and got[2, 2][3] and got[3, 0][3]
     left = {r.doc_id: r.text for r in linededup.without_repeated_lines(docs).collect()}
     assert left == {0: texts[0], 1: "yet", 2: "Read mere hare", 3: texts[3]}
+
+
+def test_pipeline_keeps_one_of_each_near_duplicate_class(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = awkward(rng)
+    passage = prose(rng, 30)
+    for i in range(12):
+        base = prose(rng, 100).split()
+        for j in range(4):
+            words = list(base)
+            for _ in range(j):
+                words[rng.randrange(len(words))] = f"new{rng.randrange(9)}"
+            rows.append((100 + 4 * i + j, " ".join([*words, passage]), "en", "s", 1))
+    sets = [set(brute.shingles(r[1], 5)) for r in rows]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    label = brute.components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if near(sets[a], sets[b])])
+    want = {}
+    for i, r in enumerate(rows):
+        want[label[i]] = min(want.get(label[i], 10**9), 10**9 if r[0] is None else r[0])
+    docs = spark.createDataFrame(rows, DOCS)
+    for common in (200, 5):  # shingles of the passage in any order, or last
+        if common == 5:
+            monkeypatch.setattr(corpus_pipeline.resemblance.without_near_duplicates, "__defaults__", (5,))
+        left = corpus_pipeline.remove_near_duplicates(spark, docs, "")
+        assert sorted(r.doc_id for r in left.collect()) == sorted(want.values()) and left.columns == docs.columns
+    assert len(want) < len(rows) - 20
+    assert corpus_pipeline.remove_near_duplicates(spark, docs.limit(0), "").count() == 0
