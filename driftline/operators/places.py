@@ -43,81 +43,106 @@ def radius_pairs(left: DataFrame, right: DataFrame, keys: list[str], radius_m: f
     )
 
 
-def _roots(n: int, pairs: list[tuple[int, int]]) -> list[int]:
-    """The smallest member of each node's component."""
-    parent = list(range(n))
+#: Distances that are held at once.
+_CELLS = 2_000_000
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    for a, b in pairs:
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    return [root(x) for x in range(n)]
-
-
-def _near(lat: np.ndarray, lon: np.ndarray, eps_m: float) -> list[tuple[int, int]]:
-    """Pairs within the distance, swept in order of latitude so far ones are never compared."""
+def _blocks(lat: np.ndarray, lon: np.ndarray, eps_m: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, others, metres between them) in pieces that together hold all neighbours, in order of latitude."""
     order = np.argsort(lat, kind="stable")
-    found = []
     y, x = np.radians(lat[order]), np.radians(lon[order])
-    reach = eps_m / (MEAN_RADIUS_KM * 1000)
-    for i in range(len(order)):
-        stop = np.searchsorted(y, y[i] + reach * (1 + 1e-9), side="right")
-        j = np.arange(i + 1, stop)
-        h = np.sin((y[j] - y[i]) / 2) ** 2 + np.cos(y[i]) * np.cos(y[j]) * np.sin((x[j] - x[i]) / 2) ** 2
-        for k in j[2000 * MEAN_RADIUS_KM * np.arcsin(np.sqrt(np.clip(h, 0, 1))) <= eps_m]:
-            found.append((int(order[i]), int(order[k])))
-    return found
-
-
-def dbscan(stays: DataFrame, eps_m: float = 150.0, min_samples: int = 2) -> DataFrame:
-    """``place``: number of the stay's cluster among its user's, the smallest member's order.
-
-    A stay counts as its own neighbour.  With two samples clusters are the
-    connected components of the distance graph; beyond, border stays join the
-    nearest core stay's cluster.  Noise is a place of its own.  Members are
-    ordered by arrival, then position.
+    reach = eps_m / (MEAN_RADIUS_KM * 1000) * (1 + 1e-9)
+    lo = 0
+    while lo < len(order):
+        first = int(np.searchsorted(y, y[lo] - reach))
+        hi, last = lo + 1, int(np.searchsorted(y, y[lo] + reach, side="right"))
+        while hi < len(order):
+            end = int(np.searchsorted(y, y[hi] + reach, side="right"))
+            if (hi + 1 - lo) * (end - first) > _CELLS:
+                break
+            hi, last = hi + 1, end
+        a, b = y[lo:hi, None], y[first:last]
+        h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin((x[first:last] - x[lo:hi, None]) / 2) ** 2
+        yield order[lo:hi], order[first:last], 2000 * MEAN_RADIUS_KM * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+        lo = hi
+
+
+def clusters(lat: np.ndarray, lon: np.ndarray, eps_m: float, min_samples: int, days: np.ndarray | None = None) -> np.ndarray:
+    """Number of each point's cluster: its first core point; noise is a cluster of its own.
+
+    A point is core with ``min_samples`` points, itself included, within ``eps_m``,
+    or with so many distinct ``days`` of them.  Others join the nearest core
+    point within ``eps_m``, the first of equally near ones.
+    """
+    n = len(lat)
+    count = np.zeros(n, dtype=int)
+    for rows, others, metres in _blocks(lat, lon, eps_m):
+        near = metres <= eps_m
+        count[rows] = near.sum(axis=1) if days is None else [len(np.unique(days[others[x]])) for x in near]
+    core = count >= min_samples
+    root, nearest = np.arange(n), np.full(n, -1)
+    for rows, others, metres in _blocks(lat, lon, eps_m):
+        near = (metres <= eps_m) & core[others]
+        i, j = np.nonzero(near & core[rows][:, None])
+        a, b = rows[i], others[j]
+        while (root[a] != root[b]).any():
+            low = np.minimum(root[a], root[b])
+            for side in (root[a], root[b]):
+                np.minimum.at(root, side, low)
+            root = root[root]
+        for r in np.flatnonzero(~core[rows] & near.any(axis=1)):
+            gap = np.where(near[r], metres[r], np.inf)
+            nearest[rows[r]] = others[gap == gap.min()].min()
+    while (root[root] != root).any():
+        root = root[root]
+    return np.where(nearest >= 0, root[nearest], root)
+
+
+def dbscan(
+    stays: DataFrame, eps_m: float | str = 150.0, min_samples: int | str = 2, keys: tuple[str, ...] = ("user_id",), days: str | None = None
+) -> DataFrame:
+    """``place``: number of the stay's cluster among its key's, the order of its first core member.
+
+    A stay counts as its own neighbour; with ``days``, a column, its distinct
+    values are counted instead of stays.  ``eps_m`` and ``min_samples`` may name
+    columns that are constant within a key.  Noise is a place of its own.
+    Members are ordered by arrival, then position.  The stays of one key come
+    together in one task; distances are taken in bounded pieces.
     """
     names = stays.columns
-    at = {c: names.index(c) for c in ("user_id", "arrival", "lat", "lon")}
+    at = {c: names.index(c) for c in names}
+
+    def one(table: pa.Table, value: float | str) -> float:
+        return table.column(at[value])[0].as_py() if isinstance(value, str) else value
 
     def cluster(table: pa.Table) -> pa.Table:
         lat, lon = (table.column(at[c]).to_numpy().astype(float) for c in ("lat", "lon"))
-        pairs = _near(lat, lon, eps_m)
-        degree = np.ones(len(lat), dtype=int)
-        for a, b in pairs:
-            degree[a] += 1
-            degree[b] += 1
-        core = degree >= min_samples
-        place = _roots(len(lat), [(a, b) for a, b in pairs if core[a] and core[b]])
-        best: dict[int, tuple[float, int]] = {}
-        for a, b in pairs:
-            for x, c in ((a, b), (b, a)):
-                if not core[x] and core[c]:
-                    gap = (lat[x] - lat[c]) ** 2 + (np.cos(np.radians(lat[x])) * (lon[x] - lon[c])) ** 2
-                    best[x] = min(best.get(x, (np.inf, 0)), (gap, c))
-        for x, (_, c) in best.items():
-            place[x] = place[c]
-        return table.append_column("place", pa.array(np.array(place, dtype=np.int64)))
+        day = np.unique(np.array(table.column(at[days]).to_pylist(), dtype=object).astype(str), return_inverse=True)[1] if days else None
+        place = clusters(lat, lon, float(one(table, eps_m)), int(one(table, min_samples)), day)
+        return table.append_column("place", pa.array(place.astype(np.int64)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # of the key that isn't complete yet
+        last: tuple | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-            users = table.column(at["user_id"]).to_numpy()
-            cuts = [0, *(np.flatnonzero(users[1:] != users[:-1]) + 1).tolist()]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from cluster(table.slice(lo, hi - lo)).to_batches()
-            held = table.slice(cuts[-1])
-        if held is not None:
-            yield from cluster(held).to_batches()
-
-    ordered = stays.repartition("user_id").sortWithinPartitions("user_id", "arrival", "lat", "lon")
+            columns = [batch.column(at[k]).to_numpy(zero_copy_only=False) for k in keys]
+            moved = np.zeros(batch.num_rows, dtype=bool)
+            for c in columns:
+                moved[1:] |= c[1:] != c[:-1]
+            moved[0] = last is not None and tuple(c[0] for c in columns) != last
+            lo = 0
+            for hi in [*np.flatnonzero(moved).tolist(), batch.num_rows]:
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+                if hi < batch.num_rows:
+                    yield from cluster(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                lo = hi
+            last = tuple(c[-1] for c in columns)
+        if held:
+            yield from cluster(pa.Table.from_batches(held)).to_batches()
+
+    ordered = stays.repartition(*keys).sortWithinPartitions(*keys, "arrival", "lat", "lon")
     return ordered.mapInArrow(each, T.StructType([*stays.schema.fields, T.StructField("place", T.LongType())]))

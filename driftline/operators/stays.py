@@ -79,6 +79,7 @@ def stay_members(
     key_at = [columns.index(c) for c in group]
 
     def scan(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         lat, lon = (table.column(i).to_pylist() for i in at[:2])
         us = table.column(at[2]).cast(pa.timestamp("us")).cast(pa.int64()).to_pylist()
         stay = np.full(len(lat), -1, dtype=np.int64)
@@ -89,22 +90,27 @@ def stay_members(
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole chains, one after the other, however batches cut them."""
-        held: pa.Table | None = None
+        held: list[pa.RecordBatch] = []  # of the chain that isn't complete yet
+        last: tuple | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
-            marks = np.zeros(table.num_rows, dtype=bool)
-            for i in key_at:
-                column = table.column(i).to_numpy()
-                marks[1:] |= column[1:] != column[:-1]
-            cuts = [0, *np.flatnonzero(marks).tolist()]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                yield from scan(table.slice(lo, hi - lo)).to_batches()
-            held = table.slice(cuts[-1])
-        if held is not None:
-            yield from scan(held).to_batches()
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in key_at]
+            moved = np.zeros(batch.num_rows, dtype=bool)
+            for c in columns:
+                moved[1:] |= c[1:] != c[:-1]
+            moved[0] = last is not None and tuple(c[0] for c in columns) != last
+            lo = 0
+            for hi in [*np.flatnonzero(moved).tolist(), batch.num_rows]:
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+                if hi < batch.num_rows:
+                    yield from scan(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                lo = hi
+            last = tuple(c[-1] for c in columns)
+        if held:
+            yield from scan(pa.Table.from_batches(held)).to_batches()
 
     schema = T.StructType([*chains.schema.fields, T.StructField("stay", T.LongType())])
     return chains.repartition(*group).sortWithinPartitions(*group, "datetime", "ord").mapInArrow(each, schema)

@@ -757,5 +757,4 @@ def stratified_sample(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def content_fingerprint(s: SparkSession, d: str) -> DataFrame:
-    rows = points(s, d).groupBy(*cleaning.FILE).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
-    return rows.select(*cleaning.FILE, F.md5(F.concat_ws("|", "n", "first_ord", "last_ord").cast("binary")).alias("print"))
+    return traces.content_hashes(points(s, d)).select(*cleaning.FILE, "n_points", "print")

@@ -194,8 +194,7 @@ _BODIES: dict[str, str] = {
       FROM (SELECT event_type, count(*) AS n, avg(CAST(value > 50 AS INT)) AS p FROM events GROUP BY 1))""",
     "stratified_sample": """SELECT event_type, event_id FROM events
       QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS VARCHAR)), event_id) <= 50""",
-    "content_fingerprint": """SELECT user_id, source_file, md5(n || '|' || a || '|' || b) AS print FROM (
-      SELECT user_id, source_file, count(*) AS n, min(ord) AS a, max(ord) AS b FROM pts GROUP BY ALL)""",
+    "content_fingerprint": "SELECT user_id, source_file, n_points, print FROM hashed",
 }
 
 ORACLE_SQL: dict[str, str] = {name: query(body) for name, body in _BODIES.items()}

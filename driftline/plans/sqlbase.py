@@ -110,8 +110,9 @@ CTES: dict[str, str] = {
   SELECT event_id, user_id, event_type, date_trunc('second', ts) AS start, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k
   FROM events""",
     "pts": """
-  SELECT user_id, strftime(datetime, '%Y%m%d') AS source_file, ord, datetime, lat, lon, altitude FROM (
-    SELECT user_id, pid + again * 5000000000 AS ord, start + INTERVAL (i * 300) SECOND AS datetime,
+  SELECT owner AS user_id, CASE WHEN event_id % 20 = 7 THEN 'S' || event_id ELSE strftime(datetime, '%Y%m%d') END AS source_file, ord, datetime, lat, lon, altitude
+  FROM (SELECT *, unnest(CASE event_id % 40 WHEN 7 THEN [user_id, xor(user_id, 1)] WHEN 27 THEN [user_id, xor(user_id, 2)] ELSE [user_id] END) AS owner FROM (
+    SELECT user_id, event_id, pid + again * 5000000000 AS ord, start + INTERVAL (i * 300) SECOND AS datetime,
            39.8::DOUBLE + (user_id % 20) * 0.01::DOUBLE + place * 0.02::DOUBLE + ((pid * 7919) % 200 - 100) * 0.000004::DOUBLE
              + CASE WHEN event_type = 'view' THEN i * 0.004::DOUBLE ELSE 0.0::DOUBLE END
              + CASE WHEN event_type = 'purchase' AND i = 4 THEN 8.0::DOUBLE ELSE 0.0::DOUBLE END
@@ -121,7 +122,12 @@ CTES: dict[str, str] = {
     FROM (SELECT *, event_id * 10 + i AS pid, unnest(CASE WHEN event_type = 'error' AND i = 3 THEN [0, 1] ELSE [0] END) AS again
           FROM (SELECT *, unnest(range(9)) AS i, CASE WHEN hour(l) >= 22 OR hour(l) < 8 THEN 0
                        WHEN isodow(l) <= 5 AND hour(l) >= 9 AND hour(l) < 18 THEN 1 ELSE 2 + k % 3 END AS place
-                FROM (SELECT *, start + INTERVAL 8 HOUR AS l FROM ev))))""",
+                FROM (SELECT *, start + INTERVAL 8 HOUR AS l FROM ev)))))""",
+    "hashed": """
+  SELECT user_id, source_file, min(datetime) AS s0, max(datetime) AS s1, count(*) AS n_points,
+         md5(string_agg(strftime(datetime, '%Y%m%d%H%M%S') || ',' || CAST(round(lat * 1e6::DOUBLE) AS BIGINT) || ',' || CAST(round(lon * 1e6::DOUBLE) AS BIGINT)
+                        || ',' || CAST(round(altitude * 10) AS BIGINT), '|' ORDER BY datetime, ord)) AS print
+  FROM pts GROUP BY ALL""",
     "lab": "SELECT user_id, event_id AS label_id, start, start + INTERVAL 40 MINUTE AS \"end\", event_type AS mode FROM ev",
     "bounded": "SELECT * FROM pts WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)",
     "gated": f"SELECT * FROM bounded QUALIFY count(*) OVER (PARTITION BY {FILE}) >= 2",
@@ -238,7 +244,9 @@ def query(body: str) -> str:
     recursive = "RECURSIVE " if any(n.startswith(("scan", "reach")) for n in needed) else ""
     if not needed:
         return body
-    return f"WITH {recursive}" + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + "\n" + body
+    # Shared steps are evaluated once; recursive ones always are.
+    kind = {n: "" if n.startswith(("scan", "reach")) else "MATERIALIZED " for n in needed}
+    return f"WITH {recursive}" + ",\n".join(f"{n} AS {kind[n]}({CTES[n]})" for n in needed) + "\n" + body
 
 
 CTES["st"] = """

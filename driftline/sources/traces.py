@@ -11,30 +11,45 @@ HEADER_LINES = 6
 BURST_POINTS, BURST_STEP_S = 9, 300
 
 
-def read_plt(spark: SparkSession, path: str) -> DataFrame:
-    """Points of ``.plt`` logs below ``path`` (``<user>/Trajectory/<file>.plt``).
+def parse_plt(lines: DataFrame) -> DataFrame:
+    """Points of log lines ``(file, ord, line)``, ``ord`` from 0 in each file.
 
     Six header lines, then latitude, longitude, reserved, altitude in feet, day
-    number, date and time.  Rows without a valid time are dropped; ``ord`` is
-    the line's place in its file.
+    number, date and time.  Lines without a valid time are dropped; a coordinate
+    or altitude that isn't a number is null, for the bounds filter to judge.
+    Files are named ``.../<user>/Trajectory/<file>.plt``.
     """
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("ord", "line")).filter(
-        F.col("ord") >= HEADER_LINES
-    )
     part = F.split("line", ",")
     parts = F.split("file", "/")
     number = [F.expr(f"try_cast(get(split(line, ','), {i}) AS double)") for i in (0, 1, 3)]
-    stamp = F.try_to_timestamp(F.concat_ws(" ", F.get(part, 5), F.get(part, 6)), F.lit("yyyy-MM-dd HH:mm:ss"))
-    return lines.select(
-        F.element_at(parts, -3).alias("user_id"),
-        F.element_at(parts, -1).alias("source_file"),
-        F.col("ord").cast("long").alias("ord"),
-        stamp.cast("timestamp_ntz").alias("datetime"),
-        number[0].alias("lat"),
-        number[1].alias("lon"),
-        number[2].alias("altitude"),
-    ).filter("datetime IS NOT NULL")
+    stamp = F.try_to_timestamp(F.concat_ws(" ", F.get(part, 5), F.trim(F.get(part, 6))), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return (
+        lines.filter(F.col("ord") >= HEADER_LINES)
+        .select(
+            F.element_at(parts, -3).alias("user_id"),
+            F.element_at(parts, -1).alias("source_file"),
+            F.col("ord").cast("long").alias("ord"),
+            stamp.cast("timestamp_ntz").alias("datetime"),
+            number[0].alias("lat"),
+            number[1].alias("lon"),
+            number[2].alias("altitude"),
+        )
+        .filter("datetime IS NOT NULL")
+    )
+
+
+def read_plt(spark: SparkSession, path: str) -> DataFrame:
+    """Points of all ``.plt`` logs below ``path``, see :func:`parse_plt`; a log is one row while it is split into lines."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.plt", recursiveFileLookup=True)
+    files = files.select("value", F.col("_metadata.file_path").alias("file"))
+    return parse_plt(files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("ord", "line")))
+
+
+def users_below(spark: SparkSession, path: str) -> DataFrame:
+    """``user_id, files`` of every user with logs below ``path``, without reading them."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.plt").option("recursiveFileLookup", "true").load(path)
+    user = F.element_at(F.split("path", "/"), -3).alias("user_id")
+    return found.select(user).groupBy("user_id").agg(F.count(F.lit(1)).alias("files"))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -59,6 +74,7 @@ def points_of_events(events: DataFrame) -> DataFrame:
     """Each event as a burst of nine points five minutes apart, at a place that follows its local hour.
 
     Views move on, purchases hold a spike, errors repeat a second with another position.
+    A recording is a day of a user, but one event in twenty is a recording of its own that two users hold.
     """
     e = _events(events)
     local = plus_seconds(F.col("start"), F.lit(8 * 3600))
@@ -82,12 +98,16 @@ def points_of_events(events: DataFrame) -> DataFrame:
     # The extra rows of repeated seconds are generated with the rest: one pass, no union.
     copies = F.when((F.col("event_type") == "error") & (i == 3), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     shift = F.when(pid % 3 == 0, 0.0001).when(pid % 3 == 1, 0.004).otherwise(9.0)
-    rows = e.withColumn("place", place).select("*", F.explode(F.sequence(F.lit(0), F.lit(BURST_POINTS - 1))).alias("i"))
+    apart = F.col("event_id") % 20 == 7
+    mate = F.when(F.col("event_id") % 40 == 7, 1).otherwise(2).cast("long")
+    owners = F.when(apart, F.array("user_id", F.col("user_id").bitwiseXOR(mate))).otherwise(F.array("user_id"))
+    rows = e.withColumn("place", place).select("*", F.explode(owners).alias("owner"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(BURST_POINTS - 1))).alias("i"))
     rows = rows.select("*", F.explode(copies).alias("again"))
     when = plus_seconds(F.col("start"), i * BURST_STEP_S)
     return rows.select(
-        "user_id",
-        F.date_format(when, "yyyyMMdd").alias("source_file"),
+        F.col("owner").alias("user_id"),
+        F.when(apart, F.concat(F.lit("S"), "event_id")).otherwise(F.date_format(when, "yyyyMMdd")).alias("source_file"),
         (pid + F.col("again") * 5_000_000_000).alias("ord"),
         when.alias("datetime"),
         (lat + F.when(F.col("again") == 1, shift).otherwise(0.0)).alias("lat"),
@@ -106,3 +126,20 @@ def labels_of_events(events: DataFrame) -> DataFrame:
         plus_seconds(F.col("start"), F.lit(2400)).alias("end"),
         F.col("event_type").alias("mode"),
     )
+
+
+def content_hashes(points: DataFrame) -> DataFrame:
+    """``user_id, source_file, start, end, n_points, print``: MD5 of each recording's points in order, whoever holds it."""
+    micro = [F.round(F.col(c) * 1e6).cast("long").cast("string") for c in ("lat", "lon")]
+    row = F.concat_ws(",", F.date_format("datetime", "yyyyMMddHHmmss"), *micro, F.round(F.col("altitude") * 10).cast("long").cast("string"))
+    return (
+        points.groupBy("user_id", "source_file")
+        .agg(
+            F.min("datetime").alias("start"),
+            F.max("datetime").alias("end"),
+            F.count(F.lit(1)).alias("n_points"),
+            F.array_sort(F.collect_list(F.struct("datetime", "ord", row.alias("row")))).alias("rows"),
+        )
+        .withColumn("print", F.md5(F.array_join("rows.row", "|").cast("binary")))
+        .drop("rows")
+    )
