@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.storage import staged
+from driftline.llm.storage import fresh_path, scratch, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,6 +31,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
+def _round(edges: DataFrame) -> DataFrame:
+    path = fresh_path(edges.sparkSession, "stars")
+    with scratch(edges.sparkSession):
+        rows = _star(staged(_star(edges, True), "stars"), False)
+        rows.write.parquet(path)
+    return edges.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Label the nodes of undirected ``edges (a, b)`` with their component's smallest node.
 
@@ -49,6 +57,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         split = now.groupBy("a").count().filter("count > 1").limit(1).count()
         if not deep and not split:
             break
-        now = staged(_star(staged(_star(now, True), "stars"), False), "stars")
+        now = _round(now)
     leaves = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return leaves.unionAll(leaves.select(F.col("label").alias("node"), "label").distinct())

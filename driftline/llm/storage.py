@@ -9,22 +9,38 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths written inside each open ``scratch`` block, innermost last.
+_open: list[list[str]] = []
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, so Spark and archive writers mean the same place."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where none is set."""
+    """The shared folder of the session; in local mode a temporary one where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="driftline-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return _qualified(spark, found.rstrip("/"))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nobody else uses."""
-    return f"{shared_dir(spark)}/driftline-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/driftline-{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -33,3 +49,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete what :func:`staged` and :func:`fresh_path` made inside the block when it ends.
+
+    For blocks that end with all of their results written elsewhere.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
