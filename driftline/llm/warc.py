@@ -28,12 +28,14 @@ LEAST_BYTES = 100
 DICTIONARY_BYTES = 64 << 10
 #: The dictionary is built from an archive's first records, of about this many bytes together.
 SAMPLE_BYTES = 4 << 20
+#: Fewer records aren't trained on.
+LEAST_TRAINED = 16
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 
 # Fixed values of the WARC 1.1 and Zstandard formats.
 DICTIONARY_MAGIC = 0x184D2A5D
-FRAME_MAGIC = 0xFD2FB528
+TRAINED_MAGIC = 0xEC30A437
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _NAMESPACE = uuid.UUID("6f1c4a52-2a57-4d6e-9a55-0d0f3c1f8f01")
@@ -89,12 +91,17 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes, int]:
 # --- archives ---
 
 
-def dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary trained on records; None where they are too few for one."""
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 16)), samples)
-    except zstandard.ZstdError:
-        return None
+def dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary built from records: trained on them or, where they are too few for that, their content itself."""
+    samples = [x for x in samples if x]
+    size = sum(map(len, samples))
+    if len(samples) >= LEAST_TRAINED and size >= LEAST_TRAINED * 256:
+        try:
+            return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, size // 16)), samples)
+        except zstandard.ZstdError:
+            pass  # alike or unlike one another beyond what the trainer takes
+    content = b"".join(samples)[:DICTIONARY_BYTES].ljust(8, b"\0")
+    return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def write_archive(out: io.IOBase, records: Iterator[bytes]) -> tuple[int, int]:
@@ -107,9 +114,8 @@ def write_archive(out: io.IOBase, records: Iterator[bytes]) -> tuple[int, int]:
         if size >= SAMPLE_BYTES:
             break
     known = dictionary(first)
-    if known is not None:
-        content = known.as_bytes()
-        out.write(struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content)
+    content = known.as_bytes()
+    out.write(struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content)
     compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=True)
     count = total = 0
     for part in (first, records):
@@ -121,14 +127,16 @@ def write_archive(out: io.IOBase, records: Iterator[bytes]) -> tuple[int, int]:
 
 def read_archive(source: io.IOBase, chunk: int = 4 << 20) -> Iterator[bytes]:
     """The records of an archive, one by one."""
-    pending = source.read(8)
-    known = None
-    if len(pending) == 8:
-        magic, length = struct.unpack("<II", pending)
-        if magic == DICTIONARY_MAGIC:
-            known = zstandard.ZstdCompressionDict(source.read(length))
-            pending = b""
-    decompressor = zstandard.ZstdDecompressor(dict_data=known) if known else zstandard.ZstdDecompressor()
+    head = source.read(8)
+    magic, length = struct.unpack("<II", head) if len(head) == 8 else (0, 0)
+    if magic != DICTIONARY_MAGIC:
+        raise ValueError("the archive doesn't begin with a dictionary")
+    content = source.read(length)
+    # Trained dictionaries say what they are; any other content is used as it is.
+    trained = content[:4] == struct.pack("<I", TRAINED_MAGIC)
+    kind = zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT
+    decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=kind))
+    pending = b""
     frame, parts = decompressor.decompressobj(), []
     while True:
         if not pending:
@@ -149,9 +157,10 @@ def read_archive(source: io.IOBase, chunk: int = 4 << 20) -> Iterator[bytes]:
 
 
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return pafs.FileSystem.from_uri(path if "://" in path else "file://" + path[5:])
-    return pafs.LocalFileSystem(), path
+    """File system and path of a path with its scheme, as :func:`fresh_path` makes them."""
+    if path.startswith("file:/"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return pafs.FileSystem.from_uri(path)
 
 
 def planned(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
@@ -181,7 +190,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write one archive a task below ``folder``; returns ``path, records, bytes`` of each.
 
     An archive is written under a name of the attempt and then moved into
-    place, so a task that is run again leaves one whole archive.
+    place, so a task that is run again leaves one whole archive.  ``folder``
+    names its file system (``hdfs://``, ``file:/``, ...); page_ids are whole numbers.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
