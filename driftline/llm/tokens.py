@@ -1,9 +1,8 @@
 """Token counts by a unigram model over a shared trie.
 
-The distinct pre-tokens of a batch form a trie.  Its nodes are visited level by
-level, and every node gets the best segmentation score of its prefix and that
-segmentation's number of tokens, once for all pre-tokens that share it.  A
-pre-token's count is read at its end.
+The distinct pre-tokens of a batch form a trie.  Every node gets the best
+segmentation score of its prefix and that segmentation's number of tokens, once
+for all pre-tokens that share it.  A pre-token's count is read at its end.
 
 The pieces come from a public vocabulary, in order of rank; a piece's score is
 its log-probability under Zipf's law for that rank.
@@ -26,8 +25,9 @@ MARK = "▁"
 UNKNOWN_GAP = 10.0
 #: Counts of so many distinct pre-tokens are kept between batches of a task.
 KEPT = 200_000
-#: Longer pre-tokens are segmented one by one: they share little, and a trie of theirs would be deep.
-DEEPEST = 256
+#: The trie of pre-tokens up to this length is walked level by level, all nodes of a level at once; that of longer ones
+#: depth first, as their levels are thin.  Either way a prefix is scored once.
+WIDE = 256
 
 
 def zipf_scores(n: int) -> np.ndarray:
@@ -81,32 +81,46 @@ class Unigram:
         return np.where((state >= 0) & (self.edges[at] == key), self.targets[at], -1)
 
 
-def _alone(model: Unigram, word: str) -> int:
-    """The same recurrence for one long pre-token."""
-    best, used = [0.0], [0]
-    for stop in range(1, len(word) + 1):
-        bare = model.pieces.get(word[stop - 1])
-        score = best[-1] + (model.unknown if bare is None else bare)
-        count = used[-1] + (1 if bare is not None else len(word[stop - 1].encode("utf-8", "surrogatepass")))
-        for start in range(max(0, stop - model.longest), stop - 1):
-            piece = model.pieces.get(word[start:stop])
-            if piece is not None:
-                total, n = best[start] + piece, used[start] + 1
-                if total > score or (total == score and n < count):
-                    score, count = total, n
-        best.append(score)
-        used.append(count)
-    return used[-1]
+def _deep_counts(model: Unigram, words: list[str]) -> list[int]:
+    """Counts of long pre-tokens: the trie is walked depth first, so scores of a shared prefix are kept from word to word."""
+    best, used, path = [0.0], [0], ""
+    out = [0] * len(words)
+    for i in sorted(range(len(words)), key=words.__getitem__):
+        word = words[i]
+        shared = _shared_prefix(path, word)
+        del best[shared + 1 :], used[shared + 1 :]
+        for stop in range(shared + 1, len(word) + 1):
+            bare = model.pieces.get(word[stop - 1])
+            score = best[-1] + (model.unknown if bare is None else bare)
+            count = used[-1] + (1 if bare is not None else len(word[stop - 1].encode("utf-8", "surrogatepass")))
+            for start in range(max(0, stop - model.longest), stop - 1):
+                piece = model.pieces.get(word[start:stop])
+                if piece is not None:
+                    total, n = best[start] + piece, used[start] + 1
+                    if total > score or (total == score and n < count):
+                        score, count = total, n
+            best.append(score)
+            used.append(count)
+        out[i], path = used[-1], word
+    return out
+
+
+def _shared_prefix(a: str, b: str) -> int:
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
 
 
 def token_counts(model: Unigram, words: list[str]) -> np.ndarray:
     """Tokens of each distinct pre-token's best segmentation; ties take fewer tokens."""
-    long = [i for i, w in enumerate(words) if len(w) > DEEPEST]
+    long = [i for i, w in enumerate(words) if len(w) > WIDE]
     if long:
         out = np.zeros(len(words), dtype=np.int64)
-        short = [i for i, w in enumerate(words) if len(w) <= DEEPEST]
+        short = [i for i, w in enumerate(words) if len(w) <= WIDE]
         out[short] = token_counts(model, [words[i] for i in short])
-        out[long] = [_alone(model, words[i]) for i in long]
+        out[long] = _deep_counts(model, [words[i] for i in long])
         return out
     order = sorted(range(len(words)), key=words.__getitem__)
     out = np.zeros(len(words), dtype=np.int64)
