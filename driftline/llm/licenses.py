@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.llm.storage import staged
 from driftline.llm.textbatch import lowered, runs, split_words, utf8, xxh64
@@ -66,9 +67,6 @@ TEMPLATES: dict[str, list[str]] = {
         "All rights reserved, no part may be reproduced without permission",
     ],
 }
-#: A notice is looked for around these words only; every template has one of them.
-ANCHORS = ("license", "licence", "licensed", "copyright", "permission", "permitted", "redistribute", "rights", "unencumbered")
-
 _WORD = np.zeros(256, dtype=bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
 _WORD[128:] = True
@@ -91,7 +89,6 @@ class Templates:
         self.names = [name for name, _ in flat]
         self.terms = np.unique(np.concatenate(tokens))
         self.tokens = [np.searchsorted(self.terms, t) for t in tokens]
-        self.anchors = np.unique(np.concatenate([next(_hashed(pa.array([a])))[1] for a in ANCHORS]))
 
     def indexed(self, hashes: np.ndarray) -> np.ndarray:
         """Term numbers of word hashes, -1 for other words."""
@@ -127,15 +124,30 @@ def document_frequencies(files: DataFrame, known: Templates) -> tuple[int, np.nd
 
 
 class Scanner:
-    """Cosines of texts to templates under given document frequencies."""
+    """Cosines of texts to templates under given document frequencies.
+
+    A text with a cosine of ``threshold`` shares terms that hold at least
+    ``threshold ** 2`` of the template's squared norm.  So it has one of the
+    template's rarest terms that together hold more than the rest may: its
+    anchors.  Only texts and stretches with an anchor are measured.
+    """
 
-    def __init__(self, known: Templates, total: int, counts: np.ndarray) -> None:
+    def __init__(self, known: Templates, total: int, counts: np.ndarray, threshold: float = THRESHOLD) -> None:
         self.known = known
         self.idf2 = (np.log((1 + total) / (1 + counts)) + 1) ** 2
         self.other = (np.log(1 + total) + 1) ** 2  # of words that no template has
         size = len(known.terms)
         self.vectors = [np.bincount(t, minlength=size) for t in known.tokens]
         self.norms = [float(np.sqrt((v * v * self.idf2).sum())) for v in self.vectors]
+        self.anchors = np.zeros((len(self.norms), size), dtype=bool)
+        for k, (vector, norm) in enumerate(zip(self.vectors, self.norms, strict=True)):
+            own = np.flatnonzero(vector)
+            mass = vector[own] ** 2 * self.idf2[own]
+            rarest = np.lexsort((-mass, counts[own]))
+            rest = norm**2 - np.cumsum(mass[rarest])
+            needed = int(np.argmax(rest < threshold**2 * norm**2 * (1 - 1e-9))) + 1
+            self.anchors[k, own[rarest[:needed]]] = True
+        self.anchor_hashes = np.sort(known.terms[self.anchors.any(axis=0)])
 
     def whole(self, hashes: np.ndarray) -> np.ndarray:
         """Cosine of a whole text to every template."""
@@ -148,24 +160,25 @@ class Scanner:
         return np.array([(mine * v * self.idf2).sum() / (norm * n) for v, n in zip(self.vectors, self.norms, strict=True)])
 
     def notices(self, hashes: np.ndarray) -> np.ndarray:
-        """Highest cosine to every template of any stretch of its length that holds an anchor."""
+        """Highest cosine to every template of any stretch of its length that holds one of its anchors; 0 without one."""
         best = np.zeros(len(self.norms))
-        at = np.flatnonzero(np.isin(hashes, self.known.anchors))
-        if not len(at):
-            return best
         term = self.known.indexed(hashes)
+        inside = np.flatnonzero(term >= 0)
         weight = np.where(term >= 0, self.idf2[term], self.other)
         for k, (tokens, vector, norm) in enumerate(zip(self.known.tokens, self.vectors, self.norms, strict=True)):
+            at = inside[self.anchors[k][term[inside]]]
+            if not len(at):
+                continue
             size = min(len(tokens), len(hashes))
             gain = np.concatenate([[0.0], np.cumsum(np.where(term >= 0, vector[term], 0) * weight)])
             starts = np.unique(np.clip(at[:, None] - np.arange(size), 0, len(hashes) - size).ravel())
             # Only stretches that could still win are measured: a norm is at least that of distinct words.
             dots = gain[starts + size] - gain[starts]
             for i in np.argsort(-dots, kind="stable").tolist():
-                length = np.sqrt(self._square(hashes, weight, int(starts[i]), size))
-                best[k] = max(best[k], dots[i] / (length * norm))
                 if dots[i] <= best[k] * norm * np.sqrt(size):
                     break  # every weight is 1 at least, so no later stretch is nearer
+                length = np.sqrt(self._square(hashes, weight, int(starts[i]), size))
+                best[k] = max(best[k], dots[i] / (length * norm))
         return best
 
     @staticmethod
@@ -176,38 +189,40 @@ class Scanner:
 
 
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """``files`` without text, with ``own`` (licence or null), ``score`` and ``is_file`` (a licence file).
+    """``row`` (all columns but path and text), ``path``, ``own`` (licence or null), ``score`` and ``is_file`` (a licence file).
 
     The whole text is scanned: its best-matching notice, or for a file with a
-    licence's name or text the file itself.  Of equal cosines the first template counts.
+    licence's name or text the file itself.  Of equal cosines the first template
+    counts.  Null and empty texts have no licence; repeated rows get one each.
     """
     known = Templates(templates or TEMPLATES)
     total, counts = document_frequencies(files, known)
-    keep = [c for c in files.columns if c != "text"]
+    others = [F.col(f"`{c}`") for c in files.columns if c not in ("path", "text")]
+    packed = files.select(F.struct(*(others or [F.lit(0).alias("none")])).alias("row"), "path", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(known, total, counts)
+        scanner = Scanner(known, total, counts, threshold)
         for batch in batches:
             own: list[str | None] = [None] * batch.num_rows
             score, whole = np.zeros(batch.num_rows), np.zeros(batch.num_rows, dtype=bool)
             for lo, hashes, first in _hashed(batch.column("text")):
-                held = np.flatnonzero(np.isin(hashes, known.anchors))
+                held = np.flatnonzero(np.isin(hashes, scanner.anchor_hashes))
                 for row in np.unique(np.searchsorted(first, held, side="right") - 1).tolist():
                     part = hashes[first[row] : first[row + 1]]
                     notice, entire = scanner.notices(part), scanner.whole(part)
-                    both = np.maximum(notice, entire)
+                    both = np.round(np.maximum(notice, entire), 9)
                     k = int(both.argmax())
                     score[lo + row] = both[k]
                     if both[k] >= threshold:
                         own[lo + row] = known.names[k]
                         whole[lo + row] = entire[k] >= threshold
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in keep), pa.array(own, pa.string()), pa.array(score), pa.array(whole)],
-                [*keep, "own", "score", "whole"],
+                [batch.column("row"), batch.column("path"), pa.array(own, pa.string()), pa.array(score), pa.array(whole)],
+                ["row", "path", "own", "score", "whole"],
             )
 
-    schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in keep)
-    found = files.mapInArrow(each, f"{schema}, own string, score double, whole boolean")
+    added = [T.StructField("own", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("whole", T.BooleanType())]
+    found = packed.mapInArrow(each, T.StructType([packed.schema["row"], packed.schema["path"], *added]))
     name = F.coalesce(F.element_at(F.split("path", "/"), -1), F.lit(""))
     return found.withColumn("is_file", F.col("own").isNotNull() & (F.col("whole") | name.rlike(LICENSE_NAME))).drop("whole")
 
@@ -220,7 +235,7 @@ def parent(path: Column) -> Column:
 def declared(own: DataFrame) -> DataFrame:
     """``dir, license`` of directories: of their licence files, else what most of their files' notices say.
 
-    Ties go to the first name.
+    Ties go to the first name; files without path or licence have no vote, repeated rows one each.
     """
     votes = own.filter("own IS NOT NULL AND path IS NOT NULL").groupBy(parent(F.col("path")).alias("dir"), "is_file", "own").count()
     return votes.groupBy("dir").agg(
@@ -252,27 +267,28 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, templates: dict[str, li
 
     ``files`` has columns path and text.  Returns its other columns and path with
     ``license, score, found`` (file, notice, inherited or none) and ``declared_in``
-    (the directory inherited from).  Null texts have no licence of their own;
-    null paths neither declare nor inherit; repeated rows are returned each.
+    (the directory inherited from); columns of ``files`` with these four names
+    give way to them.  Null texts have no licence of their own; null paths
+    neither declare nor inherit; repeated rows are returned each; no files give none.
     """
     own = staged(own_licenses(files, threshold, templates), "licenses")
     declarations = staged(declared(own), "license-dirs")
     dirs = own.filter("path IS NOT NULL").select(parent(F.col("path")).alias("dir")).distinct()
     near = nearest_declared(dirs, declarations)
     mine = F.col("own").isNotNull()
+    results = {
+        "license": F.coalesce("own", "license"),
+        "score": F.col("score"),
+        "found": F.when(F.col("is_file"), "file").when(mine, "notice").when(F.col("license").isNotNull(), "inherited").otherwise("none"),
+        "declared_in": F.when(~mine, F.col("declared_in")),
+    }
+    kept = [c for c in files.columns if c != "text" and c not in results]
     return (
         own.withColumn("dir", parent(F.col("path")))
         .join(near, "dir", "left")
         .select(
-            *[F.col(f"`{c}`") for c in files.columns if c != "text"],
-            F.coalesce("own", "license").alias("license"),
-            "score",
-            F.when(F.col("is_file"), "file")
-            .when(mine, "notice")
-            .when(F.col("license").isNotNull(), "inherited")
-            .otherwise("none")
-            .alias("found"),
-            F.when(~mine, F.col("declared_in")).alias("declared_in"),
+            *[(F.col("path") if c == "path" else F.col(f"row.`{c}`")).alias(c) for c in kept],
+            *[value.alias(name) for name, value in results.items()],
         )
     )
 
