@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from driftline.llm.holdout import held_out, texts_of
+from driftline.llm.holdout import held_out
 from driftline.llm.textbatch import lowered, runs, utf8
 
 WINDOW = 96
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-#: Training sample: at most so many texts a language, the first by hash of doc_id, and so many windows of each.
+#: Training sample: at most so many different texts a language, the first by hash of doc_id, and so many windows of each.
 TEXTS_PER_LANGUAGE = 300
 WINDOWS_PER_TEXT = 8
 EPOCHS = 5
@@ -195,42 +195,51 @@ class Classifier:
         return names, np.where(lettered, score, 0.0)
 
 
-def learn(docs: DataFrame) -> Network | None:
-    """Train on a sample, bounded for each language, of all documents with a language outside the held-out part; None if there are none."""
-    known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("spread", "doc_id"))
+def learn(docs: DataFrame, texts_per_language: int = TEXTS_PER_LANGUAGE) -> Network | None:
+    """Train on a sample, bounded for each language, of all documents with a language outside the held-out part; None if there are none.
+
+    Rows that repeat a doc_id and text count once, in the first of their
+    languages; null and empty texts and null doc_ids aren't learned from.
+    """
+    named = docs.select("doc_id", "lang", F.xxhash64("text").alias("print"), "text")
+    known = named.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    # Equal rows share a rank, so repeats of a text don't take the place of others.
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("spread", "doc_id", "print"))
     chosen = (
-        known.select("doc_id", "lang", F.xxhash64("doc_id").alias("spread"))
+        known.select("doc_id", "print", "lang", F.xxhash64("doc_id").alias("spread"))
         .withColumn("rank", rank)
-        .filter(F.col("rank") <= TEXTS_PER_LANGUAGE)
-        .select("doc_id", "lang")
+        .filter(F.col("rank") <= texts_per_language)
+        .groupBy("doc_id", "print")
+        .agg(F.min("lang").alias("lang"))
         .collect()
     )
     if not chosen:
         return None
-    lang = {r.doc_id: r.lang for r in chosen}
+    lang = {(r.doc_id, r.print): r.lang for r in chosen}
     languages = sorted(set(lang.values()))
+    kind = docs.schema["doc_id"].dataType.simpleString()
     # Only the windows that are learned from come to the driver: evenly spread ones of each text.
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = utf8(batch.column("text"))
-            ids, parts = [], []
+            at, parts = [], []
             for lo, hi in runs(offsets):
                 cells, row = windows(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 count = np.bincount(row, minlength=hi - lo)
                 nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 every = -(-count[row] // WINDOWS_PER_TEXT)
                 keep = np.flatnonzero(nth % every == 0)
-                ids += [batch.column("doc_id")[lo + int(r)].as_py() for r in row[keep]]
+                at += (lo + row[keep]).tolist()
                 parts += [cells[i].tobytes() for i in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("doc_id").type), pa.array(parts, pa.binary())], ["doc_id", "cells"])
+            ids = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "print")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(parts, pa.binary())], ["doc_id", "print", "cells"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = texts_of(docs, list(lang)).mapInArrow(samples, f"doc_id {kind}, cells binary").orderBy("doc_id", "cells").collect()
-    if not rows:
-        return None
+    wanted = docs.sparkSession.createDataFrame(list(lang), f"doc_id {kind}, print long")
+    # Of repeated rows one is taken, by a shuffle of the sample alone.
+    texts = named.select("doc_id", "print", "text").join(F.broadcast(wanted), ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "print"])
+    rows = texts.mapInArrow(samples, f"doc_id {kind}, print long, cells binary").orderBy("doc_id", "print", "cells").collect()
     cells = np.frombuffer(b"".join(bytes(r.cells) for r in rows), np.uint8).reshape(-1, WINDOW)
-    target = np.array([languages.index(lang[r.doc_id]) for r in rows])
+    target = np.array([languages.index(lang[r.doc_id, r.print]) for r in rows])
     return train(cells, target, languages)
 
 
