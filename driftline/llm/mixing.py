@@ -140,23 +140,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed:
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """The mix itself: all columns of ``docs``, each row as often as it is taken.
 
-    Documents without words add none, so they are left out.
+    Documents without words add none, so they are left out.  Null doc_ids and
+    sources, rows that repeat and clashing column names are handled as in :func:`mix`.
     """
-    # Rows that share doc_id, source and text are told apart by number only; one key serves ranking and join.
+    # Rows that share doc_id, source and text are told apart by number only, in an order that reruns repeat.
     key = F.struct("doc_id", "source", F.xxhash64("text").alias("print"))
     sized = staged(_sized(docs, seed, key.alias("key")), "sizes")
-    dealt = _copies(sized, weights, cap, seed)
-    dealt = dealt.select(
-        "key", "size", "copies", F.row_number().over(Window.partitionBy("key").orderBy("copies")).alias("nth")
-    ).filter("copies > 0 and size > 0")
-    rows = docs.withColumn("__key", key)
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0))))
-    return (
-        rows.alias("d")
-        .join(dealt.alias("c"), (F.col("d.__key") == F.col("c.key")) & (F.col("d.__nth") == F.col("c.nth")))
-        .select(
-            *[F.col(f"d.`{c}`") for c in docs.columns],
-            F.explode(F.sequence(F.lit(1), F.col("c.copies").cast("int"))).alias("__copy"),
-        )
-        .drop("__copy")
-    )
+    numbered = F.row_number().over(Window.partitionBy("key").orderBy("copies"))
+    dealt = _copies(sized, weights, cap, seed).select("key", "size", "copies", numbered.alias("nth")).filter("copies > 0 and size > 0")
+    whole = F.struct(*[f"`{c}`" for c in docs.columns]).alias("row")
+    print_of_row = F.xxhash64(*[f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind])
+    rows = docs.select(key.alias("key"), whole, print_of_row.alias("order"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("order")))
+    copies = F.sequence(F.lit(1), F.col("copies").cast("int"))
+    return rows.join(dealt, ["key", "nth"]).select("row", F.explode(copies)).select("row.*")

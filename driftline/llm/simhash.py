@@ -185,8 +185,8 @@ def without_near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = S
         found.withColumn("order", F.struct(F.col("doc_id").isNull().alias("last"), key.alias("key")))
         .groupBy(group)
         .agg(F.min("order").alias("first"))
-        .select(F.col("first.key").alias("__key"))
+        .select(F.col("first.key").alias("key"))
     )
-    rows = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("print")))
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("print")).alias("key"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
     # Rows that share doc_id and text differ at most in other columns; any one of them stays.
-    return rows.join(stays, "__key", "left_semi").dropDuplicates(["__key"]).select(*[f"`{c}`" for c in docs.columns])
+    return rows.join(stays, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
