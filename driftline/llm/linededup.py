@@ -478,26 +478,29 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """``docs`` with every line removed that repeats, nearly or exactly, an earlier one.
 
     All rows stay, with all their columns; only texts shrink, and a column
-    n_chars follows them.  Empty lines are lines like any other.
+    n_chars follows them.  Empty lines are lines like any other, so of many
+    blank lines the first stays.  Null texts stay null, rows that repeat a
+    doc_id and text lose the same lines, null doc_ids come last, and empty
+    tables and any other columns are fine.
     """
+    # Bounds of the lines between two that go: what stays is copied in slices, however many lines there are.
     gone = (
         line_classes(docs, edits)
         .filter(~F.col("kept"))
         .groupBy("doc_id", "print")
-        .agg(F.collect_set("line_no").alias("__gone"))
+        .agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
     )
-    left = F.array_join(
-        F.filter(F.split("d.text", "\n", -1), lambda _, i: ~F.array_contains("__gone", i)), "\n"
-    )
-    text = F.when(F.col("__gone").isNull(), F.col("d.text")).otherwise(left)
-    rows = docs.alias("d").join(
-        gone.alias("g"),
-        F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.print")),
-        "left",
-    )
-    new = {"text": text}
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.xxhash64("text").alias("print"))
+    met = F.col("row.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.print") == F.col("g.print"))
+    rows = rows.alias("d").join(gone.alias("g"), met, "left").select("row", "gone")
+    lines = F.when(F.col("gone").isNotNull(), F.split("row.text", "\n", -1)).alias("lines")
+    rows = rows.select("row", lines, F.concat(F.array(F.lit(-1)), "gone").alias("before"), "gone")
+    rows = rows.select("row", "lines", "before", F.concat("gone", F.array(F.size("lines"))).alias("after"))
+    parts = F.transform("before", lambda b, i: F.slice("lines", b + 2, F.get("after", i) - b - 1))
+    left = F.when(F.col("lines").isNotNull(), F.array_join(F.flatten(parts), "\n"))
+    rows = rows.select("row", left.alias("left"))
+    new = {"text": F.coalesce("left", "row.text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__gone").isNull(), F.col("d.n_chars")).otherwise(
-            F.char_length(left).cast(docs.schema["n_chars"].dataType)
-        )
-    return rows.select(*[new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.coalesce(F.char_length("left").cast(kind), "row.n_chars")
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
