@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from math import asin, cos, radians, sin, sqrt
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,6 +117,21 @@ def stay_members(
     return chains.repartition(*group).sortWithinPartitions(*group, "datetime", "ord").mapInArrow(each, schema)
 
 
+def sweep(chains: DataFrame, settings: list[tuple[int, int]]) -> DataFrame:
+    """``user_id, radius_m, minutes, stays`` of chains under several settings (radius, minutes): points move once for all of them."""
+    kind = chains.schema["user_id"].dataType.simpleString()
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["datetime", "ord"])
+        lat, lon = frame.lat.tolist(), frame.lon.tolist()
+        us = frame.datetime.astype("datetime64[us]").astype("int64").tolist()
+        found = [(frame.user_id.iloc[0], a, b, len(scan_windows(lat, lon, us, a, b, False))) for a, b in settings]
+        return pd.DataFrame([x for x in found if x[3]], columns=["user_id", "radius_m", "minutes", "stays"])
+
+    rows = chains.select("user_id", "chain", "datetime", "ord", "lat", "lon")
+    return rows.groupBy("user_id", "chain").applyInPandas(count, f"user_id {kind}, radius_m int, minutes int, stays long")
+
+
 def stays_of(members: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """One row per stay: times, mean position, points, mean altitude and observed minutes (steps up to 20 minutes)."""
     group = [*keys, "chain", "stay"]

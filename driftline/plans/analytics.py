@@ -157,12 +157,6 @@ def stay_key(s: SparkSession, d: str) -> DataFrame:
     return base.stay_table(s, d).select(F.concat_ws("|", F.col("user_id").cast("string"), F.date_format("arrival", t), F.date_format("departure", t)).alias("k"))
 
 
-@query(f"SELECT {_K}, {rnd('greatest(0.0, step_m - 50) / step_s * 3.6::DOUBLE', 3)} AS kmh FROM kept_steps WHERE step_s > 0")
-def corrected_speed(s: SparkSession, d: str) -> DataFrame:
-    rows = cleaning.with_steps(base.kept(s, d)).filter("step_s > 0")
-    return rows.select(*KEY, r("kmh", of=F.greatest(F.lit(0.0), F.col("step_m") - 50) / F.col("step_s") * 3.6))
-
-
 # --- privacy and monitoring ---
 
 
@@ -280,17 +274,6 @@ def win_share(s: SparkSession, d: str) -> DataFrame:
 # --- modes, gaps, stages ---
 
 
-@query(
-    f"""SELECT l.mode, count(*) AS n, {rnd('avg(k.step_kmh)', 3)} AS mean, {rnd('quantile_cont(k.step_kmh, 0.5)', 3)} AS p50, {rnd('max(k.step_kmh)', 3)} AS high
-      FROM kept_steps k JOIN lab l ON k.user_id = l.user_id AND k.datetime BETWEEN l.start AND l."end" WHERE k.step_kmh IS NOT NULL GROUP BY 1"""
-)
-def speed_stats_by_mode(s: SparkSession, d: str) -> DataFrame:
-    hit = base._in_interval(cleaning.with_steps(base.kept(s, d)).filter("step_kmh IS NOT NULL"), base.labels(s, d))
-    return hit.groupBy("mode").agg(
-        F.count(F.lit(1)).alias("n"), r("mean", of=F.avg("step_kmh")), r("p50", of=F.percentile("step_kmh", F.lit(0.5))), r("high", of=F.max("step_kmh"))
-    )
-
-
 @query(
     f"""SELECT l.mode, {rnd('avg(CAST(k.step_kmh > 180 AS INT))', 6)} AS share
       FROM kept_steps k JOIN lab l ON k.user_id = l.user_id AND k.datetime BETWEEN l.start AND l."end" WHERE k.step_kmh IS NOT NULL GROUP BY 1"""
@@ -300,22 +283,6 @@ def share_over_limit(s: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("mode").agg(r("share", 6, F.avg((F.col("step_kmh") > 180).cast("int"))))
 
 
-@query(
-    f"SELECT user_id, count(*) AS n, {rnd('quantile_cont(step_m, 0.5)', 3)} AS p50, {rnd('quantile_cont(step_m, 0.99)', 3)} AS p99 "
-    "FROM kept_steps WHERE step_s <= 300 GROUP BY 1 HAVING count(*) >= 100"
-)
-def gps_noise(s: SparkSession, d: str) -> DataFrame:
-    q = F.percentile("step_m", F.array(F.lit(0.5), F.lit(0.99)))
-    rows = cleaning.with_steps(base.kept(s, d)).filter("step_s <= 300").groupBy("user_id")
-    return rows.agg(F.count(F.lit(1)).alias("n"), r("p50", of=F.get(q, 0)), r("p99", of=F.get(q, 1))).filter("n >= 100")
-
-
-@query("SELECT strftime(datetime, '%M:%S') IN ('00:00', '30:00') AS round_clock, count(*) AS n FROM dec GROUP BY 1")
-def dup_round_time(s: SparkSession, d: str) -> DataFrame:
-    rows = cleaning.decide(cleaning.dup_candidates(base.gated(s, d)).filter("is_candidate"))
-    return rows.groupBy(F.date_format("datetime", "mm:ss").isin("00:00", "30:00").alias("round_clock")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     f"""SELECT limit_s, count(*) FILTER (WHERE g > limit_s) AS far, count(*) FILTER (WHERE (a IS NULL) <> (b IS NULL)) AS one_sided, count(*) FILTER (WHERE a IS NULL AND b IS NULL) AS alone
       FROM (SELECT *, least(a, b) AS g FROM (SELECT {secs('prev.datetime', 'datetime')} AS a, {secs('datetime', 'next.datetime')} AS b FROM cand)),
@@ -382,30 +349,6 @@ def gap_candidates(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("minutes").agg(r("within_over", 6, F.coalesce(inside, zero)), r("cross_under", 6, F.coalesce(across, zero)))
 
 
-@query(
-    f"""SELECT t AS hours, count(*) FILTER (WHERE g <= t * 3600) AS bridged, count(DISTINCT user_id) FILTER (WHERE g <= t * 3600) AS users,
-      {rnd("coalesce(sum(g) FILTER (WHERE g <= t * 3600), 0) / 3600", 3)} AS bridged_hours
-      FROM {_GAP_SQL}, (SELECT unnest([6, 12, 18, 24, 36, 48]) AS t) WHERE g > 1200 GROUP BY 1"""
-)
-def tmax_sweep(s: SparkSession, d: str) -> DataFrame:
-    rows = _user_gaps(s, d).filter("g > 1200").select("user_id", "g", F.explode(F.array(*map(F.lit, (6, 12, 18, 24, 36, 48)))).alias("hours"))
-    ok = F.col("g") <= F.col("hours") * 3600
-    return rows.groupBy("hours").agg(
-        F.count_if(ok).alias("bridged"), F.count_distinct(F.when(ok, F.col("user_id"))).alias("users"),
-        r("bridged_hours", of=F.coalesce(F.sum(F.when(ok, F.col("g"))), F.lit(0.0)) / 3600),
-    )
-
-
-@query(
-    f"""SELECT CAST(h.i AS INT) AS hour, count(a.h) AS starts FROM (SELECT unnest(range(24)) AS i) h
-      LEFT JOIN (SELECT hour(p.datetime) AS h FROM {_GAP_SQL} WHERE g > 1200) a ON a.h = h.i GROUP BY 1"""
-)
-def bridge_hours(s: SparkSession, d: str) -> DataFrame:
-    n = _user_gaps(s, d).filter("g > 1200").groupBy(F.hour("p.datetime").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
-    hours = s.range(24).select(F.col("id").cast("int").alias("hour"))
-    return hours.join(F.broadcast(n), "hour", "left").select("hour", F.coalesce("n", F.lit(0).cast("long")).alias("starts"))
-
-
 @query(
     f"""SELECT CASE WHEN g <= 3600 THEN 0 WHEN g <= 21600 THEN 1 WHEN g <= 64800 THEN 2 ELSE 3 END AS band, count(*) AS n, count(DISTINCT user_id) AS users,
       {rnd('quantile_cont(m, 0.5)', 3)} AS median_m, {rnd('quantile_cont(m, 0.9)', 3)} AS p90_m FROM {_GAP_SQL} WHERE g > 1200 GROUP BY 1"""
@@ -417,18 +360,6 @@ def jump_across_gap(s: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), r("median_m", of=F.get(q, 0)), r("p90_m", of=F.get(q, 1)))
 
 
-@query(f"SELECT 'centroid' AS stage, count(*) AS stays, count(DISTINCT user_id) AS users, {rnd('sum(duration_minutes)', 3)} AS minutes, {rnd('max(duration_minutes)', 3)} AS longest FROM st "
-       f"UNION ALL SELECT 'anchor', count(*), count(DISTINCT user_id), {rnd('sum(duration_minutes)', 3)}, {rnd('max(duration_minutes)', 3)} FROM st_anchor")
-def stage_summary(s: SparkSession, d: str) -> DataFrame:
-    def figures(rows: DataFrame, name: str) -> DataFrame:
-        return rows.agg(
-            F.lit(name).alias("stage"), F.count(F.lit(1)).alias("stays"), F.count_distinct("user_id").alias("users"),
-            r("minutes", of=F.sum("duration_minutes")), r("longest", of=F.max("duration_minutes")),
-        )
-
-    return figures(base.stay_table(s, d), "centroid").unionByName(figures(stays.stay_points(base.clean(s, d), anchor=True), "anchor"))
-
-
 @query("""SELECT (SELECT count(*) FROM (SELECT user_id, arrival, departure FROM st INTERSECT SELECT user_id, arrival, departure FROM st_anchor)) AS unchanged,
       (SELECT count(*) FROM (SELECT user_id, arrival, departure FROM st EXCEPT SELECT user_id, arrival, departure FROM st_anchor)) AS removed,
       (SELECT count(*) FROM (SELECT user_id, arrival, departure FROM st_anchor EXCEPT SELECT user_id, arrival, departure FROM st)) AS added""")
@@ -442,16 +373,6 @@ def stage_changes(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT count(*) AS spikes FROM quarantine q WHERE reason = 'speed_spike' AND EXISTS (
-      SELECT 1 FROM st WHERE st.user_id = q.user_id AND q.datetime BETWEEN st.arrival - INTERVAL 30 MINUTE AND st.departure + INTERVAL 30 MINUTE)""")
-def spikes_near_stays(s: SparkSession, d: str) -> DataFrame:
-    spikes = cleaning.clean(base.points(s, d))[1].filter("reason = 'speed_spike'").alias("q")
-    near = base.stay_table(s, d).alias("s")
-    lo, hi = times.plus_seconds(F.col("s.arrival"), F.lit(-1800)), times.plus_seconds(F.col("s.departure"), F.lit(1800))
-    hit = spikes.join(near, (F.col("q.user_id") == F.col("s.user_id")) & F.col("q.datetime").between(lo, hi), "left_semi")
-    return hit.agg(F.count(F.lit(1)).alias("spikes"))
-
-
 # --- zones, nights, places ---
 
 
@@ -473,13 +394,6 @@ def tz_files(s: SparkSession, d: str) -> DataFrame:
     return z.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("z") > 1).alias("spanning"))
 
 
-@query("SELECT hour(h) AS hour, count(*) AS slots FROM (SELECT DISTINCT user_id, date_trunc('hour', timestamp_local) AS h FROM clean) GROUP BY 1")
-def active_hours(s: SparkSession, d: str) -> DataFrame:
-    slot = F.date_format("timestamp_local", "yyyy-MM-dd HH").alias("slot")
-    rows = base.clean(s, d).select("user_id", F.hour("timestamp_local").alias("hour"), slot).distinct()
-    return rows.groupBy("hour").agg(F.count(F.lit(1)).alias("slots"))
-
-
 @query("""SELECT count(*) FILTER (WHERE hour(arr) >= 22 OR hour(arr) < 6) AS local_night, count(*) FILTER (WHERE hour(arrival) >= 22 OR hour(arrival) < 6) AS gmt_night,
       count(*) AS stays FROM stl""")
 def night_impact(s: SparkSession, d: str) -> DataFrame:
@@ -499,15 +413,6 @@ def hourly_slots(s: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", "chain", "stay", "slot", r("minutes", of=seconds_between(F.greatest("arrival_local", "slot"), end) / 60))
 
 
-@query("""SELECT user_id, max(m) AS longest FROM (SELECT s.user_id, (epoch_us(least(s.departure, l."end")) - epoch_us(greatest(s.arrival, l.start))) / 60e6::DOUBLE AS m
-      FROM st s JOIN lab l ON s.user_id = l.user_id AND s.arrival < l."end" AND s.departure > l.start) GROUP BY 1""")
-def interval_overlap_max(s: SparkSession, d: str) -> DataFrame:
-    a, b = base.stay_table(s, d).alias("s"), base.labels(s, d).alias("l")
-    hit = a.join(b, (F.col("s.user_id") == F.col("l.user_id")) & (F.col("s.arrival") < F.col("l.end")) & (F.col("s.departure") > F.col("l.start")))
-    minutes = seconds_between(F.greatest("s.arrival", "l.start"), F.least("s.departure", "l.end")) / 60
-    return hit.groupBy(F.col("s.user_id").alias("user_id")).agg(F.max(minutes).alias("longest"))
-
-
 @query(f"SELECT user_id, type, arrival, {rnd('minutes', 3)} AS minutes FROM win1")
 def v1_winner(s: SparkSession, d: str) -> DataFrame:
     return classify.winners_v1(base.scores(s, d)).select("user_id", "type", "arrival", r("minutes"))
@@ -537,11 +442,6 @@ def place_locations(s: SparkSession, d: str) -> DataFrame:
     return _places(s, d).select("user_id", "place", r("lat", 10), r("lon", 10), "visit_count", r("duration_minutes"), "first_seen")
 
 
-@query("SELECT user_id, place, count(*) AS n FROM placed GROUP BY ALL")
-def connected_components(s: SparkSession, d: str) -> DataFrame:
-    return places.dbscan(base.stay_table(s, d)).groupBy("user_id", "place").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(f"""SELECT a.user_id, a.chain || '-' || a.stay AS id, {rnd('sum(b.duration_minutes)', 3)} AS minutes FROM st a JOIN st b ON a.user_id = b.user_id
       WHERE {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200 GROUP BY ALL""")
 def area_score(s: SparkSession, d: str) -> DataFrame:
@@ -563,50 +463,6 @@ def unknown_gates(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("gate", "type").agg(F.count_if(F.col("minutes") >= F.col("gate")).alias("answered"))
 
 
-@query(f"""SELECT type, count(*) FILTER (WHERE minutes < w) AS below, count(*) FILTER (WHERE minutes = w) AS exact, count(*) FILTER (WHERE minutes > w) AS above
-      FROM (SELECT type, {rnd('minutes', 3)} AS minutes, CASE type WHEN 'home' THEN 600 ELSE 540 END AS w FROM win1) GROUP BY 1""")
-def winner_fills(s: SparkSession, d: str) -> DataFrame:
-    rows = classify.winners_v1(base.scores(s, d)).select("type", r("minutes"), F.when(F.col("type") == "home", 600).otherwise(540).alias("w"))
-    return rows.groupBy("type").agg(
-        F.count_if(F.col("minutes") < F.col("w")).alias("below"), F.count_if(F.col("minutes") == F.col("w")).alias("exact"), F.count_if(F.col("minutes") > F.col("w")).alias("above")
-    )
-
-
-@query("""SELECT a.type, a.status AS v1, b.status AS v2, count(*) AS n FROM win1 a JOIN win2 b USING (user_id, type) GROUP BY ALL""")
-def status_crosstab(s: SparkSession, d: str) -> DataFrame:
-    rows = base.scores(s, d)
-    a = classify.winners_v1(rows).select("user_id", "type", F.col("status").alias("v1"))
-    b = classify.winners_v2(classify.place_scores(rows)).select("user_id", "type", F.col("status").alias("v2"))
-    return a.join(b, ["user_id", "type"]).groupBy("type", "v1", "v2").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""SELECT count(*) AS users, count(*) FILTER (WHERE {mean_m('h.lat', 'h.lon', 'o.lat', 'o.lon')} <= 200) AS same_area, count(*) FILTER (WHERE h.arrival = o.arrival) AS same_stay
-      FROM (SELECT * FROM win1 WHERE type = 'home') h JOIN (SELECT * FROM win1 WHERE type = 'office') o USING (user_id)""")
-def home_office_overlap(s: SparkSession, d: str) -> DataFrame:
-    rows = classify.winners_v1(base.scores(s, d)).select("user_id", "type", "lat", "lon", "arrival")
-    both = rows.filter("type = 'home'").alias("h").join(rows.filter("type = 'office'").alias("o"), "user_id")
-    return both.agg(
-        F.count(F.lit(1)).alias("users"), F.count_if(mean_haversine_m("h.lat", "h.lon", "o.lat", "o.lon") <= 200).alias("same_area"),
-        F.count_if(F.col("h.arrival") == F.col("o.arrival")).alias("same_stay"),
-    )
-
-
-@query(f"""SELECT user_id, {rnd('sum(duration_minutes - observed_minutes) / sum(duration_minutes)', 6)} AS share FROM st GROUP BY 1""")
-def unobserved_share(s: SparkSession, d: str) -> DataFrame:
-    share = F.sum(F.col("duration_minutes") - F.col("observed_minutes")) / F.sum("duration_minutes")
-    return base.stay_table(s, d).groupBy("user_id").agg(r("share", 6, share))
-
-
-@query("""SELECT user_id, count(*) AS points, count(DISTINCT source_file) AS files, min(datetime) AS first_seen, max(datetime) AS last_seen, any_value(n_stays) AS stays
-      FROM clean JOIN (SELECT user_id, count(*) AS n_stays FROM st GROUP BY 1) USING (user_id) GROUP BY 1""")
-def user_summary(s: SparkSession, d: str) -> DataFrame:
-    n = base.stay_table(s, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("stays"))
-    p = base.clean(s, d).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("points"), F.count_distinct("source_file").alias("files"), F.min("datetime").alias("first_seen"), F.max("datetime").alias("last_seen")
-    )
-    return p.join(n, "user_id")
-
-
 @query("""SELECT departure > arrival AND observed_minutes <= duration_minutes + 1e-6 AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AS valid, count(*) AS n
       FROM st GROUP BY 1""")
 def validate_stays(s: SparkSession, d: str) -> DataFrame:
@@ -615,28 +471,12 @@ def validate_stays(s: SparkSession, d: str) -> DataFrame:
     return base.stay_table(s, d).groupBy(ok.alias("valid")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT count(*) FILTER (WHERE altitude = -777) AS no_altitude, count(*) FILTER (WHERE lat > 45) AS outside, count(*) AS n,
-      count(*) - count(DISTINCT (user_id, datetime)) AS repeated FROM pts""")
-def eda_quality(s: SparkSession, d: str) -> DataFrame:
-    return base.points(s, d).agg(
-        F.count_if(F.col("altitude") == -777).alias("no_altitude"), F.count_if(F.col("lat") > 45).alias("outside"), F.count(F.lit(1)).alias("n"),
-        (F.count(F.lit(1)) - F.count_distinct("user_id", "datetime")).alias("repeated"),
-    )
-
-
 @query(f"""SELECT user_id, type, 'completed' AS state, {rnd('confidence', 6)} AS confidence FROM win1 WHERE status = 'found'""")
 def batch_classify(s: SparkSession, d: str) -> DataFrame:
     rows = classify.winners_v1(base.scores(s, d)).filter("status = 'found'")
     return rows.select("user_id", "type", F.lit("completed").alias("state"), r("confidence", 6))
 
 
-@query("""SELECT user_id, type FROM compared WHERE outcome IN ('same_place', 'different_place')""")
-def candidate_users(s: SparkSession, d: str) -> DataFrame:
-    rows = base.scores(s, d)
-    out = classify.compare(classify.winners_v1(rows), classify.winners_v2(classify.place_scores(rows)))
-    return out.filter(F.col("outcome").isin("same_place", "different_place")).select("user_id", "type")
-
-
 # --- variants of the scan, halves, matches ---
 
 
@@ -647,17 +487,6 @@ def stay_per_file(s: SparkSession, d: str) -> DataFrame:
     return found.groupBy("user_id").agg(F.count(F.lit(1)).alias("stays"))
 
 
-@query(" UNION ALL ".join(f"SELECT {a} AS radius_m, {b} AS minutes, count(*) AS stays, count(DISTINCT user_id) AS users FROM scan_{a}_{b} WHERE from_rn IS NOT NULL" for a, b in SWEEP))
-def stay_sweep(s: SparkSession, d: str) -> DataFrame:
-    chains = stays.gap_chains(base.clean(s, d))
-    out = None
-    for radius, minutes in SWEEP:
-        found = stays.stays_of(stays.stay_members(chains, radius, minutes))
-        row = found.agg(F.lit(radius).alias("radius_m"), F.lit(minutes).alias("minutes"), F.count(F.lit(1)).alias("stays"), F.count_distinct("user_id").alias("users"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 @query(
     f"""SELECT user_id, chain, stay, {rnd('quantile_cont(m, 0.5)', 3)} AS p50, {rnd('quantile_cont(m, 0.9)', 3)} AS p90 FROM (
       SELECT a.user_id, a.chain, a.stay, {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m FROM members a
@@ -673,128 +502,7 @@ def stationary_footprint(s: SparkSession, d: str) -> DataFrame:
     return gaps.groupBy(*key).agg(r("p50", of=F.get(q, 0)), r("p90", of=F.get(q, 1)))
 
 
-@query(
-    f"""SELECT type, count(*) AS users, count(*) FILTER (WHERE {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200) AS stable FROM
-      (SELECT * FROM (SELECT *, date_diff('day', DATE '2000-01-01', CAST(arr AS DATE)) % 2 AS half FROM typed)
-       QUALIFY row_number() OVER (PARTITION BY user_id, type, half ORDER BY minutes DESC, duration_minutes DESC, arrival) = 1) a
-      JOIN (SELECT * FROM (SELECT *, date_diff('day', DATE '2000-01-01', CAST(arr AS DATE)) % 2 AS half FROM typed)
-       QUALIFY row_number() OVER (PARTITION BY user_id, type, half ORDER BY minutes DESC, duration_minutes DESC, arrival) = 1) b USING (user_id, type)
-      WHERE a.half = 0 AND b.half = 1 GROUP BY 1"""
-)
-def split_half(s: SparkSession, d: str) -> DataFrame:
-    half = F.date_diff(F.to_date("arrival_local"), F.lit("2000-01-01").cast("date")) % 2
-    w = Window.partitionBy("user_id", "type", "half").orderBy(F.desc("minutes"), F.desc("duration_minutes"), "arrival")
-    top = classify.by_type(base.scores(s, d)).withColumn("half", half).withColumn("rk", F.row_number().over(w)).filter("rk = 1")
-    top = top.select("user_id", "type", "half", "lat", "lon")
-    both = top.filter("half = 0").alias("a").join(top.filter("half = 1").alias("b"), ["user_id", "type"])
-    near = mean_haversine_m("a.lat", "a.lon", "b.lat", "b.lon") <= 200
-    return both.groupBy("type").agg(F.count(F.lit(1)).alias("users"), F.count_if(near).alias("stable"))
-
-
-@query(
-    """SELECT user_id, type, min(arrival) AS earliest, max(arrival) AS latest, count(*) AS tied FROM (
-      SELECT *, rank() OVER (PARTITION BY user_id, type ORDER BY round(minutes, 3) DESC) AS rk FROM typed) WHERE rk = 1 GROUP BY ALL"""
-)
-def tie_breaks(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id", "type").orderBy(F.desc(F.round("minutes", 3)))
-    rows = classify.by_type(base.scores(s, d)).withColumn("rk", F.rank().over(w)).filter("rk = 1")
-    return rows.groupBy("user_id", "type").agg(F.min("arrival").alias("earliest"), F.max("arrival").alias("latest"), F.count(F.lit(1)).alias("tied"))
-
-
 @query("SELECT user_id, round_minutes, count(*) AS stays FROM (SELECT user_id, CAST(floor(duration_minutes / 60) AS BIGINT) AS round_minutes FROM st) GROUP BY ALL")
 def duration_histogram(s: SparkSession, d: str) -> DataFrame:
     hours = F.floor(F.col("duration_minutes") / 60).cast("long")
     return base.stay_table(s, d).groupBy("user_id", hours.alias("round_minutes")).agg(F.count(F.lit(1)).alias("stays"))
-
-
-@query("SELECT hour(slot) AS hour, count(*) AS present FROM (SELECT unnest(generate_series(date_trunc('hour', arr), dep, INTERVAL 1 HOUR)) AS slot FROM stl) GROUP BY 1")
-def overnight_hours(s: SparkSession, d: str) -> DataFrame:
-    rows = stays.localized(base.stay_table(s, d))
-    first = F.to_timestamp_ntz(F.date_format("arrival_local", "yyyy-MM-dd HH:00:00"))
-    n = F.floor(seconds_between(first, F.col("departure_local")) / 3600).cast("int")
-    slots = rows.select(first.alias("first"), F.explode(F.sequence(F.lit(0), n)).alias("i"))
-    return slots.groupBy(F.hour(times.plus_seconds(F.col("first"), F.col("i") * 3600)).alias("hour")).agg(F.count(F.lit(1)).alias("present"))
-
-
-@query(
-    f"""SELECT user_id, arrival, {rnd('min(m)', 3)} AS nearest_m, count(*) AS overlapping FROM (
-      SELECT a.user_id, a.arrival, {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m FROM st_anchor a JOIN st b
-        ON a.user_id = b.user_id AND a.arrival < b.departure AND a.departure > b.arrival) GROUP BY ALL"""
-)
-def stage_match_nearest(s: SparkSession, d: str) -> DataFrame:
-    a, b = stays.stay_points(base.clean(s, d), anchor=True).alias("a"), base.stay_table(s, d).alias("b")
-    met = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.arrival") < F.col("b.departure")) & (F.col("a.departure") > F.col("b.arrival")))
-    metres = mean_haversine_m("a.lat", "a.lon", "b.lat", "b.lon")
-    return met.groupBy(F.col("a.user_id").alias("user_id"), F.col("a.arrival").alias("arrival")).agg(r("nearest_m", of=F.min(metres)), F.count(F.lit(1)).alias("overlapping"))
-
-
-@query(
-    f"""SELECT EXISTS (SELECT 1 FROM lab l WHERE l.user_id = g.user_id AND l.start < g.datetime AND l."end" > g.p.datetime) AS labelled, count(*) AS n
-      FROM {_GAP_SQL} g WHERE g.g > 1200 GROUP BY 1"""
-)
-def gap_label_evidence(s: SparkSession, d: str) -> DataFrame:
-    gaps = _user_gaps(s, d).filter("g > 1200").select(*KEY, F.col("p.datetime").alias("from"), F.col("datetime").alias("to")).alias("g")
-    lab = base.labels(s, d).alias("l")
-    met = (F.col("g.user_id") == F.col("l.user_id")) & (F.col("l.start") < F.col("g.to")) & (F.col("l.end") > F.col("g.from"))
-    yes = gaps.join(lab, met, "left_semi").select(*[F.col(f"g.{k}") for k in KEY]).withColumn("hit", F.lit(True))
-    rows = gaps.select(*[F.col(f"g.{k}") for k in KEY]).join(yes, KEY, "left")
-    return rows.groupBy(F.coalesce("hit", F.lit(False)).alias("labelled")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    """SELECT user_id, count(*) AS stops FROM (
-      SELECT user_id, (epoch_us(lead(start) OVER (PARTITION BY user_id ORDER BY start, label_id)) - epoch_us("end")) / 60e6 AS m FROM lab)
-      WHERE m BETWEEN 15 AND 1080 GROUP BY 1"""
-)
-def label_stops(s: SparkSession, d: str) -> DataFrame:
-    nxt = F.lead("start").over(Window.partitionBy("user_id").orderBy("start", "label_id"))
-    rows = base.labels(s, d).withColumn("m", seconds_between(F.col("end"), nxt) / 60).filter("m BETWEEN 15 AND 1080")
-    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("stops"))
-
-
-_CONTENT = "md5(event_type || '|' || k)"
-
-
-@query(f"SELECT a.user_id AS user_a, b.user_id AS user_b, count(*) AS shared FROM (SELECT DISTINCT user_id, {_CONTENT} AS h FROM ev) a "
-       f"JOIN (SELECT DISTINCT user_id, {_CONTENT} AS h FROM ev) b ON a.h = b.h AND a.user_id < b.user_id GROUP BY ALL")
-def shared_pairs(s: SparkSession, d: str) -> DataFrame:
-    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long")).cast("string")
-    rows = table(s, d, "events").select("user_id", F.md5(F.concat_ws("|", "event_type", k).cast("binary")).alias("h")).distinct()
-    met = rows.alias("a").join(rows.alias("b"), "h").filter("a.user_id < b.user_id")
-    return met.groupBy(F.col("a.user_id").alias("user_a"), F.col("b.user_id").alias("user_b")).agg(F.count(F.lit(1)).alias("shared"))
-
-
-@query(f"SELECT h, count(DISTINCT user_id) AS users, count(*) AS copies FROM (SELECT user_id, {_CONTENT} AS h FROM ev) GROUP BY 1 HAVING count(DISTINCT user_id) > 1")
-def shared_files(s: SparkSession, d: str) -> DataFrame:
-    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0).cast("long")).cast("string")
-    rows = table(s, d, "events").select("user_id", F.md5(F.concat_ws("|", "event_type", k).cast("binary")).alias("h"))
-    return rows.groupBy("h").agg(F.count_distinct("user_id").alias("users"), F.count(F.lit(1)).alias("copies")).filter("users > 1")
-
-
-@query(
-    """SELECT coalesce(mode, 'none') AS mode, count(*) AS spikes FROM (
-      SELECT q.user_id, q.ord, arg_min(l.mode, (l.start, l.label_id)) AS mode FROM quarantine q
-      LEFT JOIN lab l ON q.user_id = l.user_id AND q.datetime BETWEEN l.start AND l."end" WHERE q.reason = 'speed_spike' GROUP BY ALL) GROUP BY 1"""
-)
-def mode_at_jump(s: SparkSession, d: str) -> DataFrame:
-    spikes = cleaning.clean(base.points(s, d))[1].filter("reason = 'speed_spike'")
-    hit = base._in_interval(spikes, base.labels(s, d)).groupBy("user_id", "ord").agg(F.min_by("mode", F.struct("start", "label_id")).alias("mode"))
-    rows = spikes.select("user_id", "ord").join(hit, ["user_id", "ord"], "left")
-    return rows.groupBy(F.coalesce("mode", F.lit("none")).alias("mode")).agg(F.count(F.lit(1)).alias("spikes"))
-
-
-@query("""SELECT CASE WHEN n_valid < 2 THEN 'few' WHEN valid_spread_m > 200 THEN 'ambiguous' ELSE 'tie_break' END AS at_200,
-      CASE WHEN n_valid < 2 THEN 'few' WHEN valid_spread_m > 500 THEN 'ambiguous' ELSE 'tie_break' END AS at_500, count(*) AS n FROM dec GROUP BY ALL""")
-def decision_transition(s: SparkSession, d: str) -> DataFrame:
-    rows = cleaning.decide(cleaning.dup_candidates(base.gated(s, d)).filter("is_candidate"))
-
-    def at(limit: int):
-        return F.when(F.col("n_valid") < 2, "few").when(F.col("valid_spread_m") > limit, "ambiguous").otherwise("tie_break").alias(f"at_{limit}")
-
-    return rows.groupBy(at(200), at(500)).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""SELECT user_id, arg_max(id, (m, id)) AS id FROM (SELECT a.user_id, a.chain || '-' || a.stay AS id, {rnd('sum(b.duration_minutes)', 3)} AS m
-      FROM st a JOIN st b ON a.user_id = b.user_id WHERE {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200 GROUP BY ALL) GROUP BY 1""")
-def core_place(s: SparkSession, d: str) -> DataFrame:
-    return area_score(s, d).groupBy("user_id").agg(F.max_by("id", F.struct("minutes", "id")).alias("id"))

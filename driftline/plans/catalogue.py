@@ -117,15 +117,6 @@ def speed_spikes(s: SparkSession, d: str) -> DataFrame:
     return cleaning.speed_spikes(kept(s, d)).filter("is_spike").select(*KEY)
 
 
-@query
-def dup_recheck(s: SparkSession, d: str) -> DataFrame:
-    kept_rows, out = cleaning.resolve_duplicates(gated(s, d))
-    base = cleaning.speed_spikes(kept_rows).filter("NOT is_spike").select(*cleaning.POINT)
-    # Judge all quarantined groups again, so the operator is exercised on any data.
-    again = cleaning.recheck(base, out.withColumn("reason", F.lit("duplicate_invalid_anchors")))
-    return again.select(*KEY, "decision", "survivor")
-
-
 @query
 def altitude_clean(s: SparkSession, d: str) -> DataFrame:
     return clean(s, d).select(*KEY, r("altitude_m"))
@@ -280,22 +271,6 @@ def gaps_in_stays(s: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", "chain", "stay", "gap_start", "gap_end", r("gap_s"), r("jump_m"))
 
 
-@query
-def stay_invariants(s: SparkSession, d: str) -> DataFrame:
-    rows = stay_table(s, d)
-    nxt = F.lead("arrival").over(Window.partitionBy("user_id").orderBy("arrival"))
-    rows = rows.withColumn("next_arrival", nxt)
-    checks = {
-        "bounds": ~(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)),
-        "order": F.col("departure") < F.col("arrival"),
-        "short": F.col("duration_minutes") < stays.LEAST_MINUTES,
-        "observed": F.col("observed_minutes") > F.col("duration_minutes") + 1e-6,
-        "overlap": F.col("next_arrival") < F.col("departure"),
-        "points": F.col("num_points") < 2,
-    }
-    return rows.agg(F.count(F.lit(1)).alias("stays"), *[F.count_if(c).alias(f"bad_{k}") for k, c in checks.items()])
-
-
 @query
 def session_18h(s: SparkSession, d: str) -> DataFrame:
     w = F.session_window("datetime", "18 hours")
@@ -374,12 +349,6 @@ def shadow_summary(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query
-def result_json(s: SparkSession, d: str) -> DataFrame:
-    rows = classify.winners_v1(scores(s, d)).filter("status = 'found'")
-    return rows.select("user_id", F.to_json(F.struct("type", "geohash", "support")).alias("payload"))
-
-
 @query
 def radius_support(s: SparkSession, d: str) -> DataFrame:
     rows = stay_table(s, d).withColumn("id", F.concat_ws("-", "chain", "stay")).select("user_id", "id", "lat", "lon")
@@ -433,16 +402,6 @@ def asof_label(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
-def interval_overlap_sum(s: SparkSession, d: str) -> DataFrame:
-    a, b = stay_table(s, d).alias("s"), labels(s, d).alias("l")
-    hit = a.join(b, (F.col("s.user_id") == F.col("l.user_id")) & (F.col("s.arrival") < F.col("l.end")) & (F.col("s.departure") > F.col("l.start")))
-    minutes = seconds_between(F.greatest("s.arrival", "l.start"), F.least("s.departure", "l.end")) / 60
-    return hit.groupBy("s.user_id", "s.chain", "s.stay").agg(
-        r("total", of=F.sum(minutes)), r("longest", of=F.max(minutes)), F.count(F.lit(1)).alias("labels")
-    )
-
-
 @query
 def join_semi(s: SparkSession, d: str) -> DataFrame:
     judged = cleaning.dup_candidates(gated(s, d)).filter("is_candidate")
@@ -504,21 +463,6 @@ def file_boundaries(s: SparkSession, d: str) -> DataFrame:
 # --- aggregates, windows, set operations ---
 
 
-@query
-def gap_bands(s: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("datetime", "ord")
-    gap = seconds_between(F.lag("datetime").over(order), F.col("datetime"))
-    rows = clean(s, d).withColumn("gap_s", gap).filter("gap_s > 0")
-    edges = [(0, "<=5m", 300.0), (1, "<=20m", 1200.0), (2, "<=1h", 3600.0), (3, "<=6h", 21600.0), (4, "<=18h", 64800.0), (5, ">18h", None)]
-    band = F.lit(5)
-    for i, _, top in reversed(edges[:-1]):
-        band = F.when(F.col("gap_s") <= top, i).otherwise(band)
-    counted = rows.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
-    dim = s.createDataFrame([(i, name) for i, name, _ in edges], "band int, name string")
-    zero = F.lit(0).cast("long")
-    return dim.join(counted, "band", "left").select("band", "name", F.coalesce("n", zero).alias("n"), F.coalesce("users", zero).alias("users"))
-
-
 @query
 def agg_quantiles(s: SparkSession, d: str) -> DataFrame:
     q = F.percentile("step_kmh", F.array(*map(F.lit, (0.5, 0.9, 0.99))))

@@ -77,11 +77,6 @@ _BODIES: dict[str, str] = {
             FROM chained c JOIN st s ON s.user_id = c.user_id AND s.chain = c.chain AND c.rn BETWEEN s.stay AND s.stay + s.num_points - 1
             WINDOW w AS (PARTITION BY c.user_id, c.chain, s.stay ORDER BY c.datetime, c.ord))
       WHERE {secs('g0', 'datetime')} > 1200""",
-    "stay_invariants": """SELECT count(*) AS stays, count(*) FILTER (WHERE NOT (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180)) AS bad_bounds,
-      count(*) FILTER (WHERE departure < arrival) AS bad_order, count(*) FILTER (WHERE duration_minutes < 30) AS bad_short,
-      count(*) FILTER (WHERE observed_minutes > duration_minutes + 1e-6) AS bad_observed,
-      count(*) FILTER (WHERE nx < departure) AS bad_overlap, count(*) FILTER (WHERE num_points < 2) AS bad_points
-      FROM (SELECT *, lead(arrival) OVER (PARTITION BY user_id ORDER BY arrival) AS nx FROM st)""",
     "session_18h": "SELECT user_id, min(datetime) AS first_seen, count(*) AS n FROM chained GROUP BY user_id, chain",
     "window_overlap_days": f"""SELECT user_id, chain, stay, CAST(d AS DATE) AS day, {rnd('home_min', 3)} AS home_min, {rnd('office_min', 3)} AS office_min
       FROM days WHERE home_min > 0 OR office_min > 0""",
@@ -103,8 +98,6 @@ _BODIES: dict[str, str] = {
     "shadow_summary": "SELECT type, " + ", ".join(
         f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in ("both_unknown", "shadow_only", "primary_only", "same_place", "different_place")
     ) + " FROM compared GROUP BY 1",
-    "result_json": f"""SELECT user_id, '{{"type":"' || type || '","geohash":"' || ({geohash('lat', 'lon', 6)}) || '","support":' || support || '}}' AS payload
-      FROM win1 WHERE status = 'found'""",
     "radius_support": f"""SELECT a.user_id, a.chain || '-' || a.stay AS id, count(*) AS support FROM st a JOIN st b ON a.user_id = b.user_id
       WHERE {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200 GROUP BY ALL""",
     "hourly_profile": f"""SELECT hour(slot) AS hour, isodow(slot) <= 5 AS workday,
@@ -116,9 +109,6 @@ _BODIES: dict[str, str] = {
     "asof_label": """SELECT CASE WHEN k.datetime <= l."end" THEN l.mode END AS mode, count(*) AS n
       FROM kept k ASOF LEFT JOIN (SELECT * FROM lab QUALIFY row_number() OVER (PARTITION BY user_id, start ORDER BY label_id DESC) = 1) l
         ON k.user_id = l.user_id AND k.datetime >= l.start GROUP BY 1""",
-    "interval_overlap_sum": f"""SELECT user_id, chain, stay, {rnd('sum(m)', 3)} AS total, {rnd('max(m)', 3)} AS longest, count(*) AS labels FROM (
-      SELECT s.user_id, s.chain, s.stay, (epoch_us(least(s.departure, l."end")) - epoch_us(greatest(s.arrival, l.start))) / 60e6::DOUBLE AS m
-      FROM st s JOIN lab l ON s.user_id = l.user_id AND s.arrival < l."end" AND s.departure > l.start) GROUP BY ALL""",
     "join_semi": f"SELECT {_K} FROM decided WHERE decision = 'tie_break'",
     "join_anti": f"SELECT {_K} FROM kept WHERE NOT EXISTS (SELECT 1 FROM clean c WHERE c.user_id = kept.user_id AND c.source_file = kept.source_file AND c.ord = kept.ord)",
     "join_left": """SELECT user_id, source_file, raw, coalesce(bad, 0) AS bad FROM (SELECT user_id, source_file, count(*) AS raw FROM pts GROUP BY ALL)
@@ -132,11 +122,6 @@ _BODIES: dict[str, str] = {
         SELECT user_id, source_file, min(datetime) AS s, max(datetime) AS e, arg_min(lat, (datetime, ord)) AS flat, arg_min(lon, (datetime, ord)) AS flon,
                arg_max(lat, (datetime, ord)) AS llat, arg_max(lon, (datetime, ord)) AS llon FROM clean GROUP BY ALL)
       WINDOW w AS (PARTITION BY user_id ORDER BY s, source_file)) WHERE ns IS NOT NULL""",
-    "gap_bands": """SELECT b.band, b.name, count(g) AS n, count(DISTINCT user_id) AS users
-      FROM (VALUES (0, '<=5m'), (1, '<=20m'), (2, '<=1h'), (3, '<=6h'), (4, '<=18h'), (5, '>18h')) b(band, name)
-      LEFT JOIN (SELECT *, CASE WHEN g <= 300 THEN 0 WHEN g <= 1200 THEN 1 WHEN g <= 3600 THEN 2 WHEN g <= 21600 THEN 3 WHEN g <= 64800 THEN 4 ELSE 5 END AS band
-                 FROM (SELECT user_id, (epoch_us(datetime) - epoch_us(lag(datetime) OVER (PARTITION BY user_id ORDER BY datetime, ord))) / 1e6 AS g FROM clean)
-                 WHERE g > 0) x ON x.band = b.band GROUP BY ALL""",
     "agg_quantiles": "SELECT source_file, " + ", ".join(f"{rnd(f'quantile_cont(step_kmh, {q})', 3)} AS {n}" for q, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99")))
     + " FROM kept_steps WHERE step_kmh IS NOT NULL GROUP BY 1",
     "agg_basic": f"""SELECT event_type, count(*) AS n, {rnd('sum(value)', 2)} AS total, {rnd('avg(value)', 4)} AS mean, min(value) AS low, max(value) AS high,

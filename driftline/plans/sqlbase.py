@@ -314,7 +314,7 @@ CTES["chained_file"] = f"""
   SELECT *, row_number() OVER (PARTITION BY user_id, chain ORDER BY datetime, ord) AS rn, count(*) OVER (PARTITION BY user_id, chain) AS n_chain
   FROM (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY source_file) - 1 AS chain FROM clean)"""
 CTES["scan_file"] = _scan("scan_file", False, "chained_file")
-SWEEP = [(100, 20), (200, 60), (300, 30)]
+SWEEP = [*[(x, 30) for x in (50, 100, 150, 200, 300, 500)], *[(200, t) for t in (5, 10, 15, 20, 45, 60)]]
 for _r, _m in SWEEP:
     CTES[f"scan_{_r}_{_m}"] = _scan(f"scan_{_r}_{_m}", False, "chained", _r, _m)
 CTES["members"] = """

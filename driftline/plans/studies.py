@@ -960,3 +960,485 @@ def v1_support_days(s: SparkSession, d: str) -> DataFrame:
     met = classify.winners_v1(rows).select("user_id", "type", "lat", "lon").alias("w").join(days, ["user_id", "type"])
     near = met.filter(mean_haversine_m("w.lat", "w.lon", "c.lat", "c.lon") <= 200)
     return near.groupBy("user_id", "type").agg(F.count_distinct("day").alias("days"))
+
+
+# --- places of a user by hour ---
+
+
+def _slots(rows: DataFrame) -> DataFrame:
+    """Local stays by clock hour: ``slot`` and the ``minutes`` in it."""
+    first = F.to_timestamp_ntz(F.date_format("arrival_local", "yyyy-MM-dd HH:00:00"))
+    n = F.floor(seconds_between(first, F.col("departure_local")) / 3600).cast("int")
+    rows = rows.withColumn("first", first).withColumn("i", F.explode(F.sequence(F.lit(0), n)))
+    rows = rows.withColumn("slot", times.plus_seconds(F.col("first"), F.col("i") * 3600))
+    end = F.least(F.col("departure_local"), times.plus_seconds(F.col("slot"), F.lit(3600)))
+    return rows.withColumn("minutes", seconds_between(F.greatest("arrival_local", "slot"), end) / 60).drop("first", "i")
+
+
+CTES["hour_slots"] = """
+  SELECT user_id, chain, stay, slot, (epoch_us(least(dep, slot + INTERVAL 1 HOUR)) - epoch_us(greatest(arr, slot))) / 60e6::DOUBLE AS minutes
+  FROM (SELECT *, unnest(generate_series(date_trunc('hour', arr), dep, INTERVAL 1 HOUR)) AS slot FROM sc)"""
+CTES["busy_hours"] = "SELECT user_id, hour(slot) AS h FROM hour_slots GROUP BY ALL HAVING sum(minutes) >= 60"
+CTES["hour_islands"] = """
+  SELECT user_id, min(h) AS a, max(h) AS b FROM (SELECT user_id, h, h - row_number() OVER (PARTITION BY user_id ORDER BY h) AS g FROM busy_hours) GROUP BY user_id, g"""
+
+
+@query(
+    """SELECT user_id, CASE WHEN bool_or(a = 0 AND b = 23) THEN 'all day' ELSE string_agg(lpad(a::VARCHAR, 2, '0') || '-' || lpad(((e + 1) % 24)::VARCHAR, 2, '0') || ' h', ', ' ORDER BY a) END AS runs FROM (
+      SELECT i.user_id, i.a, i.b, CASE WHEN i.b = 23 AND z.b IS NOT NULL THEN z.b ELSE i.b END AS e FROM hour_islands i
+      LEFT JOIN (SELECT * FROM hour_islands WHERE a = 0) z ON z.user_id = i.user_id
+      WHERE i.a > 0 OR i.b = 23 OR NOT EXISTS (SELECT 1 FROM hour_islands t WHERE t.user_id = i.user_id AND t.b = 23)) GROUP BY 1"""
+)
+def hour_runs(s: SparkSession, d: str) -> DataFrame:
+    """Hours of the clock in which a user has an hour of stays or more, as runs across midnight."""
+    busy = _slots(base.scores(s, d)).groupBy("user_id", F.hour("slot").alias("hour")).agg(F.sum("minutes").alias("m")).filter("m >= 60")
+    return intervals.hour_runs(busy, ["user_id"])
+
+
+CTES["pp_area"] = f"""
+  SELECT a.user_id, a.chain, a.stay, a.arrival, a.lat, a.lon, sum(b.duration_minutes) AS area FROM sc a JOIN sc b ON a.user_id = b.user_id AND {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200 GROUP BY ALL"""
+CTES["pp_first"] = f"SELECT * FROM pp_area QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {rnd('area', 6)} DESC, arrival, chain, stay) = 1"
+CTES["pp_rest"] = f"SELECT s.* FROM sc s JOIN pp_first f ON f.user_id = s.user_id WHERE {mean_m('f.lat', 'f.lon', 's.lat', 's.lon')} > 200"
+CTES["pp_area2"] = CTES["pp_area"].replace("sc a", "pp_rest a").replace("sc b", "pp_rest b")
+CTES["pp_second"] = CTES["pp_first"].replace("pp_area", "pp_area2")
+CTES["pp_placed"] = f"""
+  SELECT s.user_id, s.chain, s.stay, CASE WHEN {mean_m('f.lat', 'f.lon', 's.lat', 's.lon')} <= 200 THEN 'place1' WHEN {mean_m('g.lat', 'g.lon', 's.lat', 's.lon')} <= 200 THEN 'place2' ELSE 'other' END AS place
+  FROM sc s JOIN pp_first f ON f.user_id = s.user_id LEFT JOIN pp_second g ON g.user_id = s.user_id"""
+
+
+@query(
+    f"""SELECT workday, hour, count(*) AS users, {', '.join(f"{rnd(f'avg({p} / t)', 6)} AS {p}" for p in ('place1', 'place2', 'other'))} FROM (
+      SELECT user_id, isodow(slot) <= 5 AS workday, hour(slot) AS hour, sum(minutes) AS t, {', '.join(f"coalesce(sum(minutes) FILTER (WHERE place = '{p}'), 0.0) AS {p}" for p in ('place1', 'place2', 'other'))}
+      FROM hour_slots JOIN pp_placed USING (user_id, chain, stay) GROUP BY 1, 2, 3) WHERE t > 0 GROUP BY ALL"""
+)
+def place_profile(s: SparkSession, d: str) -> DataFrame:
+    """Share of a user's time at the place with most time, at the next and elsewhere, by hour, averaged over users."""
+    rows = base.scores(s, d).withColumn("id", F.struct("chain", "stay"))
+
+    def top(part: DataFrame) -> DataFrame:
+        best = Window.partitionBy("user_id").orderBy(F.desc(geo.round_half_up(F.col("area"), 6)), "arrival", "chain", "stay")
+        area = part.join(_area(part.select("user_id", "id", "lat", "lon", "duration_minutes"), ["user_id"], "duration_minutes"), ["user_id", "id"])
+        return area.withColumn("rk", F.row_number().over(best)).filter("rk = 1").select("user_id", F.col("lat").alias("y"), F.col("lon").alias("x"))
+
+    near = mean_haversine_m("y", "x", "lat", "lon") <= 200
+    one = rows.join(top(rows), "user_id").withColumn("in1", near).drop("y", "x")
+    two = one.join(top(one.filter("NOT in1")), "user_id", "left")
+    place = F.when(F.col("in1"), "place1").when(F.coalesce(near, F.lit(False)), "place2").otherwise("other")
+    slots = _slots(two.withColumn("place", place)).groupBy("user_id", (F.weekday("slot") < 5).alias("workday"), F.hour("slot").alias("hour"))
+    names = ("place1", "place2", "other")
+    shares = slots.agg(F.sum("minutes").alias("t"), *[F.coalesce(F.sum(F.when(F.col("place") == p, F.col("minutes"))), F.lit(0.0)).alias(p) for p in names]).filter("t > 0")
+    return shares.groupBy("workday", "hour").agg(F.count(F.lit(1)).alias("users"), *[r(p, 6, F.avg(F.col(p) / F.col("t"))) for p in names])
+
+
+@query(
+    f"""SELECT a.user_id, a.type, {rnd(mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon'), 3)} AS metres,
+      CASE WHEN {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200 THEN 'same place' WHEN p.place = b.place THEN 'v1 stay inside v2 place' ELSE 'different place' END AS category,
+      (SELECT count(*) FROM pl q WHERE q.user_id = a.user_id AND {rnd("CASE a.type WHEN 'home' THEN q.home ELSE q.office END", 6)}
+         > {rnd("CASE a.type WHEN 'home' THEN m.home ELSE m.office END", 6)}) + 1 AS v1_place_rank
+      FROM win1 a JOIN win2 b USING (user_id, type) JOIN placed p ON p.user_id = a.user_id AND p.chain = a.chain AND p.stay = a.stay
+      JOIN pl m ON m.user_id = a.user_id AND m.place = p.place WHERE a.status = 'found' AND b.status = 'found'"""
+)
+def model_agreement(s: SparkSession, d: str) -> DataFrame:
+    """Where both models answer: how far apart, whether the stay is in the place, and the place's rank."""
+    rows = base.scores(s, d)
+    placed = places.dbscan(rows.select(*STAY, "arrival", "lat", "lon")).select("user_id", "arrival", "place")
+    kinds = F.array(*[F.struct(F.lit(k).alias("type"), geo.round_half_up(F.col(k), 6).alias("m")) for k in ("home", "office")])
+    found = classify.place_scores(rows)
+    ranked = found.withColumn("x", F.explode(kinds)).select("user_id", "place", "x.type", "x.m")
+    ranked = ranked.withColumn("v1_place_rank", F.rank().over(Window.partitionBy("user_id", "type").orderBy(F.desc("m"))).cast("long"))
+    one = classify.winners_v1(rows).filter("status = 'found'").select("user_id", "type", "lat", "lon", "arrival").join(placed, ["user_id", "arrival"])
+    one = one.join(ranked.drop("m"), ["user_id", "type", "place"])
+    # A place is known by its first stay.
+    two = classify.winners_v2(found).filter("status = 'found'").select("user_id", "type", F.col("lat").alias("y"), F.col("lon").alias("x"), F.col("first_seen").alias("arrival"))
+    two = two.join(placed.withColumnRenamed("place", "place2"), ["user_id", "arrival"]).drop("arrival")
+    metres = mean_haversine_m("lat", "lon", "y", "x")
+    category = F.when(metres <= 200, "same place").when(F.col("place") == F.col("place2"), "v1 stay inside v2 place").otherwise("different place")
+    return one.join(two, ["user_id", "type"]).select("user_id", "type", r("metres", of=metres), category.alias("category"), "v1_place_rank")
+
+
+# --- stability between halves of the days ---
+
+CTES["half_dates"] = "SELECT user_id, list(DISTINCT CAST(arr AS DATE) ORDER BY CAST(arr AS DATE)) AS ds FROM sc GROUP BY 1 HAVING count(DISTINCT CAST(arr AS DATE)) >= 2"
+CTES["halved"] = """
+  SELECT t.*, x.split, x.half FROM typed t JOIN half_dates h USING (user_id),
+  LATERAL (SELECT 'alt_day' AS split, CAST(date_diff('day', DATE '2000-01-01', CAST(t.arr AS DATE)) % 2 AS INT) AS half
+    UNION ALL SELECT 'chrono', CAST(CAST(t.arr AS DATE) >= h.ds[len(h.ds) // 2 + 1] AS INT)) x"""
+CTES["half_total"] = "SELECT *, sum(minutes) OVER (PARTITION BY user_id, type, split, half) AS total FROM halved"
+CTES["half_top"] = "SELECT * FROM half_total QUALIFY row_number() OVER (PARTITION BY user_id, type, split, half ORDER BY minutes DESC, duration_minutes DESC, arrival) = 1"
+CTES["half_pairs"] = f"""
+  SELECT a.user_id, a.type, a.split, {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200 AS same FROM half_top a JOIN half_top b USING (user_id, type, split) WHERE a.half = 0 AND b.half = 1"""
+
+
+def _halved(rows: DataFrame) -> DataFrame:
+    """Candidates of both types by two ways to split a user's days: alternating, and first against second half."""
+    dates = rows.groupBy("user_id").agg(F.array_sort(F.collect_set(F.to_date("arrival_local"))).alias("ds")).filter("size(ds) >= 2")
+    middle = dates.select("user_id", F.get("ds", F.floor(F.size("ds") / 2).cast("int")).alias("middle"))
+    day = F.to_date("arrival_local")
+    alternate = (F.date_diff(day, F.lit("2000-01-01").cast("date")) % 2).cast("int")
+    ways = F.array(F.struct(F.lit("alt_day").alias("split"), alternate.alias("half")), F.struct(F.lit("chrono").alias("split"), (day >= F.col("middle")).cast("int").alias("half")))
+    return classify.by_type(rows).join(middle, "user_id").withColumn("x", F.explode(ways)).select("*", "x.split", "x.half").drop("x", "middle")
+
+
+def _half_winners(halved: DataFrame) -> DataFrame:
+    by = ["user_id", "type", "split", "half"]
+    best = Window.partitionBy(*by).orderBy(F.desc("minutes"), F.desc("duration_minutes"), "arrival")
+    rows = halved.withColumns({"rk": F.row_number().over(best), "total": F.sum("minutes").over(Window.partitionBy(*by))})
+    return rows.filter("rk = 1").select(*by, "lat", "lon", "minutes", "total")
+
+
+def _half_pairs(winners: DataFrame) -> DataFrame:
+    """Winners of both halves side by side: ``user_id, type, split, same`` and their rows as structs."""
+    by = ["user_id", "type", "split"]
+    a, b = (winners.filter(F.col("half") == h).select(*by, F.struct(*[c for c in winners.columns if c not in by]).alias(n)) for h, n in ((0, "a"), (1, "b")))
+    return a.join(b, by).withColumn("same", mean_haversine_m("a.lat", "a.lon", "b.lat", "b.lon") <= 200)
+
+
+@query("SELECT split, type, count(*) AS users, count(*) FILTER (WHERE same) AS stable FROM half_pairs GROUP BY ALL")
+def split_half(s: SparkSession, d: str) -> DataFrame:
+    pairs = _half_pairs(_half_winners(_halved(base.scores(s, d))))
+    return pairs.groupBy("split", "type").agg(F.count(F.lit(1)).alias("users"), F.count_if("same").alias("stable"))
+
+
+@query(
+    f"""SELECT split, type, count(*) AS users, {rnd('avg(chance)', 6)} AS chance FROM (
+      SELECT a.user_id, a.type, a.split, avg(CAST({mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200 AS INT)) AS chance
+      FROM halved a JOIN halved b USING (user_id, type, split) WHERE a.half = 0 AND b.half = 1 GROUP BY ALL) GROUP BY ALL"""
+)
+def split_half_chance(s: SparkSession, d: str) -> DataFrame:
+    """Of all pairs of candidates of two halves, the share within 200 m: near pairs come from a grid, the others are counted only."""
+    by = ["user_id", "type", "split"]
+    rows = _halved(base.scores(s, d)).select(*by, "half", F.struct("chain", "stay").alias("id"), "lat", "lon")
+    sides = [rows.filter(F.col("half") == h).drop("half") for h in (0, 1)]
+    near = places.radius_pairs(*sides, by, 200.0).groupBy(*by).agg(F.count(F.lit(1)).alias("near"))
+    sizes = rows.groupBy(*by).agg(F.count_if(F.col("half") == 0).alias("n0"), F.count_if(F.col("half") == 1).alias("n1"))
+    share = F.coalesce("near", F.lit(0)) / (F.col("n0") * F.col("n1"))
+    both = sizes.filter("n0 > 0 AND n1 > 0").join(near, by, "left")
+    return both.groupBy("split", "type").agg(F.count(F.lit(1)).alias("users"), r("chance", 6, F.avg(share)))
+
+
+_BINS = {"minutes": [120, 240, 360, 480, 600], "support": [2, 3, 5, 8], "confidence": [0.1, 0.2, 0.3, 0.5, 0.7], "days": [2, 3, 5, 8, 13, 21]}
+CTES["half_rich"] = f"""
+  SELECT w.user_id, w.type, w.half, w.lat, w.lon, {rnd('w.minutes', 6)} AS minutes, {rnd('w.minutes / w.total', 9)} AS confidence,
+         (SELECT count(*) FROM halved c WHERE c.user_id = w.user_id AND c.type = w.type AND c.split = 'alt_day' AND c.half = w.half AND {mean_m('w.lat', 'w.lon', 'c.lat', 'c.lon')} <= 200)::DOUBLE AS support,
+         (SELECT count(DISTINCT x.d) FROM halved c JOIN days x ON x.user_id = c.user_id AND x.chain = c.chain AND x.stay = c.stay
+          WHERE c.user_id = w.user_id AND c.type = w.type AND c.split = 'alt_day' AND c.half = w.half AND CASE c.type WHEN 'home' THEN x.home_min ELSE x.office_min END > 0)::DOUBLE AS days
+  FROM half_top w WHERE w.split = 'alt_day'"""
+_SQL_BIN = {m: " + ".join(f"(v >= {e})::INT" for e in edges) for m, edges in _BINS.items()}
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{m}' AS metric, type, CAST({_SQL_BIN[m]} AS INT) AS bin, count(*) AS pairs, {rnd('avg(CAST(same AS INT))', 6)} AS stable,
+      {rnd('1.96::DOUBLE * sqrt(avg(CAST(same AS INT)) * (1 - avg(CAST(same AS INT))) / count(*))', 6)} AS ci95 FROM (
+      SELECT a.type, least(a.{m}, b.{m}) AS v, {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200 AS same FROM half_rich a JOIN half_rich b USING (user_id, type) WHERE a.half = 0 AND b.half = 1) GROUP BY ALL"""
+        for m in _BINS
+    )
+)
+def stability_curve(s: SparkSession, d: str) -> DataFrame:
+    """Share of users whose halves agree, by bins of the weaker half's evidence."""
+    scores = base.scores(s, d)
+    halved = _halved(scores).filter("split = 'alt_day'")
+    by = ["user_id", "type", "half"]
+    winners = _half_winners(halved).drop("split")
+    near = mean_haversine_m("lat", "lon", "y", "x") <= 200
+    candidates = halved.select(*by, F.col("lat").alias("y"), F.col("lon").alias("x"))
+    support = winners.select(*by, "lat", "lon").join(candidates, by).groupBy(*by).agg(F.count_if(near).cast("double").alias("support"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("type"), F.col(f"{k}_min").alias("m")) for k in ("home", "office")])
+    daily = classify.daily_overlaps(scores.drop("home", "office")).withColumn("k", F.explode(kinds)).filter("k.m > 0").select(*STAY, "k.type", "day")
+    days = halved.select(*STAY, "type", "half").join(daily, [*STAY, "type"]).groupBy(*by).agg(F.count_distinct("day").cast("double").alias("days"))
+    rich = winners.join(support, by).join(days, by).select(*by, F.lit("alt_day").alias("split"), "lat", "lon", "support", "days", r("minutes", 6), r("confidence", 9, F.col("minutes") / F.col("total")))
+    pairs = _half_pairs(rich)
+    cases = []
+    for metric, edges in _BINS.items():
+        weaker = F.least(f"a.{metric}", f"b.{metric}")
+        number = F.lit(0)
+        for e in edges:
+            number = number + (weaker >= e).cast("int")
+        cases.append(F.struct(F.lit(metric).alias("metric"), number.alias("bin")))
+    rows = pairs.select("type", F.col("same").cast("int").alias("same"), F.explode(F.array(*cases)).alias("x")).groupBy("x.metric", "type", "x.bin")
+    p = F.avg("same")
+    return rows.agg(F.count(F.lit(1)).alias("pairs"), r("stable", 6, p), r("ci95", 6, 1.96 * F.sqrt(p * (1 - p) / F.count(F.lit(1)))))
+
+
+_RESAMPLES = 2000
+#: Cumulative probabilities of a Poisson count with mean 1.
+_POISSON = [0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518]
+
+
+@query(
+    f"""SELECT t.type, t.pairs, {rnd('t.stable', 6)} AS stable, {rnd('quantile_cont(b.v, 0.025)', 6)} AS ci_low, {rnd('quantile_cont(b.v, 0.975)', 6)} AS ci_high FROM (
+      SELECT type, count(*) AS pairs, avg(CAST(same AS INT)) AS stable FROM half_pairs WHERE split = 'alt_day' GROUP BY 1) t
+      JOIN (SELECT type, i, sum(w * s) / sum(w * k) AS v FROM (
+        SELECT type, i, s, k, {' + '.join(f'(u >= {x})::INT' for x in _POISSON)} AS w FROM (
+          SELECT g.*, i, CAST('0x' || substr(md5(i || ':' || g.label || ':' || g.type), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (
+            SELECT type, label, sum(CAST(same AS INT))::DOUBLE AS s, count(*)::DOUBLE AS k FROM half_pairs JOIN user_group USING (user_id) WHERE split = 'alt_day' GROUP BY 1, 2) g,
+            (SELECT unnest(range({_RESAMPLES})) AS i))) GROUP BY 1, 2 HAVING sum(w) > 0) b ON b.type = t.type GROUP BY ALL"""
+)
+def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
+    """Stable share with an interval from 2,000 Poisson resamples of groups of users that share recordings; draws are hashes, so reruns agree."""
+    pairs = _half_pairs(_half_winners(_halved(base.scores(s, d)).filter("split = 'alt_day'"))).join(_user_groups(s, d), "user_id")
+    groups = pairs.groupBy("type", "label").agg(F.sum(F.col("same").cast("double")).alias("s"), F.count(F.lit(1)).cast("double").alias("k"))
+    draws = groups.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(_RESAMPLES - 1))))
+    digits = F.md5(F.concat_ws(":", F.col("i").cast("string"), F.col("label").cast("string"), "type").cast("binary"))
+    u = F.conv(F.substring(digits, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    w = F.lit(0)
+    draws = draws.withColumn("u", u)
+    for x in _POISSON:
+        w = w + (F.col("u") >= x).cast("int")
+    shares = draws.withColumn("w", w).groupBy("type", "i").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("k")), F.lit(0.0))).alias("v")).filter("v IS NOT NULL")
+    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
+    ci = shares.groupBy("type").agg(r("ci_low", 6, F.get(q, 0)), r("ci_high", 6, F.get(q, 1)))
+    whole = groups.groupBy("type").agg(F.sum("k").cast("long").alias("pairs"), r("stable", 6, F.sum("s") / F.sum("k")))
+    return whole.join(ci, "type").select("type", "pairs", "stable", "ci_low", "ci_high")
+
+
+# --- ways to detect stays ---
+
+CTES["stays_file"] = """
+  SELECT c.user_id, c.chain, s.from_rn AS stay, min(c.datetime) AS arrival, max(c.datetime) AS departure, avg(c.lat) AS lat, avg(c.lon) AS lon, 1::BIGINT AS n_files,
+         coalesce(sum(CASE WHEN c.rn > s.from_rn AND gap <= 1200 THEN gap END), 0) / 60.0 AS observed_minutes
+  FROM scan_file s JOIN (SELECT *, (epoch_us(datetime) - epoch_us(lag(datetime) OVER (PARTITION BY user_id, chain ORDER BY rn))) / 1e6 AS gap FROM chained_file) c
+    ON c.user_id = s.user_id AND c.chain = s.chain AND c.rn BETWEEN s.from_rn AND s.to_rn WHERE s.from_rn IS NOT NULL GROUP BY ALL"""
+CTES["both_ways"] = """
+  SELECT *, CASE WHEN t3 >= arr THEN t3 ELSE t3 + INTERVAL 1 DAY END <= dep AS night, (epoch_us(departure) - epoch_us(arrival)) / 60e6::DOUBLE AS m FROM (
+    SELECT *, date_trunc('day', arr) + INTERVAL 3 HOUR AS t3 FROM (
+      SELECT *, timezone('Asia/Shanghai', timezone('UTC', arrival)) AS arr, timezone('Asia/Shanghai', timezone('UTC', departure)) AS dep FROM (
+        SELECT 'per_file' AS method, user_id, chain, stay, arrival, departure, lat, lon, n_files, observed_minutes FROM stays_file
+        UNION ALL SELECT 'chained', st.user_id, st.chain, st.stay, arrival, departure, lat, lon, n.n_files, observed_minutes FROM st
+          JOIN (SELECT user_id, chain, stay, count(DISTINCT source_file) AS n_files FROM members GROUP BY ALL) n USING (user_id, chain, stay))))"""
+
+
+def _both_ways(s: SparkSession, d: str) -> DataFrame:
+    """Stays found within single recordings and in chains of them, with ``method, n_files, night``."""
+    clean = base.clean(s, d)
+    number = F.dense_rank().over(Window.partitionBy("user_id").orderBy("source_file")) - 1
+    out = None
+    for method, chains in (("per_file", clean.withColumn("chain", number.cast("long"))), ("chained", stays.gap_chains(clean))):
+        members = stays.stay_members(chains)
+        files = members.groupBy(*STAY).agg(F.count_distinct("source_file").alias("n_files"))
+        local = stays.stays_of(members).withColumn("tz_name", F.lit("Asia/Shanghai"))  # local time of the study's city
+        local = local.withColumns({f"{c}_local": times.to_local(F.col(c), F.col("tz_name")) for c in ("arrival", "departure")})
+        rows = stays.overnight(local).join(files, STAY).withColumn("method", F.lit(method)).withColumnRenamed("overnight", "night")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_METRICS = {
+    "stay_points": "count(*)::DOUBLE", "stays_spanning_files": "count(*) FILTER (WHERE n_files >= 2)::DOUBLE", "dwell_hours": "sum(m) / 60", "observed_share": "sum(observed_minutes) / sum(m)",
+    "night_stays": "count(*) FILTER (WHERE night)::DOUBLE", "users_with_night_stay": "count(DISTINCT user_id) FILTER (WHERE night)::DOUBLE",
+    "users_without_night_stay": "((SELECT count(DISTINCT user_id) FROM clean) - count(DISTINCT user_id) FILTER (WHERE night))::DOUBLE",
+    "stays_over_24h": "count(*) FILTER (WHERE m > 1440)::DOUBLE", "max_duration_h": "max(m) / 60",
+}
+
+
+@query(
+    f"""SELECT metric, {rnd("max(v) FILTER (WHERE method = 'per_file')", 6)} AS per_file, {rnd("max(v) FILTER (WHERE method = 'chained')", 6)} AS chained FROM (
+      UNPIVOT (SELECT method, {', '.join(f'{sql} AS {n}' for n, sql in _METRICS.items())} FROM both_ways GROUP BY 1) ON {', '.join(_METRICS)} INTO NAME metric VALUE v) GROUP BY 1"""
+)
+def stay_comparison(s: SparkSession, d: str) -> DataFrame:
+    """Nine figures of stays within recordings beside those of stays across them."""
+    rows = _both_ways(s, d).withColumn("m", F.col("duration_minutes"))
+    users = base.clean(s, d).agg(F.count_distinct("user_id").alias("users"))
+    night = F.when(F.col("night"), F.col("user_id"))
+    found = rows.groupBy("method").agg(
+        F.count(F.lit(1)).alias("stay_points"), F.count_if(F.col("n_files") >= 2).alias("stays_spanning_files"), (F.sum("m") / 60).alias("dwell_hours"),
+        (F.sum("observed_minutes") / F.sum("m")).alias("observed_share"), F.count_if("night").alias("night_stays"), F.count_distinct(night).alias("users_with_night_stay"),
+        F.count_if(F.col("m") > 1440).alias("stays_over_24h"), (F.max("m") / 60).alias("max_duration_h"),
+    ).crossJoin(users)
+    found = found.withColumn("users_without_night_stay", F.col("users") - F.col("users_with_night_stay"))
+    long = found.select("method", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("v")) for n in _METRICS])).alias("x")).select("method", "x.*")
+    return long.groupBy("metric").agg(*[r(k, 6, F.max(F.when(F.col("method") == k, F.col("v")))) for k in ("per_file", "chained")])
+
+
+CTES["night_kinds"] = """
+  SELECT *, CASE WHEN method = 'per_file' THEN 'per_file_day' WHEN night THEN 'spanning_night' ELSE 'spanning_day' END AS kind FROM both_ways
+  WHERE (method = 'per_file' AND NOT night) OR (method = 'chained' AND n_files >= 2)"""
+
+
+@query(
+    f"""SELECT kind, stay_points, users, near_share, median_m, users_5plus, median_top_share FROM (
+      SELECT kind, count(*) AS stay_points, count(DISTINCT user_id) AS users, {rnd('avg(CAST(g <= 200 AS INT))', 6)} AS near_share, {rnd('quantile_cont(g, 0.5)', 3)} AS median_m FROM (
+        SELECT a.kind, a.user_id, a.chain, a.stay, min({mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')}) AS g FROM night_kinds a
+        JOIN (SELECT * FROM both_ways WHERE method = 'per_file' AND night) b ON a.user_id = b.user_id GROUP BY ALL) GROUP BY 1)
+      FULL JOIN (SELECT kind, count(*) AS users_5plus, {rnd('quantile_cont(top, 0.5)', 6)} AS median_top_share FROM (
+        SELECT kind, user_id, max(c) / count(*)::DOUBLE AS top FROM (
+          SELECT a.kind, a.user_id, a.chain, a.stay, count(*) AS c FROM night_kinds a JOIN night_kinds b ON a.kind = b.kind AND a.user_id = b.user_id
+            AND {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200 GROUP BY ALL) GROUP BY 1, 2 HAVING count(*) >= 5) GROUP BY 1) USING (kind)"""
+)
+def night_recovery(s: SparkSession, d: str) -> DataFrame:
+    """Are nights that only chains of recordings find where recorded nights are, and in one place?"""
+    rows = _both_ways(s, d)
+    kind = F.when(F.col("method") == "per_file", "per_file_day").when(F.col("night"), "spanning_night").otherwise("spanning_day")
+    kinds = rows.filter("(method = 'per_file' AND NOT night) OR (method = 'chained' AND n_files >= 2)").select("user_id", kind.alias("kind"), F.struct("chain", "stay").alias("id"), "lat", "lon")
+    seen = rows.filter("method = 'per_file' AND night").select("user_id", F.col("lat").alias("y"), F.col("lon").alias("x"))
+    gap = kinds.join(seen, "user_id").groupBy("kind", "user_id", "id").agg(F.min(mean_haversine_m("lat", "lon", "y", "x")).alias("g"))
+    near = gap.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("stay_points"), F.count_distinct("user_id").alias("users"), r("near_share", 6, F.avg((F.col("g") <= 200).cast("int"))), r("median_m", of=_median("g"))
+    )
+    around = places.radius_pairs(kinds, kinds, ["kind", "user_id"], 200.0).groupBy("kind", "user_id", "a").agg(F.count(F.lit(1)).alias("c"))
+    top = around.groupBy("kind", "user_id").agg((F.max("c") / F.count(F.lit(1))).alias("top"), F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    return near.join(top.groupBy("kind").agg(F.count(F.lit(1)).alias("users_5plus"), r("median_top_share", 6, _median("top"))), "kind", "full")
+
+
+# --- clusters in general ---
+
+_CONFIGS = [(1, 100.0, 2, "stays"), (2, 150.0, 2, "stays"), (3, 200.0, 2, "stays"), (4, 150.0, 3, "stays"), (5, 150.0, 3, "days"), (6, 200.0, 3, "days")]
+
+
+def _general_sql(name: str, source: str, keys: str, eps: str, least: str, mode: str) -> None:
+    """CTEs ``<name>_placed``: rows of ``source`` (keys, node, day, lat, lon, ...) with their general cluster."""
+    same = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    CTES[f"{name}_near"] = f"""
+  SELECT {', '.join(f'a.{k}' for k in keys.split(', '))}, a.node AS a, b.node AS b, b.day, {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m FROM {source} a JOIN {source} b ON {same}
+  WHERE abs(a.lat - b.lat) < 0.003 AND {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= a.{eps}"""
+    CTES[f"{name}_core"] = f"""
+  SELECT {keys}, n.a AS node FROM {name}_near n JOIN (SELECT DISTINCT {keys}, {least} AS least, {mode} AS mode FROM {source}) USING ({keys})
+  GROUP BY {keys}, n.a HAVING CASE any_value(mode) WHEN 'days' THEN count(DISTINCT n.day) ELSE count(*) END >= any_value(least)"""
+    CTES[f"{name}_edges"] = f"""
+  SELECT n.* FROM {name}_near n JOIN {name}_core x ON {' AND '.join(f'n.{k} = x.{k}' for k in keys.split(', '))} AND n.a = x.node
+  JOIN {name}_core y ON {' AND '.join(f'n.{k} = y.{k}' for k in keys.split(', '))} AND n.b = y.node"""
+    CTES[f"reach_{name}"] = f"""
+  SELECT {keys}, node AS a, node AS b FROM {name}_core UNION
+  SELECT {', '.join(f's.{k}' for k in keys.split(', '))}, s.a, e.b FROM reach_{name} s JOIN {name}_edges e ON {' AND '.join(f's.{k} = e.{k}' for k in keys.split(', '))} AND s.b = e.a AND s.a < e.b"""
+    CTES[f"{name}_placed"] = f"""
+  SELECT r.*, coalesce(c.place, z.place, r.node) AS place FROM {source} r
+  LEFT JOIN (SELECT {keys}, b AS node, min(a) AS place FROM reach_{name} GROUP BY ALL) c USING ({keys}, node)
+  LEFT JOIN (SELECT {', '.join(f'n.{k}' for k in keys.split(', '))}, n.a AS node, arg_min(t.place, (n.m, n.b)) AS place FROM {name}_near n
+    JOIN (SELECT {keys}, b AS node, min(a) AS place FROM reach_{name} GROUP BY ALL) t ON {' AND '.join(f'n.{k} = t.{k}' for k in keys.split(', '))} AND n.b = t.node GROUP BY ALL) z USING ({keys}, node)"""
+
+
+CTES["dg_rows"] = """
+  SELECT user_id, chain, stay, lat, lon, CAST(arr AS DATE) AS day, 200.0::DOUBLE AS eps, 3 AS least, 'days' AS mode, row_number() OVER (PARTITION BY user_id ORDER BY arrival, lat, lon) - 1 AS node FROM stl"""
+_general_sql("dg", "dg_rows", "user_id", "eps", "least", "mode")
+
+
+@query("SELECT user_id, place, count(*) AS n FROM dg_placed GROUP BY ALL")
+def dbscan_general(s: SparkSession, d: str) -> DataFrame:
+    """Clusters of 200 m whose core stays have neighbours on three days or more; border stays join the nearest core."""
+    rows = stays.localized(base.stay_table(s, d)).withColumn("day", F.to_date("arrival_local"))
+    return places.dbscan(rows.select("user_id", "arrival", "lat", "lon", "day"), 200.0, 3, days="day").groupBy("user_id", "place").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, min(place) AS label, count(*) AS n FROM placed GROUP BY user_id, place")
+def connected_components(s: SparkSession, d: str) -> DataFrame:
+    """Stays of a user connected by 150 m or less, by label propagation over all users at once."""
+    order = Window.partitionBy("user_id").orderBy("arrival", "lat", "lon")
+    rows = base.stay_table(s, d).withColumn("node", F.row_number().over(order) - 1).select("user_id", "node", "lat", "lon", F.struct("user_id", "node").alias("id"))
+    pairs = places.radius_pairs(rows.select("user_id", "id", "lat", "lon"), rows.select("user_id", "id", "lat", "lon"), ["user_id"], 150.0)
+    labels = graphs.components(pairs.select("a", "b"))
+    found = rows.join(labels, rows["id"] == labels["node"], "left").select(rows["user_id"], F.coalesce("label", rows["id"]).alias("label"))
+    return found.groupBy("user_id", F.col("label.node").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.col("label").cast("long"))
+
+
+CTES["pg_rows"] = f"""
+  SELECT s.user_id, s.chain, s.stay, s.arrival, s.lat, s.lon, s.duration_minutes, s.home, s.office, CAST(s.arr AS DATE) AS day, h.half, c.x.cfg AS cfg, c.x.eps AS eps, c.x.least AS least, c.x.mode AS mode,
+         row_number() OVER (PARTITION BY c.x.cfg, h.half, s.user_id ORDER BY s.arrival, s.lat, s.lon) - 1 AS node
+  FROM sc s, (SELECT unnest([{', '.join(f"{{'cfg': {c}, 'eps': {e}::DOUBLE, 'least': {m}, 'mode': '{k}'}}" for c, e, m, k in _CONFIGS)}]) AS x) c,
+  LATERAL (SELECT 2 AS half UNION ALL SELECT CAST(date_diff('day', DATE '2000-01-01', CAST(s.arr AS DATE)) % 2 AS INT)) h"""
+_general_sql("pg", "pg_rows", "cfg, half, user_id", "eps", "least", "mode")
+CTES["pg_places"] = """
+  SELECT cfg, half, user_id, place, sum(home) AS home, sum(office) AS office, sum(duration_minutes) AS dur, min(arrival) AS first_seen, count(*) AS n,
+         sum(lat * duration_minutes) / sum(duration_minutes) AS lat, sum(lon * duration_minutes) / sum(duration_minutes) AS lon FROM pg_placed GROUP BY ALL"""
+CTES["pg_top"] = f"""
+  SELECT t.*, (SELECT max({mean_m('t.lat', 't.lon', 'p.lat', 'p.lon')}) FROM pg_placed p WHERE p.cfg = t.cfg AND p.half = t.half AND p.user_id = t.user_id AND p.place = t.place) AS radius FROM (
+    SELECT * FROM (SELECT *, 'home' AS type, home AS minutes FROM pg_places WHERE home > 0 UNION ALL SELECT *, 'office', office FROM pg_places WHERE office > 0)
+    QUALIFY row_number() OVER (PARTITION BY cfg, half, user_id, type ORDER BY {rnd('minutes', 6)} DESC, {rnd('dur', 6)} DESC, first_seen) = 1) t"""
+
+
+@query(
+    f"""SELECT f.cfg, f.type, found, radius_p50, radius_p90, radius_max, multi_stay, home_is_office, pairs, stable FROM (
+      SELECT t.cfg, t.type, count(*) AS found, {rnd('quantile_cont(t.radius, 0.5)', 3)} AS radius_p50, {rnd('quantile_cont(t.radius, 0.9)', 3)} AS radius_p90, {rnd('max(t.radius)', 3)} AS radius_max,
+        {rnd('avg(CAST(t.n > 1 AS INT))', 6)} AS multi_stay, {rnd('coalesce(avg(CAST(o.place = t.place AS INT)), 0.0)', 6)} AS home_is_office
+      FROM pg_top t LEFT JOIN pg_top o ON o.cfg = t.cfg AND o.half = 2 AND o.user_id = t.user_id AND o.type <> t.type WHERE t.half = 2 GROUP BY ALL) f
+      JOIN (SELECT a.cfg, a.type, count(*) AS pairs, {rnd(f"avg(CAST({mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200 AS INT))", 6)} AS stable
+        FROM pg_top a JOIN pg_top b ON a.cfg = b.cfg AND a.user_id = b.user_id AND a.type = b.type WHERE a.half = 0 AND b.half = 1 GROUP BY ALL) p ON p.cfg = f.cfg AND p.type = f.type"""
+)
+def place_grid(s: SparkSession, d: str) -> DataFrame:
+    """Settings of the clusters: answers, size of the winning place, home and office in one, agreement of halves of the days."""
+    day = F.to_date("arrival_local")
+    half = (F.date_diff(day, F.lit("2000-01-01").cast("date")) % 2).cast("int")
+    rows = base.scores(s, d).select(*STAY, "arrival", "lat", "lon", "duration_minutes", "home", "office", day.alias("day"), F.explode(F.array(F.lit(2), half)).alias("half"))
+    keys = ("cfg", "half", "user_id")
+    placed = None
+    for mode in ("stays", "days"):  # one pass each: settings are columns
+        chosen = F.array(*[F.struct(F.lit(c).alias("cfg"), F.lit(e).alias("eps"), F.lit(m).alias("least")) for c, e, m, k in _CONFIGS if k == mode])
+        part = places.dbscan(rows.withColumn("x", F.explode(chosen)).select("*", "x.*").drop("x"), "eps", "least", keys, "day" if mode == "days" else None)
+        placed = part if placed is None else placed.unionByName(part)
+    weight = F.sum("duration_minutes")
+    grouped = placed.groupBy(*keys, "place").agg(
+        F.sum("home").alias("home"), F.sum("office").alias("office"), weight.alias("dur"), F.min("arrival").alias("first_seen"), F.count(F.lit(1)).alias("n"),
+        (F.sum(F.col("lat") * F.col("duration_minutes")) / weight).alias("lat"), (F.sum(F.col("lon") * F.col("duration_minutes")) / weight).alias("lon"),
+        F.collect_list(F.struct("lat", "lon")).alias("spots"),
+    )
+    far = F.array_max(F.transform("spots", lambda p: mean_haversine_m(F.col("lat"), F.col("lon"), p["lat"], p["lon"])))
+    kinds = F.array(*[F.struct(F.lit(k).alias("type"), F.col(k).alias("minutes")) for k in ("home", "office")])
+    best = Window.partitionBy(*keys, "type").orderBy(*[F.desc(geo.round_half_up(F.col(c), 6)) for c in ("minutes", "dur")], "first_seen")
+    top = grouped.withColumn("radius", far).drop("spots").withColumn("k", F.explode(kinds)).select("*", "k.*").filter("minutes > 0").withColumn("rk", F.row_number().over(best)).filter("rk = 1")
+    full = top.filter("half = 2")
+    other = full.select("cfg", "user_id", F.when(F.col("type") == "home", "office").otherwise("home").alias("type"), F.col("place").alias("other"))
+    q = F.percentile("radius", F.array(F.lit(0.5), F.lit(0.9)))
+    found = full.join(other, ["cfg", "user_id", "type"], "left").groupBy("cfg", "type").agg(
+        F.count(F.lit(1)).alias("found"), r("radius_p50", of=F.get(q, 0)), r("radius_p90", of=F.get(q, 1)), r("radius_max", of=F.max("radius")),
+        r("multi_stay", 6, F.avg((F.col("n") > 1).cast("int"))), r("home_is_office", 6, F.coalesce(F.avg((F.col("other") == F.col("place")).cast("int")), F.lit(0.0))),
+    )
+    a, b = (top.filter(F.col("half") == h).select("cfg", "user_id", "type", "lat", "lon").alias(n) for h, n in ((0, "a"), (1, "b")))
+    same = (mean_haversine_m("a.lat", "a.lon", "b.lat", "b.lon") <= 200).cast("int")
+    stable = a.join(b, ["cfg", "user_id", "type"]).groupBy("cfg", "type").agg(F.count(F.lit(1)).alias("pairs"), r("stable", 6, F.avg(same)))
+    return found.join(stable, ["cfg", "type"])
+
+
+# --- cells, jobs ---
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT {p} AS precision, count(*) AS cells, min(n) AS least, {rnd('avg(CAST(n >= 5 AS INT))', 6)} AS ratio FROM (SELECT {geohash('lat', 'lon', p)} AS g, count(*) AS n FROM kept GROUP BY 1)"
+        for p in (5, 6, 7)
+    )
+)
+def k_anonymity(s: SparkSession, d: str) -> DataFrame:
+    """Cells of three sizes: how many hold five points or more."""
+    cells = F.array(*[F.struct(F.lit(p).alias("precision"), geo.geohash_encode("lat", "lon", p).alias("g")) for p in (5, 6, 7)])
+    n = base.kept(s, d).select(F.explode(cells).alias("x")).groupBy("x.precision", "x.g").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("precision").agg(F.count(F.lit(1)).alias("cells"), F.min("n").alias("least"), r("ratio", 6, F.avg((F.col("n") >= 5).cast("int"))))
+
+
+# Mean areas of hexagonal cells by resolution in square kilometres, as their documentation rounds them.
+_HEX_KM2 = [4357500.0, 609788.0, 86554.0, 12264.0, 1773.0, 252.9, 36.13, 5.16, 0.74, 0.105, 0.015, 0.002, 0.0003]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {a}::DOUBLE)' for i, a in enumerate([*_HEX_KM2, 0.0, 0.0, 0.0]))}) t(resolution, km2)")
+def h3_area(s: SparkSession, d: str) -> DataFrame:
+    """Area of hexagonal cells by resolution; 0 where it isn't documented."""
+    area = F.coalesce(F.get(F.array(*map(F.lit, _HEX_KM2)), F.col("id").cast("int")), F.lit(0.0))
+    return s.range(16).select(F.col("id").cast("int").alias("resolution"), area.alias("km2"))
+
+
+CTES["job_steps"] = """
+  SELECT user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, event_type FROM events"""
+CTES["scan_jobs"] = """
+  SELECT job, 0::BIGINT AS rn, 'none' AS state, 0 AS attempts, 0 AS polls FROM (SELECT DISTINCT job FROM job_steps)
+  UNION ALL
+  SELECT j.job, e.rn, CASE WHEN e.event_type = 'signup' AND j.state IN ('none', 'failed') THEN 'pending' WHEN e.event_type = 'click' AND j.state = 'pending' THEN 'processing'
+           WHEN e.event_type = 'purchase' AND j.state = 'processing' THEN 'completed' WHEN e.event_type = 'error' AND j.state = 'processing' THEN 'failed' ELSE j.state END,
+         j.attempts + CASE WHEN e.event_type = 'click' AND j.state = 'pending' THEN 1 ELSE 0 END, j.polls + CASE WHEN e.event_type = 'view' AND j.state IN ('completed', 'failed') THEN 1 ELSE 0 END
+  FROM scan_jobs j JOIN job_steps e ON e.job = j.job AND e.rn = j.rn + 1"""
+
+
+@query("SELECT job, state, attempts, polls FROM scan_jobs QUALIFY row_number() OVER (PARTITION BY job ORDER BY rn DESC) = 1")
+def job_states(s: SparkSession, d: str) -> DataFrame:
+    """Life of a job from its events: signup queues, click starts, purchase completes, error fails, view polls."""
+    steps = table(s, d, "events").groupBy(F.col("user_id").alias("job")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("steps"))
+    start = F.struct(F.lit("none").alias("state"), F.lit(0).alias("attempts"), F.lit(0).alias("polls"))
+
+    def step(j: Column, e: Column) -> Column:
+        kind, state = e["event_type"], j["state"]
+        begins = (kind == "click") & (state == "pending")
+        after = (
+            F.when((kind == "signup") & state.isin("none", "failed"), "pending").when(begins, "processing")
+            .when((kind == "purchase") & (state == "processing"), "completed").when((kind == "error") & (state == "processing"), "failed").otherwise(state)
+        )
+        seen = (kind == "view") & state.isin("completed", "failed")
+        return F.struct(after.alias("state"), (j["attempts"] + begins.cast("int")).alias("attempts"), (j["polls"] + seen.cast("int")).alias("polls"))
+
+    return steps.select("job", F.aggregate("steps", start, step).alias("j")).select("job", "j.*")
