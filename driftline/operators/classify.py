@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -182,3 +183,29 @@ def compare(primary: DataFrame, shadow: DataFrame, same_m: float = 200.0) -> Dat
         .otherwise("different_place")
     )
     return both.select("user_id", "type", outcome.alias("outcome"))
+
+
+#: Versions of the classifier by name; each takes scored stays.
+MODELS: dict[str, Callable[[DataFrame], DataFrame]] = {"v1": winners_v1, "v2": lambda scores: winners_v2(place_scores(scores))}
+
+
+def coerced(sent: DataFrame) -> DataFrame:
+    """Stays as clients send them in one form: ``arrival`` and ``departure`` in naive GMT, missing numbers null.
+
+    A time may stand under ``arrival_time`` or ``arrival`` (``departure_time`` or
+    ``departure``), as text with a zone or without, or as a timestamp.  Stays
+    without both times, or that end before they start, are dropped; see
+    ``validate_stays`` for counting them.
+    """
+
+    def when(*names: str) -> Column:
+        found = F.coalesce(*[F.col(n).cast("string") for n in names if n in sent.columns])
+        zoned = found.rlike(r"([+-]\d\d:?\d\d|Z)$")
+        gmt = F.convert_timezone(None, F.lit("UTC"), F.try_to_timestamp(found).cast("timestamp_ntz"))
+        return F.when(zoned, gmt).otherwise(F.to_timestamp_ntz(found))
+
+    times = {"arrival": when("arrival_time", "arrival"), "departure": when("departure_time", "departure")}
+    kinds = dict(sent.dtypes)
+    numbers = {c: F.when(~F.isnan(c), F.col(c)) for c in ("altitude_m", "observed_minutes") if kinds.get(c) == "double"}
+    rows = sent.select(*[F.col(c) for c in sent.columns if c not in {"arrival_time", "departure_time", "arrival", "departure", *numbers}], *[v.alias(n) for n, v in {**times, **numbers}.items()])
+    return rows.filter("departure > arrival")

@@ -7,24 +7,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def nearest_rank(value: str, rank: str, count: str, q: float) -> Column:
-    """Aggregate: the value at position ``min(floor(n * q), n - 1)`` of rows numbered from 0."""
-    return F.max(F.when(F.col(rank) == F.least(F.floor(F.col(count) * q), F.col(count) - 1), F.col(value)))
-
-
-def latency(requests: DataFrame, keys: list[str], value: str, tie: str, failed: Column | None = None) -> DataFrame:
-    """Per key: requests, mean, median, nearest-rank p95 and p99, and errors."""
-    w = Window.partitionBy(*keys)
-    rows = requests.withColumns(
-        {"__rn": F.row_number().over(w.orderBy(value, tie)) - 1, "__n": F.count(F.lit(1)).over(w), "__bad": failed if failed is not None else F.lit(False)}
-    )
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.avg(value).alias("mean"),
-        F.percentile(value, F.lit(0.5)).alias("p50"),
-        nearest_rank(value, "__rn", "__n", 0.95).alias("p95"),
-        nearest_rank(value, "__rn", "__n", 0.99).alias("p99"),
-        F.count_if("__bad").alias("errors"),
+def positions(rows: DataFrame, key: str, order: list[str], parts: int = 64) -> DataFrame:
+    """Rows with ``rn``, their place from 1 within ``key`` in ``order``, and ``n``, the rows of the key.
+
+    A key may hold most rows, so it isn't sorted in one task: rows are cut at
+    approximate quantiles of the first order column, numbered within each piece,
+    and pieces start where the ones before them end.
+    """
+    first = F.col(order[0])
+    number = F.unix_micros(first.cast("timestamp")).cast("double") if dict(rows.dtypes)[order[0]].startswith("timestamp") else first.cast("double")
+    cuts = rows.groupBy(key).agg(F.percentile_approx(number, F.lit([i / parts for i in range(1, parts)]), F.lit(1000)).alias("__cuts"))
+    piece = F.size(F.filter("__cuts", lambda c: c < number))
+    dealt = rows.join(cuts, key).withColumn("__piece", piece).drop("__cuts")
+    sizes = dealt.groupBy(key, "__piece").agg(F.count(F.lit(1)).alias("__m"))
+    before = Window.partitionBy(key).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumns({"__start": F.coalesce(F.sum("__m").over(before), F.lit(0).cast("long")), "n": F.sum("__m").over(Window.partitionBy(key))}).drop("__m")
+    inside = F.row_number().over(Window.partitionBy(key, "__piece").orderBy(*order))
+    numbered = dealt.withColumn("__in", inside).join(starts, [key, "__piece"])
+    return numbered.withColumn("rn", F.col("__in") + F.col("__start")).drop("__in", "__start", "__piece")
+
+
+def latency(requests: DataFrame, keys: list[str], value: str, failed: Column | None = None) -> DataFrame:
+    """Per key: requests, mean, median, nearest-rank p95 and p99, and errors.
+
+    Ranks come from the counts of equal values, so a key's requests are added up before they meet.
+    """
+    bad = F.count_if(failed if failed is not None else F.lit(False))
+    counts = requests.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__m"), bad.alias("__bad"))
+    upto = F.sum("__m").over(Window.partitionBy(*keys).orderBy(value))
+    counts = counts.withColumns({"__to": upto, "__n": F.sum("__m").over(Window.partitionBy(*keys))})
+
+    def ranked(q: float) -> Column:
+        rank = F.least(F.floor(F.col("__n") * q), F.col("__n") - 1)
+        return F.min(F.when(F.col("__to") > rank, F.col(value)))
+
+    return counts.groupBy(*keys).agg(
+        F.sum("__m").alias("count"),
+        (F.sum(F.col(value) * F.col("__m")) / F.sum("__m")).alias("mean"),
+        F.expr(f"percentile(`{value}`, 0.5, __m)").alias("p50"),
+        ranked(0.95).alias("p95"),
+        ranked(0.99).alias("p99"),
+        F.sum("__bad").alias("errors"),
     )
 
 

