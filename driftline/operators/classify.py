@@ -45,12 +45,26 @@ def daily_overlaps(stays: DataFrame, rules: Rules = RULES) -> DataFrame:
     return rows.withColumns({"home_min": home, "office_min": F.when(works, office).otherwise(0.0)})
 
 
+def _days(rules: Rules, kind: str) -> tuple[Column, Callable[[Column], Column]]:
+    """The days that a stay may touch a window on, and the minutes of one of them."""
+    days = F.sequence(F.date_sub(F.to_date("arrival_local"), 1), F.to_date("departure_local"))
+    hours = rules.home if kind == "home" else rules.office
+
+    def minutes(day: Column) -> Column:
+        inside = window_minutes(F.col("arrival_local"), F.col("departure_local"), day, *hours)
+        return inside if kind == "home" else F.when(F.weekday(day) < rules.work_days, inside).otherwise(0.0)
+
+    return days, minutes
+
+
 def scored(stays: DataFrame, rules: Rules = RULES) -> DataFrame:
     """Local stays long enough, with their window minutes; a stay is known by user_id, chain and stay."""
-    key = ["user_id", "chain", "stay"]
-    long = localized(stays.filter(F.col("duration_minutes") >= rules.min_stay_minutes))
-    minutes = daily_overlaps(long, rules).groupBy(*key).agg(F.sum("home_min").alias("home"), F.sum("office_min").alias("office"))
-    return long.join(minutes, key)
+    rows = localized(stays.filter(F.col("duration_minutes") >= rules.min_stay_minutes))
+    # Days are summed up within the row: no explode, no join back.
+    for kind in ("home", "office"):
+        days, minutes = _days(rules, kind)
+        rows = rows.withColumn(kind, F.aggregate(days, F.lit(0.0), lambda total, day: total + minutes(day)))  # noqa: B023
+    return rows
 
 
 def by_type(scores: DataFrame) -> DataFrame:
@@ -68,20 +82,15 @@ def _status(gate: Column, gate_least: int, rules: Rules) -> Column:
 def winners_v1(scores: DataFrame, rules: Rules = RULES) -> DataFrame:
     """The stay with most window minutes per user and type: confidence, support, status and reason."""
     rows = by_type(scores)
-    best = Window.partitionBy("user_id", "type").orderBy(F.desc("minutes"), F.desc("duration_minutes"), "arrival")
-    top = rows.withColumns(
-        {"rank": F.row_number().over(best), "total": F.sum("minutes").over(Window.partitionBy("user_id", "type"))}
-    )
-    winner = top.filter("rank = 1")
-    near = mean_haversine_m("w.lat", "w.lon", "c.lat", "c.lon") <= rules.support_m
-    support = (
-        winner.select("user_id", "type", "lat", "lon").alias("w")
-        .join(rows.select("user_id", "type", "lat", "lon").alias("c"), ["user_id", "type"])
-        .groupBy("user_id", "type")
-        .agg(F.count_if(near).alias("support"))
-    )
+    group = Window.partitionBy("user_id", "type")
+    best = group.orderBy(F.desc("minutes"), F.desc("duration_minutes"), "arrival")
+    first = F.first(F.struct("lat", "lon")).over(best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    top = rows.withColumns({"rank": F.row_number().over(best), "total": F.sum("minutes").over(group), "__first": first})
+    # Support is counted where the candidates are: they don't meet the winner in a join.
+    near = mean_haversine_m("__first.lat", "__first.lon", "lat", "lon") <= rules.support_m
+    winner = top.withColumn("support", F.sum(near.cast("long")).over(group)).filter("rank = 1")
     reason = _status(F.col("support"), rules.min_support, rules)
-    return winner.join(support, ["user_id", "type"]).select(
+    return winner.select(
         "user_id", "type", "lat", "lon", "arrival", "duration_minutes", "altitude_m", "minutes", "support",
         F.least(F.lit(1.0), F.col("minutes") / F.col("total")).alias("confidence"),
         F.when(reason.isNull(), "found").otherwise("unknown").alias("status"),
@@ -116,19 +125,12 @@ def pois_v1(scores: DataFrame, rules: Rules = RULES) -> DataFrame:
 
 def place_scores(scores: DataFrame, rules: Rules = RULES) -> DataFrame:
     """Clustered places: minutes and days in each window, weighted centre, visits and times."""
-    key = ["user_id", "chain", "stay"]
-    placed = dbscan(scores.select(*key, "arrival", "lat", "lon"), rules.eps_m).select(*key, "place")
-    rows = scores.join(placed, key)
-    days = (
-        daily_overlaps(rows.drop("home", "office"), rules)
-        .groupBy("user_id", "place")
-        .agg(
-            F.count_distinct(F.when(F.col("home_min") > 0, F.col("day"))).alias("home_days"),
-            F.count_distinct(F.when(F.col("office_min") > 0, F.col("day"))).alias("office_days"),
-        )
-    )
+    rows = dbscan(scores, rules.eps_m)
+    for kind in ("home", "office"):
+        days, minutes = _days(rules, kind)
+        rows = rows.withColumn(f"__{kind}", F.filter(days, lambda day: minutes(day) > 0))  # noqa: B023
     weight = F.sum("duration_minutes")
-    grouped = rows.groupBy("user_id", "place").agg(
+    return rows.groupBy("user_id", "place").agg(
         F.sum("home").alias("home"),
         F.sum("office").alias("office"),
         (F.sum(F.col("lat") * F.col("duration_minutes")) / weight).alias("lat"),
@@ -138,8 +140,8 @@ def place_scores(scores: DataFrame, rules: Rules = RULES) -> DataFrame:
         F.avg(F.nullif("altitude_m", F.lit(0.0))).alias("altitude_m"),
         F.min("arrival").alias("first_seen"),
         F.max("arrival").alias("last_seen"),
+        *[F.size(F.array_distinct(F.flatten(F.collect_list(f"__{kind}")))).cast("long").alias(f"{kind}_days") for kind in ("home", "office")],
     )
-    return grouped.join(days, ["user_id", "place"])
 
 
 def winners_v2(places: DataFrame, rules: Rules = RULES) -> DataFrame:

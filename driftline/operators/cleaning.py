@@ -59,8 +59,11 @@ def min_points_gate(points: DataFrame, least: int = LIMITS.min_points) -> DataFr
 def dedup_exact(points: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
     """One point per file, second and position: a valid altitude first, then the earliest line."""
     bad = (F.col("altitude") == limits.altitude_invalid).cast("int")
-    first = Window.partitionBy(*FILE, "datetime", "lat", "lon").orderBy(bad, "ord")
-    return points.withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").drop("__rank")
+    # Equal points are neighbours in this order; a window a file is cheaper than one a point.
+    order = Window.partitionBy(*FILE).orderBy("datetime", "lat", "lon", bad, "ord")
+    spot = F.struct("datetime", "lat", "lon")
+    rows = points.withColumn("__before", F.lag(spot).over(order))
+    return rows.filter(~spot.eqNullSafe(F.col("__before"))).drop("__before")
 
 
 def _judged(rows: DataFrame, limits: Thresholds) -> DataFrame:
@@ -88,7 +91,9 @@ def dup_candidates(points: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
     from the nearest unshared point before and to the one after.
     """
     work = dedup_exact(points, limits).withColumn("bad_altitude", (F.col("altitude") == limits.altitude_invalid).cast("int"))
-    work = work.withColumn("is_candidate", F.count(F.lit(1)).over(Window.partitionBy(*FILE, "datetime")) > 1)
+    order = Window.partitionBy(*FILE).orderBy("datetime", "bad_altitude", "ord")
+    shared = [F.coalesce(f("datetime").over(order) == F.col("datetime"), F.lit(False)) for f in (F.lag, F.lead)]
+    work = work.withColumn("is_candidate", shared[0] | shared[1])
     work = work.withColumn("__anchor", F.when(~F.col("is_candidate"), F.struct("datetime", "lat", "lon")))
     work = _around(work, "__anchor", "datetime, bad_altitude, ord")
     return _judged(work.drop("__anchor"), limits)
@@ -136,8 +141,10 @@ def with_decisions(rows: DataFrame, limits: Thresholds = LIMITS, flag: str = "is
     Only rows with ``flag`` are decided; the others keep nulls.  All figures are
     windows within the file, so the rows stay where they are.
     """
-    group = Window.partitionBy(*FILE, "datetime")
+    # Only shared seconds are groups of their own: the other rows of a file are one.
     mine = F.col(flag)
+    rows = rows.withColumn("__second", F.when(mine, F.col("datetime")))
+    group = Window.partitionBy(*FILE, "__second")
     good = mine & F.col("valid")
     rows = rows.withColumns(
         {
@@ -155,7 +162,7 @@ def with_decisions(rows: DataFrame, limits: Thresholds = LIMITS, flag: str = "is
     return (
         rows.withColumn("survivor", resolved & (F.col("__rank") == 1))
         .withColumn("reason", F.try_element_at(named, reason))
-        .drop("__rank", "__spots")
+        .drop("__rank", "__spots", "__second")
     )
 
 
