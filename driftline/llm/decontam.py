@@ -23,6 +23,8 @@ GRAM = 5
 SHARE = 20
 #: Windows of the benchmark that are broadcast to the documents at most; beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 1_000_000
+#: And so many bytes of their words and item ids.
+BROADCAST_BYTES = 64 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -38,106 +40,103 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lowered, _BREAK), "")
 
 
-def _windows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, at, mark, span)`` of each full window of ``words``: fingerprint and words."""
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size("words") - GRAM),
-        lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(GRAM)]),
-    )
-    starts = F.sequence(F.lit(0), F.size("words") - WINDOW)
-    return (
-        rows.filter(F.size("words") >= WINDOW)
-        .select(*keys, "words", grams.alias("grams"))
-        .select(*keys, "words", "grams", F.explode(starts).alias("at"))
-        .select(
-            *keys,
-            "words",
-            "at",
-            F.least(*[F.get("grams", F.col("at") + i) for i in range(WINDOW - GRAM + 1)]).alias("mark"),
-        )
+def _grams() -> Column:
+    """Hashes of all ``GRAM``-word runs of ``words``."""
+    starts = F.sequence(F.lit(0), F.size("words") - GRAM)
+    return F.when(
+        F.size("words") >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(GRAM)]))
     )
 
 
-def _span(length: int | Column) -> Column:
-    return F.array_join(F.slice("words", F.col("at") + 1, length), " ")
+def _mark(length: int) -> Column:
+    """Fingerprint of the window of ``length`` words at ``at``: the smallest gram of a full one, the hash of a shorter item."""
+    if length == WINDOW:
+        return F.least(*[F.get("grams", F.col("at") + i) for i in range(WINDOW - GRAM + 1)])
+    return F.xxhash64(*[F.get("words", F.col("at") + j) for j in range(length)])
 
 
-def _short_windows(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """``(keys, words, at, mark)`` of each run of ``length`` words."""
-    return (
-        rows.filter(F.size("words") >= length)
-        .select(*keys, "words", F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("at"))
-        .select(
-            *keys, "words", "at", F.xxhash64(*[F.get("words", F.col("at") + j) for j in range(length)]).alias("mark")
+def _windows(rows: DataFrame, keys: list[str], lengths: list[int]) -> DataFrame:
+    """``(keys, words, at, length, mark)`` of all windows of these lengths, and a row at -1 without mark for each text.
+
+    ``words`` is split once for all lengths.
+    """
+    marks = [
+        F.struct(
+            F.lit(n).alias("length"),
+            F.when((F.col("at") >= 0) & (F.col("at") + n <= F.size("words")), _mark(n)).alias("mark"),
         )
+        for n in lengths
+    ]
+    found = rows.select(*keys, "words", _grams().alias("grams")).select(
+        *keys, "words", "grams", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("at")
     )
+    if len(marks) == 1:
+        found = found.select(*keys, "words", "at", marks[0].alias("window"))
+    else:
+        found = found.select(*keys, "words", "at", F.explode(F.array(*marks)).alias("window"))
+    found = found.select(*keys, "words", "at", "window.length", "window.mark")
+    return found.filter(F.col("mark").isNotNull() | ((F.col("at") < 0) & (F.col("length") == lengths[0])))
 
 
-def word_count(text: Column) -> Column:
-    """The number of :func:`words_of` without making them."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+def _span(length: int | Column) -> Column:
+    return F.array_join(F.slice("words", F.col("at") + 1, length), " ")
 
 
 def _same(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.print") == F.col(f"{b}.print"))
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int) -> DataFrame:
-    """``doc_id, print, n_hit, n_items, items_sha256`` of documents with a hit, known by doc_id and text."""
+def _item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``(item_id, mark, span, length)`` of the items' windows, and the lengths that occur besides full ones."""
     items = staged(benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter("size(words) > 0"), "items")
-    full = _windows(items, ["item_id"]).select("item_id", "mark", _span(WINDOW).alias("span"), F.lit(WINDOW).alias("length"))
-    lengths = [r.n for r in items.filter(F.size("words") < WINDOW).select(F.size("words").alias("n")).distinct().collect()]
-    parts = [full]
-    for n in sorted(lengths):  # twelve lengths at most
-        few = items.filter(F.size("words") == n).select("item_id", "words", F.lit(0).alias("at"))
-        parts.append(
-            few.select(
-                "item_id",
-                F.xxhash64(*[F.get("words", F.lit(j)) for j in range(n)]).alias("mark"),
-                _span(n).alias("span"),
-                F.lit(n).alias("length"),
-            )
-        )
-    known = parts[0]
-    for part in parts[1:]:
-        known = known.unionAll(part)
-    known = staged(known.distinct(), "item-windows")
-    marks = known.select("mark", "length").distinct()
-    small = known.count() <= broadcast_windows
+    short = items.filter(F.size("words") < WINDOW).select(F.size("words").alias("n")).distinct().collect()
+    lengths = [WINDOW, *sorted(r.n for r in short)]  # thirteen at most
+    windows = _windows(items, ["item_id"], lengths).filter("at >= 0")
+    mine = F.col("length") == F.least(F.size("words"), F.lit(WINDOW))
+    known = windows.filter(mine).select("item_id", "mark", _span(F.col("length")).alias("span"), "length")
+    return staged(known.distinct(), "item-windows"), lengths
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int) -> tuple[DataFrame, DataFrame]:
+    """Documents ``(doc_id, print, n_words)``, a row for each, and what was found in those with a hit.
+
+    The latter has ``doc_id, print, n_hit, full, n_items, items_sha256``; ``full``
+    tells whether a window of ``WINDOW`` words is among the hits.
+    """
+    known, lengths = _item_windows(benchmark)
+    marks = known.select("mark", "length").distinct().withColumn("known", F.lit(True))
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("span") + F.octet_length(F.col("item_id").cast("string"))).alias("bytes")).first()
+    small = size.n <= broadcast_windows and (size.bytes or 0) <= BROADCAST_BYTES
 
     # A row is known by its doc_id and text, so repeated doc_ids don't mix.
-    rows = docs.select("doc_id", F.xxhash64("text").alias("print"), F.col("text"))
-    texts = rows.select("doc_id", "print", words_of(F.col("text")).alias("words"))
-    hits = None
-    for n in [WINDOW, *sorted(lengths)]:
-        seen = _windows(texts, ["doc_id", "print"]) if n == WINDOW else _short_windows(texts, ["doc_id", "print"], n)
-        wanted = marks.filter(F.col("length") == n).select("mark")
-        if small:
-            found = seen.join(F.broadcast(wanted), "mark", "left_semi").select(
-                "doc_id", "print", "at", "mark", _span(n).alias("span"), F.lit(n).alias("length")
-            )
-        else:
-            # Fingerprints alone move first; texts follow only for documents that share one.
-            shared = seen.select("doc_id", "print", "mark").distinct().join(wanted, "mark", "left_semi")
-            some = shared.select("doc_id", "print").distinct()
-            again = texts.alias("t").join(
-                some.alias("s"),
-                F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.print") == F.col("s.print")),
-                "left_semi",
-            )
-            seen = _windows(again, ["doc_id", "print"]) if n == WINDOW else _short_windows(again, ["doc_id", "print"], n)
-            found = seen.select("doc_id", "print", "at", "mark", _span(n).alias("span"), F.lit(n).alias("length")).join(
-                wanted, "mark", "left_semi"
-            )
-        hits = found if hits is None else hits.unionAll(found)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("print"), words_of(F.col("text")).alias("words"))
+    keys = ["doc_id", "print"]
+    found = [*keys, F.size("words").cast("long").alias("n_words"), "at", "length", "mark", F.when(F.col("at") >= 0, _span(F.col("length"))).alias("span")]
+    windows = _windows(texts, keys, lengths)
+    if small:
+        # One scan: windows that the benchmark has, and each document's own row.
+        seen = windows.join(F.broadcast(marks), ["mark", "length"], "left").filter("known OR at < 0").select(*found)
+    else:
+        # Fingerprints alone move first; texts follow only for documents that share one.
+        wanted = marks.select("mark", "length")
+        some = windows.filter("at >= 0").select(*keys, "mark", "length").distinct().join(wanted, ["mark", "length"], "left_semi")
+        some = some.select(*keys).distinct()
+        again = texts.alias("t").join(some.alias("s"), _same("t", "s"), "left_semi")
+        hit = _windows(again, keys, lengths).filter("at >= 0").select(*found).join(wanted, ["mark", "length"], "left_semi")
+        own = texts.select(*keys, F.size("words").cast("long").alias("n_words"), F.lit(-1).alias("at"))
+        seen = hit.unionByName(own, allowMissingColumns=True)
+    seen = staged(seen, "window-hits")
+    rows = seen.filter("at < 0").select(*keys, "n_words")
     spans = known.select("mark", "span", "length").distinct()
     spans = F.broadcast(spans) if small else spans
     # Word-for-word agreement of the windows decides; the fingerprint only led here.
-    hits = staged(hits.join(spans, ["mark", "span", "length"], "left_semi").distinct(), "window-hits")
+    hits = seen.filter("at >= 0").select(*keys, "at", "mark", "span", "length").distinct()
+    hits = staged(hits.join(spans, ["mark", "span", "length"], "left_semi"), "true-hits")
 
     # Hit words are the union of the windows' word positions, gathered per document.
-    covered = hits.groupBy("doc_id", "print").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("length")).alias("hi")))).alias("runs")
+    covered = hits.groupBy(*keys).agg(
+        F.array_sort(F.collect_set(F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("length")).alias("hi")))).alias("runs"),
+        F.max(F.col("length") == WINDOW).alias("full"),
     )
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     union = F.aggregate(
@@ -149,31 +148,30 @@ def _hits(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int) -> Data
         ),
         lambda s: s["n"],
     )
-    covered = covered.select("doc_id", "print", union.cast("long").alias("n_hit"))
+    covered = covered.select(*keys, "full", union.cast("long").alias("n_hit"))
     names = known.filter(F.col("item_id").isNotNull()).select("span", "length", F.col("item_id").cast("string").alias("item"))
     names = F.broadcast(names) if small else names
     matched = (
-        hits.select("doc_id", "print", "span", "length")
+        hits.select(*keys, "span", "length")
         .distinct()
         .join(names, ["span", "length"])
-        .groupBy("doc_id", "print")
+        .groupBy(*keys)
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
         .select(
-            "doc_id",
-            "print",
+            *keys,
             F.size("items").cast("long").alias("n_items"),
             F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         )
     )
-    def same(a: str, b: str) -> Column:
-        return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.print") == F.col(f"{b}.print"))
-    return covered.alias("c").join(matched.alias("m"), _same("c", "m"), "left").select(
+    hits = covered.alias("c").join(matched.alias("m"), _same("c", "m"), "left").select(
         "c.doc_id",
         "c.print",
         "n_hit",
+        "full",
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
     )
+    return rows, hits
 
 
 def _contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -189,8 +187,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
     windows hit; items without words have no window.  Empty tables are fine,
     and other columns are ignored.
     """
-    hits = _hits(docs, benchmark, broadcast_windows)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("print"), word_count(F.col("text")).alias("n_words"))
+    rows, hits = _hits(docs, benchmark, broadcast_windows)
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return rows.alias("d").join(hits.alias("h"), _same("d", "h"), "left").select(
         F.col("d.doc_id").alias("doc_id"),
@@ -203,18 +200,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """The documents that aren't contaminated, with all their columns.
+    """The documents without benchmark passages, with all their columns.
 
-    The verdict goes by doc_id and text, so repeated rows share it; null texts stay.
+    A document goes if it holds a full window of ``WINDOW`` words of an item,
+    however long it is itself, or if its hits, those of shorter items included,
+    make up one in ``SHARE`` of its words; a short item alone may be a common phrase.
+    The verdict goes by doc_id and text, so repeated rows share it, null doc_ids
+    too; null and empty texts stay; empty tables and any other columns are fine.
     """
-    hits = _hits(docs, benchmark, broadcast_windows).select("doc_id", "print", "n_hit")
-    return (
-        docs.alias("d")
-        .join(
-            hits.alias("h"),
-            F.col("d.doc_id").eqNullSafe(F.col("h.doc_id"))
-            & (F.xxhash64("d.text") == F.col("h.print"))
-            & _contaminated(F.col("h.n_hit"), word_count(F.col("d.text"))),
-            "left_anti",
-        )
+    rows, hits = _hits(docs, benchmark, broadcast_windows)
+    bad = (
+        rows.distinct()
+        .alias("r")
+        .join(hits.alias("h"), _same("r", "h"))
+        .filter(F.col("full") | _contaminated(F.col("n_hit"), F.col("n_words")))
+        .select("r.doc_id", "r.print")
     )
+    met = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("d.text") == F.col("b.print"))
+    return docs.alias("d").join(bad.alias("b"), met, "left_anti")
