@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,3 +64,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in _open.pop():
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` returns, written; what it wrote on the way is removed, its shuffle files too.
+
+    Spark drops shuffle files when the driver collects the plans they belong to, so that is asked for here.
+    """
+    path = fresh_path(spark, name)
+    with scratch(spark):
+        rows = make()
+        rows.write.parquet(path)
+    schema = rows.schema
+    del rows
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
