@@ -29,8 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that come in fewer pieces than there are cores, dealt to all of them: what follows makes many of each."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows._jdf.rdd().getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traces.points_of_events(table(spark, sf_dir, "events"))
+    return traces.points_of_events(spread(table(spark, sf_dir, "events")))
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
