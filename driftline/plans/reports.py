@@ -144,7 +144,7 @@ def _near_pairs(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     " UNION ALL ".join(
-        f"""SELECT {t if t else 'NULL::INT'} AS hours, count(*) AS bridged, count(*) FILTER (WHERE overnight) AS overnight, count(DISTINCT user_id) AS users, {rnd('coalesce(sum(gap_h), 0.0)', 3)} AS bridged_hours,
+        f"""SELECT {t if t else 'NULL::INT'} AS hours, count(*) AS bridged, count(*) FILTER (WHERE overnight) AS overnight, count(DISTINCT user_id) AS users, {rnd('coalesce(sum(round(gap_h * 3600)), 0.0) / 3600', 3)} AS bridged_hours,
       {rnd('quantile_cont(gap_h, 0.5)', 6)} AS median_h FROM near_pairs {f'WHERE gap_h <= {t}' if t else ''}"""
         for t in _LIMITS
     )
@@ -153,7 +153,7 @@ def tmax_sweep(s: SparkSession, d: str) -> DataFrame:
     """What a limit on gaps between recordings would bridge; no limit comes last, as null."""
     rows = _near_pairs(s, d).withColumn("hours", F.explode(F.array(*[F.lit(t).cast("int") for t in _LIMITS]))).filter("hours IS NULL OR gap_h <= hours")
     return rows.groupBy("hours").agg(
-        _n().alias("bridged"), F.count_if("overnight").alias("overnight"), F.count_distinct("user_id").alias("users"), r("bridged_hours", of=F.sum("gap_h")), r("median_h", 6, _median("gap_h"))
+        _n().alias("bridged"), F.count_if("overnight").alias("overnight"), F.count_distinct("user_id").alias("users"), r("bridged_hours", of=F.sum(F.round(F.col("gap_h") * 3600)) / 3600), r("median_h", 6, _median("gap_h"))
     )
 
 
