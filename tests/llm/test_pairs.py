@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from driftline.llm import decontam, linededup, simhash, sketch
+from driftline.llm import components, decontam, linededup, simhash, sketch
 from driftline.llm.components import connected_components
 
 from . import brute
@@ -24,13 +26,22 @@ def awkward(rng):
     return [(i, t, "en", "s", len(t or "")) for i, t in rows]
 
 
-def test_components_on_chains_stars_and_cycles(spark):
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components_on_chains_stars_and_cycles(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "IN_ONE_TASK", one_task)
     rng = random.Random(5)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
     rng.shuffle(pairs)
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[100 + i] for i in range(50)} == {100} and got[202] == 200
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    pair = lambda x: (x % 7 - 3, x)
+    edges = spark.createDataFrame([(pair(a), pair(b)) for a, b in pairs], "a struct<p: long, q: long>, b struct<p: long, q: long>")
+    found = {tuple(r.node): tuple(r.label) for r in connected_components(edges).collect()}
+    want = {}
+    for n, l in got.items():
+        want[l] = min(want.get(l, pair(n)), pair(n))
+    assert found == {pair(n): want[l] for n, l in got.items()}
 
 
 def test_simhash_equals_brute_force(spark):
@@ -109,10 +120,13 @@ def test_contamination_equals_brute_force_either_way(spark):
     want = sorted(brute.contamination(TEXTS, ITEMS), key=str)
     for bound in (10**6, 0):
         assert sorted(map(tuple, decontam.contamination(docs, items, bound).collect()), key=str) == want
-    left = decontam.clean_documents(docs, items)
-    bad = {(w[0], w[1]) for w in want if w[5]}
-    assert left.columns == docs.columns
-    assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if (r.doc_id, len(brute.bench_words(r.text))) not in bad)
+    full = {w[0] for w in brute.contamination(TEXTS, [i for i in ITEMS if len(brute.bench_words(i[1])) >= 13]) if w[2]}
+    bad = {(w[0], w[1]) for w in want if w[5] or (w[0] in full and w[2])}
+    for bound in (10**6, 0):
+        left = decontam.clean_documents(docs, items, bound)
+        assert left.columns == docs.columns
+        assert sorted(map(str, left.collect())) == sorted(str(r) for r in docs.collect() if (r.doc_id, len(brute.bench_words(r.text))) not in bad)
+    assert (5, 5013) in bad and not next(w[5] for w in want if w[1] == 5013)
 
 
 def test_contamination_of_empty_tables(spark):
@@ -239,3 +253,74 @@ def test_pipeline_keeps_one_of_each_near_duplicate_class(spark, monkeypatch):
         assert sorted(r.doc_id for r in left.collect()) == sorted(want.values()) and left.columns == docs.columns
     assert len(want) < len(rows) - 20
     assert corpus_pipeline.remove_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_large_group_of_near_copies_is_one_class(spark):
+    """Copies with a word changed here or there are near the original, and few of them one another."""
+    rng = random.Random(13)
+    base = prose(rng, 70).split()
+    rows = [(1000, " ".join(base))]
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.choice([1, 1, 2])):
+            words[rng.randrange(len(words))] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(2000 + i, prose(rng, 70)) for i in range(20)]
+    sets = [set(brute.shingles(t, 5)) for _, t in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    label = brute.components(len(rows), pairs)
+    want = {}
+    for i, (d, _) in enumerate(rows):
+        want[label[i]] = min(want.get(label[i], 10**9), d)
+    left = corpus_pipeline.remove_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in left.collect()) == sorted(want.values()) and len(want) < 60
+
+
+def test_pipeline_runs_end_to_end(spark, tmp_path):
+    rng = random.Random(14)
+    item = prose(rng, 30, 4000)
+    toxic, kind = "you vile horrid pest go away ", "a calm and friendly note "
+    rows = [(i, (toxic if i % 4 == 0 else kind) + prose(rng, 40, 3000), "en", f"s{i % 2}", 1) for i in range(120)]
+    rows += [(200, rows[1][1] + " tail", "en", "s0", 1), (201, None, None, None, None), (202, "", "en", "s1", 0), (203, kind + item, "en", "s1", 1), (204, kind + prose(rng, 900, 3000) + " " + item, "en", "s1", 1), rows[5], (None, kind + prose(rng, 40, 3000), "en", None, 1)]
+    labels = [(i, int(i % 4 == 0)) for i in range(120)]
+    tables = {"documents": (rows, DOCS), "labels": (labels, "doc_id long, toxic int"), "benchmark": ([("b1", item)], "item_id string, text string")}
+    for name, (part, schema) in tables.items():
+        spark.createDataFrame(part, schema).write.parquet(f"{tmp_path}/full/{name}.parquet")
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/full")
+    ids = [r.doc_id for r in got.collect()]
+    assert got.columns == [c.split()[0] for c in DOCS.split(", ")]
+    clean = {i for i in range(120) if i % 4}
+    # Near copies, benchmark passages, toxic and empty documents are gone; what is left is taken by weight.
+    assert set(ids) - {None} <= clean and None in ids and len(set(ids) & clean) > 60
+    size = {r[0]: len((r[1] or "").split()) for r in rows}
+    assert abs(sum(size[i] for i in ids) - sum(size[i] for i in clean | {None})) < 400
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_columns_may_have_any_name(spark):
+    names = "key row gone lines before after print nth order h1 h2 first label bits kept links n_words full".split()
+    rows = [(i, t, f"s{(i or 0) % 2}", *[f"{c}{i}" for c in names]) for i, t, *_ in awkward(random.Random(1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = {
+        "simhash": simhash.without_near_duplicates(docs),
+        "resemblance": corpus_pipeline.resemblance.without_near_duplicates(docs),
+        "lines": linededup.without_repeated_lines(docs),
+        "decontam": decontam.clean_documents(docs, items),
+        "mixing": corpus_pipeline.mixing.mixed_documents(docs),
+    }
+    for name, got in found.items():
+        assert got.columns == docs.columns, name
+        kept = got.collect()
+        assert kept and all(r[c] == f"{c}{r.doc_id}" for r in kept for c in names), name
+
+
+def test_string_ids_work(spark):
+    rows = [(f"d{i}", t, "en", "s", n) for i, (_, t, _, _, n) in enumerate(awkward(random.Random(1)))]
+    docs = spark.createDataFrame(rows, DOCS.replace("doc_id long", "doc_id string"))
+    assert simhash.near_duplicates(docs).count() == len(rows)
+    assert corpus_pipeline.remove_near_duplicates(spark, docs, "").count() < len(rows)
+    assert {r.n_words for r in decontam.contamination(docs, spark.createDataFrame(ITEMS, "item_id long, text string")).collect()} >= {0, 1, 2}
+    assert corpus_pipeline.mixing.mix(docs).count() == len(rows)
+    assert linededup.without_repeated_lines(docs).count() == len(rows)
