@@ -83,6 +83,7 @@ def edit_distances(left: list[str], right: list[str], edits: int = EDITS) -> np.
     for k, (x, y) in enumerate(zip(left, right, strict=True)):
         if len(x) > len(y):
             x, y = y, x
+        x, y = _different_middles(x, y)
         if x == y:
             out[k] = 0
         elif len(x) <= edits:
@@ -111,6 +112,20 @@ def edit_distances(left: list[str], right: list[str], edits: int = EDITS) -> np.
     return out
 
 
+def _different_middles(x: str, y: str) -> tuple[str, str]:
+    """Both without the start and the end that they share; their distance stays the same."""
+    lo, hi = 0, len(x)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if x[lo:mid] == y[lo:mid] else (lo, mid - 1)
+    x, y = x[lo:], y[lo:]
+    lo, hi = 0, len(x)
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if x[len(x) - mid : len(x) - lo] == y[len(y) - mid : len(y) - lo] else (lo, mid - 1)
+    return x[: len(x) - lo], y[: len(y) - lo]
+
+
 def _plain(x: str, y: str) -> int:
     row = list(range(len(y) + 1))
     for i, cx in enumerate(x, 1):
@@ -150,20 +165,26 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def signatures(codes: np.ndarray, bounds: np.ndarray, edits: int = EDITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line, role (0 index, 1 probe) and key of all signatures of lines ``codes[bounds[i]:bounds[i + 1]]``.
+    """Line, role (1 probe, 2 index and probe) and key of all signatures of lines ``codes[bounds[i]:bounds[i + 1]]``.
 
+    What a line is indexed by is also what it probes for partners of its own
+    length without a shift; it is one signature.
     Shorter lines allow fewer than ``edits``, see ``CHARS_PER_EDIT``.
     """
+    with np.errstate(over="ignore"):
+        terms = _mixed(codes.astype(np.uint64) + np.uint64(1)) * _powers(_INVERSE, len(codes))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+    lift = _powers(_BASE, len(codes) + 1)
     found = []
     for n in range(1, edits + 1):
         most = CHARS_PER_EDIT * (n + 1) if n < edits else np.iinfo(np.int64).max
-        found.append(_signatures(codes, bounds, n, CHARS_PER_EDIT * n, most))
+        found.append(_signatures(sums, lift, bounds, n, CHARS_PER_EDIT * n, most))
     lines, roles, keys = (np.concatenate(c) for c in zip(*found, strict=True))
     return lines, roles, keys
 
 
 def _signatures(
-    codes: np.ndarray, bounds: np.ndarray, edits: int, least: int, most: int
+    sums: np.ndarray, lift: np.ndarray, bounds: np.ndarray, edits: int, least: int, most: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures for pairs whose shorter line has ``least`` characters or more, but fewer than ``most``.
 
@@ -171,10 +192,6 @@ def _signatures(
     are polynomial, taken from running sums, so any substring costs the same.
     """
     with np.errstate(over="ignore"):
-        n = len(codes)
-        terms = _mixed(codes.astype(np.uint64) + np.uint64(1)) * _powers(_INVERSE, n)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-        lift = _powers(_BASE, n + 1)
         begin, length = bounds[:-1], np.diff(bounds)
         lines, roles, keys = [], [], []
 
@@ -187,7 +204,7 @@ def _signatures(
 
         rows = np.flatnonzero((length >= least) & (length < most))
         for i, (start, size) in enumerate(segments(length[rows], edits)):
-            add(rows, 0, length[rows], i, start, size)
+            add(rows, 2, length[rows], i, start, size)
         # Partners are no longer than the probing line, so each pair meets once.
         for gap in range(edits + 1):
             rows = np.flatnonzero((length - gap >= least) & (length - gap < most))
@@ -197,6 +214,8 @@ def _signatures(
                 low = max(-i, gap - (edits - i))
                 high = min(i, gap + (edits - i))
                 for shift in range(low, high + 1):
+                    if not gap and not shift:
+                        continue
                     place = start + shift
                     fits = (place >= 0) & (place + size <= mine)
                     add(rows[fits], 1, partner[fits], i, place[fits], size[fits])
@@ -250,29 +269,43 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], edits: int) -> Iterato
             )
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct rows of whole keys as a matrix, and where keys start; rows come in order of all columns."""
-
-    def distinct(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (key, role, h1, h2) of the keys with several, once each and in order, as index (role 0) and probe (1); where keys start."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(part[0])) + 1, [part.shape[1]]])
+    size = np.diff(starts)
+    part = part[:, np.repeat(size > 1, size)]
+    twice = part[:, part[1] == 2]
+    twice[1] = 0
+    part[1, part[1] == 2] = 1
+    part = np.concatenate([twice, part], axis=1)
+    part = part[:, np.lexsort(part[::-1])]
+    if part.shape[1]:
         part = part[:, np.append(True, (np.diff(part) != 0).any(axis=0))]
-        return part, np.concatenate([[0], np.flatnonzero(np.diff(part[0])) + 1, [part.shape[1]]])
+    return part, np.concatenate([[0], np.flatnonzero(np.diff(part[0])) + 1, [part.shape[1]]]) if part.shape[1] else np.zeros(1, np.int64)
 
-    held: np.ndarray | None = None
+
+def _by_key(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`_distinct` of whole keys; rows come in order of the first column, the key."""
+    held: list[np.ndarray] = []  # of the key that may go on in the next batch
     for batch in batches:
+        if not batch.num_rows:
+            continue
         rows = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in names])
-        rows = rows if held is None else np.concatenate([held, rows], axis=1)
-        last = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
-        held = rows[:, last:]  # the last key may go on in the next batch
-        if last:
-            yield distinct(rows[:, :last])
-    if held is not None and held.shape[1]:
-        yield distinct(held)
+        last = int(np.searchsorted(rows[0], rows[0, -1]))
+        if last or (held and held[-1][0, -1] != rows[0, 0]):
+            yield _distinct(np.concatenate([*held, rows[:, :last]], axis=1))
+            held = []
+        held.append(rows[:, last:])
+    if held:
+        yield _distinct(np.concatenate(held, axis=1))
 
 
 def _cell_batches(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """(key, p, q, role, h1, h2): the lines that meet in a key, dealt to cells of ``block`` index and ``block`` probe rows at most."""
     for rows, starts in _by_key(batches, ["key", "role", "h1", "h2"]):
         size = np.diff(starts)
+        if not len(size):
+            continue
         indexed = np.add.reduceat((rows[1] == 0).astype(np.int64), starts[:-1])
         probes = size - indexed
         # A line always meets itself.
@@ -356,7 +389,7 @@ def _linked(cells: pa.Table, edits: int) -> pa.RecordBatch:
         roles.append(role)
         keys.append(key)
     line, role, key = np.concatenate(lines), np.concatenate(roles), np.concatenate(keys).view(np.int64)
-    index, probe = (_padded(line[role == k], key[role == k], n, filler) for k, filler in ((0, 0), (1, 1)))
+    index, probe = (_padded(line[role >= k], key[role >= k], n, filler) for k, filler in ((2, 0), (1, 1)))
     texts = texts.to_pylist()
     size = np.array([len(t) for t in texts], np.int64)
     cell = np.stack([columns[c] for c in ("key", "p", "q")])
@@ -419,7 +452,7 @@ def near_lines(
     )
     cells = staged(
         keyed.repartition(parts, "key")
-        .sortWithinPartitions("key", "role", "h1", "h2")
+        .sortWithinPartitions("key")
         .mapInArrow(lambda b: _cell_batches(b, block), "key long, p long, q long, role long, h1 long, h2 long"),
         "line-cells",
     )
