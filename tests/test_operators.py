@@ -160,3 +160,12 @@ def test_sweep_counts_as_single_scans_do(spark):
     for radius, minutes in ((200, 30), (500, 10)):
         one = stays.stays_of(stays.stay_members(chains, radius, minutes)).groupBy("user_id").count().collect()
         assert {(r.user_id, radius, minutes): r["count"] for r in one} == {k: v for k, v in found.items() if k[1:] == (radius, minutes)}
+
+
+@pytest.mark.parametrize("name", ["colocation"])
+def test_rows_of_events_are_not_broadcast(spark, name):
+    import __spark_entry__
+
+    # An event becomes nine points, so the sizes of files say nothing about what would be sent to the driver.
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
