@@ -162,7 +162,7 @@ def test_sweep_counts_as_single_scans_do(spark):
         assert {(r.user_id, radius, minutes): r["count"] for r in one} == {k: v for k, v in found.items() if k[1:] == (radius, minutes)}
 
 
-@pytest.mark.parametrize("name", ["colocation"])
+@pytest.mark.parametrize("name", ["colocation", "core_place", "window_grid", "rule_comparison"])
 def test_rows_of_events_are_not_broadcast(spark, name):
     import __spark_entry__
 
