@@ -169,3 +169,17 @@ def test_rows_of_events_are_not_broadcast(spark, name):
     # An event becomes nine points, so the sizes of files say nothing about what would be sent to the driver.
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan
+
+
+def test_core_place_has_all_members_of_the_area(spark):
+    from driftline.plans import studies
+
+    def stay(chain, day, hour, lat, hours=8):
+        a = T0 + dt.timedelta(days=day, hours=hour)
+        return (1, chain, 1, a, a, a + dt.timedelta(hours=hours), lat, 116.0, hours * 60.0)
+
+    # Two nights at one place, one in the evening nearby without core hours, one night elsewhere.
+    rows = [stay(0, 0, 22, 40.0), stay(1, 1, 22, 40.0005), stay(2, 2, 20, 40.0006, hours=1), stay(3, 3, 22, 41.0)]
+    kind = "user_id long, chain long, stay long, arrival timestamp_ntz, arrival_local timestamp_ntz, departure_local timestamp_ntz, lat double, lon double, duration_minutes double"
+    got = studies._core_stays(spark.createDataFrame(rows, kind)).filter("type = 'home'").collect()
+    assert sorted(r.chain for r in got) == [0, 1, 2] and {r.core_minutes for r in got} == {360.0} and {r.core.chain for r in got} == {0}
