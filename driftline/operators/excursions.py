@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from driftline.functions.geo import CLEANING_RADIUS_M, haversine_m, seconds_between, speed_kmh
+from driftline.operators import grouped
 from driftline.operators.cleaning import FILE, LIMITS, Thresholds
 
 
@@ -24,7 +26,7 @@ def excursions(points: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
     ``user_id, source_file, ord`` (of the point before the jump), ``kind`` (excursion,
     or one_sided without a way back), ``first_moved, last_moved`` (places of the moved
     points in the recording), ``start, end`` (their times), ``n_points, minutes, jump_km, jump_s``.
-    Only the impossible steps of a recording, a few of its points, come together in one task.
+    Only the impossible steps of a recording, a few of its points, come together; many recordings share one Python call.
     """
     order = Window.partitionBy(*FILE).orderBy("datetime", "ord")
     spot = F.struct("datetime", "lat", "lon")
@@ -44,30 +46,42 @@ def excursions(points: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
         F.col("next.lat").alias("lat_next"), F.col("next.lon").alias("lon_next"), F.col("last.datetime").alias("t_last"), "m", "dt",
     )
 
-    def pair(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rn", ignore_index=True)
-        used = np.zeros(len(frame), bool)
-        t, t_next = (frame[c].astype("datetime64[us]").astype("int64").to_numpy() / 1e6 for c in ("t", "t_next"))
-        out = []
-        for i in range(len(frame)):
-            if used[i]:
-                continue
-            used[i] = True
-            later = np.flatnonzero(~used[i + 1 :]) + i + 1
-            metres = _metres(frame.lat[i], frame.lon[i], frame.lat_next.to_numpy()[later], frame.lon_next.to_numpy()[later])
-            reachable = later[metres / np.maximum(t_next[later] - t[i], 1e-9) * 3.6 <= limits.impossible_kmh]
-            row = frame.iloc[i]
-            back = int(reachable[0]) if len(reachable) else None
-            if back is not None:
-                used[back] = True
-            end = frame.rn[back] if back is not None else row.n
-            stop = frame.t[back] if back is not None else row.t_last
-            out.append((row.user_id, row.source_file, row.ord, "one_sided" if back is None else "excursion", row.rn + 1, end, row.t_next, stop, end - row.rn,
-                        (stop - row.t_next).total_seconds() / 60, row["m"] / 1000, row["dt"]))
-        found = pd.DataFrame(out, columns=_NAMES)
-        return found.astype({c: "datetime64[us]" for c in ("start", "end")})
-
-    return jumps.groupBy(*FILE).applyInPandas(pair, _schema(points))
+
+    def pair(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        us, us_next, us_last = (table[c].cast(pa.timestamp("us")).cast(pa.int64()).to_numpy() for c in ("t", "t_next", "t_last"))
+        t, t_next = us / 1e6, us_next / 1e6
+        lat, lon, lat_next, lon_next = (table[c].to_numpy() for c in ("lat", "lon", "lat_next", "lon_next"))
+        back = np.full(len(t), -1)
+        used = np.zeros(len(t), dtype=bool)
+        for first, end in zip(starts.tolist(), [*starts[1:].tolist(), len(t)], strict=True):
+            for i in range(first, end):
+                if used[i]:
+                    continue
+                # Most ways back are near: a few jumps are looked at first, then more and more of them.
+                lo, step = i + 1, 16
+                while lo < end and back[i] < 0:
+                    hi = min(end, lo + step)
+                    metres = _metres(lat[i], lon[i], lat_next[lo:hi], lon_next[lo:hi])
+                    good = ~used[lo:hi] & (metres / np.maximum(t_next[lo:hi] - t[i], 1e-9) * 3.6 <= limits.impossible_kmh)
+                    if good.any():
+                        back[i] = lo + int(good.argmax())
+                        used[back[i]] = True
+                    lo, step = hi, min(2 * step, 65_536)
+        made = np.flatnonzero(~used)
+        row, home = table.take(pa.array(made)), back[made]
+        there = home >= 0
+        other = table.take(pa.array(np.where(there, home, made)))
+        mask = pa.array(there)
+        end, stop = pc.if_else(mask, other["rn"], row["n"]), pc.if_else(mask, other["t"], row["t_last"])
+        minutes = (np.where(there, us[home], us_last[made]) - us_next[made]) / 1e6 / 60
+        values = [
+            row["user_id"], row["source_file"], row["ord"], pc.if_else(mask, "excursion", "one_sided"), pc.add(row["rn"], 1), end, row["t_next"], stop,
+            pc.subtract(end, row["rn"]), pa.array(minutes), pc.divide(row["m"], 1000.0), row["dt"],
+        ]
+        return pa.table(values, names=_NAMES)
+
+    kept = jumps.withColumns({"rn": F.col("rn").cast("long"), "n": F.col("n").cast("long")})
+    return grouped.apply(kept, FILE, ["rn"], pair, _schema(points))
 
 
 _NAMES = ["user_id", "source_file", "ord", "kind", "first_moved", "last_moved", "start", "end", "n_points", "minutes", "jump_km", "jump_s"]
@@ -99,17 +113,18 @@ def trimmed(members: DataFrame, radius_m: float = 200.0) -> DataFrame:
     """``user_id, chain, stay, once_first, once_last, first, last``: the places among a stay's points that are left.
 
     Ends beyond the radius of the mean are cut once, and then again until the
-    mean of what is left holds both.  A chain's stays come together in one task.
+    mean of what is left holds both.  Many stays share one Python call.
     """
     kind = members.schema["user_id"].dataType.simpleString()
 
-    def cut(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["stay", "datetime", "ord"])
-        lat, lon, stay = (frame[c].to_numpy() for c in ("lat", "lon", "stay"))
-        starts = np.flatnonzero(np.append(True, stay[1:] != stay[:-1]))
-        found = [_ends(lat[i:j], lon[i:j], radius_m) for i, j in zip(starts, [*starts[1:], len(stay)], strict=True)]
-        out = frame.iloc[starts][["user_id", "chain", "stay"]].reset_index(drop=True)
-        return out.join(pd.DataFrame(found, columns=["once_first", "once_last", "first", "last"]))
+    def cut(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        lat, lon = (table[c].to_numpy() for c in ("lat", "lon"))
+        found = np.array([_ends(lat[i:j], lon[i:j], radius_m) for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(lat)], strict=True)], dtype=np.int64)
+        out = table.select(["user_id", "chain", "stay"]).take(pa.array(starts))
+        for i, name in enumerate(("once_first", "once_last", "first", "last")):
+            out = out.append_column(name, pa.array(found[:, i]))
+        return out
 
     rows = members.select("user_id", "chain", "stay", "datetime", "ord", "lat", "lon")
-    return rows.groupBy("user_id", "chain").applyInPandas(cut, f"user_id {kind}, chain long, stay long, once_first long, once_last long, first long, last long")
+    schema = f"user_id {kind}, chain long, stay long, once_first long, once_last long, first long, last long"
+    return grouped.apply(rows, ["user_id", "chain", "stay"], ["datetime", "ord"], cut, schema)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import times
-from driftline.operators import classify, excursions, graphs, intervals, monitoring, places, privacy, stays
+from driftline.operators import classify, excursions, graphs, grouped, intervals, monitoring, places, privacy, stays
 from driftline.sources import sinks, traces
 
 T0 = dt.datetime(2024, 1, 1)
@@ -183,3 +183,27 @@ def test_core_place_has_all_members_of_the_area(spark):
     kind = "user_id long, chain long, stay long, arrival timestamp_ntz, arrival_local timestamp_ntz, departure_local timestamp_ntz, lat double, lon double, duration_minutes double"
     got = studies._core_stays(spark.createDataFrame(rows, kind)).filter("type = 'home'").collect()
     assert sorted(r.chain for r in got) == [0, 1, 2] and {r.core_minutes for r in got} == {360.0} and {r.core.chain for r in got} == {0}
+
+
+def test_small_groups_share_a_call_and_stay_whole(spark):
+    import pyarrow as pa
+
+    def run(table, starts):
+        sizes = np.diff([*starts, len(table)])
+        return pa.table({"k": table["k"].take(pa.array(starts)), "n": sizes, "groups": np.full(len(starts), len(starts))})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.createDataFrame([(k, i) for k in range(500) for i in range(1 + k % 9)], "k long, i long")
+        got = grouped.apply(rows, ["k"], ["i"], run, "k long, n long, groups long", pieces=1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.k, r.n) for r in got) == [(k, 1 + k % 9) for k in range(500)] and {r.groups for r in got} == {500}
+
+
+@pytest.mark.parametrize("name", ["jump_excursions", "jump_impact", "mode_at_jump", "stay_tail_trim"])
+def test_recordings_cost_no_call_of_their_own(spark, name):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsIn" not in plan
