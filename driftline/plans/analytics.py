@@ -355,7 +355,7 @@ def jump_across_gap(s: SparkSession, d: str) -> DataFrame:
 def stage_changes(s: SparkSession, d: str) -> DataFrame:
     k = ["user_id", "arrival", "departure"]
     a = base.stay_table(s, d).select(*k).withColumn("a", F.lit(True))
-    b = stays.stay_points(base.clean(s, d), anchor=True).select(*k).withColumn("b", F.lit(True))
+    b = stays.stay_points(base.clean(s, d), anchor=True, pieces=base.pieces(s, d)).select(*k).withColumn("b", F.lit(True))
     both = a.join(b, k, "full")
     return both.agg(
         F.count_if(F.col("a") & F.col("b")).alias("unchanged"), F.count_if(F.col("b").isNull()).alias("removed"), F.count_if(F.col("a").isNull()).alias("added")
@@ -478,7 +478,7 @@ def stay_per_file(s: SparkSession, d: str) -> DataFrame:
 )
 def stationary_footprint(s: SparkSession, d: str) -> DataFrame:
     key = ["user_id", "chain", "stay"]
-    rows = stays.stay_members(stays.gap_chains(base.clean(s, d)))
+    rows = base.members(s, d)
     centre = rows.groupBy(*key).agg(F.percentile("lat", F.lit(0.5)).alias("clat"), F.percentile("lon", F.lit(0.5)).alias("clon"))
     q = F.percentile("m", F.array(F.lit(0.5), F.lit(0.9)))
     gaps = rows.join(centre, key).withColumn("m", mean_haversine_m("lat", "lon", "clat", "clon"))

@@ -207,3 +207,18 @@ def test_recordings_cost_no_call_of_their_own(spark, name):
 
     plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsIn" not in plan
+
+
+def test_points_are_dealt_by_the_size_of_the_table(spark, monkeypatch):
+    from driftline.plans import catalogue
+
+    def rows():
+        df = catalogue.stay_points_centroid(spark, "/root/testdata/sf0.001")
+        return df._jdf.queryExecution().executedPlan().toString(), sorted(map(str, df.collect()))
+
+    small = rows()
+    monkeypatch.setattr(catalogue, "PIECE", 100)
+    plan, dealt = rows()
+    # 1,000 events: cleaning, chains, scan and figures of stays each in ten pieces, which the engine may not put together.
+    fixed = ", 10), REPARTITION_BY_NUM"
+    assert plan.count(fixed) >= 4 and fixed not in small[0] and dealt == small[1]
