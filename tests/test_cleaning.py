@@ -79,3 +79,37 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     good, bad = cleaning.clean(empty)
     assert good.count() == 0 and bad.count() == 0
+
+
+def test_cleaning_sorts_points_once(spark):
+    rows = track(spark, [("00:00:00", 1.0, 1.0), ("00:00:10", 1.0, 1.0)]).repartition(3, *cleaning.FILE)
+    good, _ = cleaning.clean(rows)
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+
+
+def test_flat_map_finds_the_windows_of_exact_distances():
+    import random
+
+    rng = random.Random(4)
+    for base, step in ((0.0, 0.0016), (60.0, 0.0016), (79.99, 0.004), (89.0, 0.05), (39.9, 0.0009)):
+        lat, lon, us = [], [], []
+        y, x = base, rng.choice([179.999, 10.0])
+        for i in range(400):
+            y, x = min(90.0, y + rng.uniform(-step, step)), x + rng.uniform(-step, step)
+            x = x - 360 if x > 180 else x + 360 if x < -180 else x
+            lat.append(y), lon.append(x), us.append(int(i * 300e6))
+        for anchor in (False, True):
+            want, start = [], 0
+            while start < len(lat):
+                end = start
+                while end + 1 < len(lat):
+                    n = end - start + 1
+                    at = (lat[start], lon[start]) if anchor else (sum(lat[start : end + 1]) / n, sum(lon[start : end + 1]) / n)
+                    if not stays._metres(*at, lat[end + 1], lon[end + 1]) <= 200:
+                        break
+                    end += 1
+                found = us[end] - us[start] >= 15 * 60e6
+                want += [(start, end)] if found else []
+                start = end + 1 if found else start + 1
+            assert scan_windows(lat, lon, us, 200, 15, anchor) == want
