@@ -15,13 +15,15 @@ def _bucket(ts: Column, width: int) -> Column:
     return F.floor(seconds_between(F.lit("1970-01-01").cast("timestamp_ntz"), ts) / width)
 
 
-def meeting(left: DataFrame, right: DataFrame, keys: list[str], width: int = BUCKET_S, touching: bool = False) -> DataFrame:
+def meeting(left: DataFrame, right: DataFrame, keys: list[str], width: int = BUCKET_S, touching: bool = False, whole: bool = False) -> DataFrame:
     """Pairs of rows of equal keys whose intervals ``start`` to ``end`` overlap: ``keys, l, r``, the rows as structs.
 
     Both sides are dealt to the buckets that their intervals touch, so a long
     history of one key isn't compared with itself whole; a pair is made in the
     first bucket that both touch.  ``touching`` also takes intervals that only
-    share an end, and points (``start = end``).
+    share an end, and points (``start = end``).  ``whole`` keeps every row of both
+    sides: rows of a bucket that make no pair are there with ``met`` false, any
+    number of times; pairs have ``met`` true and are there once.
     """
 
     def dealt(rows: DataFrame, name: str) -> DataFrame:
@@ -29,12 +31,14 @@ def meeting(left: DataFrame, right: DataFrame, keys: list[str], width: int = BUC
         known = rows.filter(F.col("start") <= F.col("end"))
         return known.select(*keys, F.struct(*rows.columns).alias(name), F.explode(buckets).alias("bucket"))
 
-    pairs = dealt(left, "l").join(dealt(right, "r"), [*keys, "bucket"])
+    pairs = dealt(left, "l").join(dealt(right, "r"), [*keys, "bucket"], "full" if whole else "inner")
     first = F.col("bucket") == F.greatest(_bucket(F.col("l.start"), width), _bucket(F.col("r.start"), width))
     if touching:
         met = (F.col("l.start") <= F.col("r.end")) & (F.col("l.end") >= F.col("r.start"))
     else:
         met = (F.col("l.start") < F.col("r.end")) & (F.col("l.end") > F.col("r.start"))
+    if whole:
+        return pairs.withColumn("met", F.coalesce(first & met, F.lit(False))).drop("bucket")
     return pairs.filter(first & met).drop("bucket")
 
 
