@@ -222,3 +222,20 @@ def test_points_are_dealt_by_the_size_of_the_table(spark, monkeypatch):
     # 1,000 events: cleaning, chains, scan and figures of stays each in ten pieces, which the engine may not put together.
     fixed = ", 10), REPARTITION_BY_NUM"
     assert plan.count(fixed) >= 4 and fixed not in small[0] and dealt == small[1]
+
+
+def test_meeting_whole_keeps_rows_without_a_partner(spark):
+    kind = "user_id long, n long, start timestamp_ntz, end timestamp_ntz"
+    left = spark.createDataFrame([(1, 0, at(0), at(900)), (1, 1, at(2000), at(2010)), (2, 2, at(0), at(10))], kind)
+    right = spark.createDataFrame([(1, 5, at(100), at(800)), (1, 6, at(905), at(906)), (3, 7, at(0), at(10))], kind)
+    rows = intervals.meeting(left, right, ["user_id"], whole=True).collect()
+    assert [(r.l.n, r.r.n) for r in rows if r.met] == [(0, 5)]
+    assert {r.l.n for r in rows if r.l} == {0, 1, 2} and {r.r.n for r in rows if r.r} == {5, 6, 7}
+
+
+@pytest.mark.parametrize("name", ["stay_evaluation", "unobserved_share"])
+def test_stays_are_found_once(spark, name):
+    import __spark_entry__
+
+    rows = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
