@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -239,3 +240,17 @@ def test_stays_are_found_once(spark, name):
 
     rows = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_events_are_dealt_before_they_become_points(spark, monkeypatch):
+    from driftline.plans import catalogue
+
+    def rows():
+        df = catalogue.clean_trajectory(spark, "/root/testdata/sf0.001")
+        return df._jdf.queryExecution().executedPlan().toString(), sorted(map(str, df.collect()))
+
+    small = rows()
+    monkeypatch.setattr(catalogue, "STAY_PIECE", 250)
+    plan, dealt = rows()
+    fixed = re.compile(r"hashpartitioning\(event_id#\d+L, 4\), REPARTITION_BY_NUM")
+    assert fixed.search(plan) and not fixed.search(small[0]) and dealt == small[1]
