@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.geo import seconds_between
+from driftline.operators.grouped import in_pieces
 
 #: Width of the time buckets that turn meeting intervals into an equality join.
 BUCKET_S = 21_600
@@ -15,7 +16,7 @@ def _bucket(ts: Column, width: int) -> Column:
     return F.floor(seconds_between(F.lit("1970-01-01").cast("timestamp_ntz"), ts) / width)
 
 
-def meeting(left: DataFrame, right: DataFrame, keys: list[str], width: int = BUCKET_S, touching: bool = False, whole: bool = False) -> DataFrame:
+def meeting(left: DataFrame, right: DataFrame, keys: list[str], width: int = BUCKET_S, touching: bool = False, whole: bool = False, pieces: int | None = None) -> DataFrame:
     """Pairs of rows of equal keys whose intervals ``start`` to ``end`` overlap: ``keys, l, r``, the rows as structs.
 
     Both sides are dealt to the buckets that their intervals touch, so a long
@@ -24,12 +25,13 @@ def meeting(left: DataFrame, right: DataFrame, keys: list[str], width: int = BUC
     share an end, and points (``start = end``).  ``whole`` keeps every row of both
     sides: rows of a bucket that make no pair are there with ``met`` false, any
     number of times; pairs have ``met`` true and are there once.
+    ``pieces`` is the number of partitions, where the engine shouldn't choose it.
     """
 
     def dealt(rows: DataFrame, name: str) -> DataFrame:
         buckets = F.sequence(_bucket(F.col("start"), width), _bucket(F.col("end"), width))
         known = rows.filter(F.col("start") <= F.col("end"))
-        return known.select(*keys, F.struct(*rows.columns).alias(name), F.explode(buckets).alias("bucket"))
+        return in_pieces(known.select(*keys, F.struct(*rows.columns).alias(name), F.explode(buckets).alias("bucket")), pieces, *keys, "bucket")
 
     pairs = dealt(left, "l").join(dealt(right, "r"), [*keys, "bucket"], "full" if whole else "inner")
     first = F.col("bucket") == F.greatest(_bucket(F.col("l.start"), width), _bucket(F.col("r.start"), width))

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from driftline.functions import geo, times
 from driftline.functions.geo import haversine_m, mean_haversine_m, seconds_between, speed_kmh
 from driftline.operators import classify, cleaning, monitoring, places, privacy, stays
+from driftline.operators.grouped import in_pieces
 from driftline.plans import catalogue as base
 from driftline.plans.catalogue import KEY, r, table
 from driftline.plans.sqlbase import _IN, SWEEP, geohash, hav, kmh, mean_m, rnd, secs
@@ -413,7 +414,7 @@ def v1_status(s: SparkSession, d: str) -> DataFrame:
 
 
 def _places(s: SparkSession, d: str) -> DataFrame:
-    return classify.place_scores(base.scores(s, d))
+    return classify.place_scores(base.scores(s, d), pieces=base.stay_pieces(s, d))
 
 
 @query("SELECT type, status, reason, count(*) AS n FROM win2 GROUP BY ALL")
@@ -488,4 +489,5 @@ def stationary_footprint(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, round_minutes, count(*) AS stays FROM (SELECT user_id, CAST(floor(duration_minutes / 60) AS BIGINT) AS round_minutes FROM st) GROUP BY ALL")
 def duration_histogram(s: SparkSession, d: str) -> DataFrame:
     hours = F.floor(F.col("duration_minutes") / 60).cast("long")
-    return base.stay_table(s, d).groupBy("user_id", hours.alias("round_minutes")).agg(F.count(F.lit(1)).alias("stays"))
+    rows = in_pieces(base.stay_table(s, d).select("user_id", hours.alias("round_minutes")), base.stay_pieces(s, d), "user_id")
+    return rows.groupBy("user_id", "round_minutes").agg(F.count(F.lit(1)).alias("stays"))
