@@ -254,3 +254,23 @@ def test_events_are_dealt_before_they_become_points(spark, monkeypatch):
     plan, dealt = rows()
     fixed = re.compile(r"hashpartitioning\(event_id#\d+L, 4\), REPARTITION_BY_NUM")
     assert fixed.search(plan) and not fixed.search(small[0]) and dealt == small[1]
+
+
+@pytest.mark.parametrize("name", [
+    "batch_classify", "boundary_errors", "classify_v1", "classify_v2", "coerced_stays", "cut_simulation", "dbscan_general", "dbscan_places",
+    "drift_record", "duration_histogram", "false_stay_modes", "gap_start_hours",
+])
+def test_rows_of_users_are_dealt_by_the_size_of_the_table(spark, monkeypatch, name):
+    import __spark_entry__
+    from driftline.plans import catalogue
+
+    def rows():
+        df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+        return df._jdf.queryExecution().executedPlan().toString(), sorted(map(str, df.collect()))
+
+    small = rows()
+    monkeypatch.setattr(catalogue, "PIECE", 250)
+    monkeypatch.setattr(catalogue, "STAY_PIECE", 250)
+    plan, dealt = rows()
+    # The engine chooses no number of partitions for points, labels or stays.
+    assert not re.search(r"hashpartitioning\([^()]*user_id[^()]*\), ENSURE_REQUIREMENTS", plan) and dealt == small[1]
